@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from athletrack.llm.base import written
+
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
 LOSS_ROLE = "assistant"
 _CONTROL = r"(\\|###|</turn>)"
@@ -26,14 +28,14 @@ _ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
 def links(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Ancestor links: the k-th table has (node, up), 2**k steps apart; and (node, depth), 0 at the root.
 
-    A node whose parent is null or missing is a root. Each table is checkpointed; parents must not form a circle.
+    A node whose parent is null or missing is a root. Each table is written; parents must not form a circle.
     """
     known = nodes.select(F.col("node").alias("up"))
-    step = nodes.where("parent is not null").select("node", F.col("parent").alias("up")).join(known, "up", "left_semi").select("node", "up").checkpoint()
+    step = written(nodes.where("parent is not null").select("node", F.col("parent").alias("up")).join(known, "up", "left_semi").select("node", "up"), "chat-links")
     out = []
     while not step.isEmpty():
         out.append(step)
-        step = step.alias("a").join(step.alias("b"), F.col("a.up") == F.col("b.node")).select("a.node", "b.up").checkpoint()
+        step = written(step.alias("a").join(step.alias("b"), F.col("a.up") == F.col("b.node")).select("a.node", "b.up"), "chat-links")
         if len(out) > 62:
             raise ValueError("parents form a circle")
     depth = nodes.select("node", F.lit(0).cast("long").alias("depth"), F.col("node").alias("at"))
@@ -63,7 +65,7 @@ def chosen_branches(nodes: DataFrame, branches: int = 1) -> DataFrame:
     on_path = paths(leaves, steps).join(nodes.select("node", "score"), "node")
     ranked = on_path.groupBy("leaf").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("length")).join(leaves, "leaf")
     best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("length"), "leaf")
-    ranked = ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches).select("tree", "leaf", "rank").checkpoint()
+    ranked = written(ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches).select("tree", "leaf", "rank"), "chat-branches")
     return paths(ranked, steps).join(depth, "node").join(ranked, "leaf")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from athletrack.llm import chat, html, pieces, pii, quality, rules, toxicity
+from athletrack.llm import chat, html, neardup, pieces, pii, quality, rules, toxicity
 from athletrack.llm.base import read
 
 
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), neardup.Shape(words=3, percent=85))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.control_case(spark))
     return chat.digests(chat.read_back(chat.format_trees(chat.conversation_nodes(rows))))
@@ -48,7 +52,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat, op3_pii, op4_toxicity, op7_quality, op8_rules, op9_html, op10_pieces)}
+    return {f.__name__: f for f in (op1_neardup, op2_chat, op3_pii, op4_toxicity, op7_quality, op8_rules, op9_html, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
