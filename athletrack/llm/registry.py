@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from athletrack.llm import chat, html, neardup, phrases, pieces, pii, quality, rules, toxicity
+from athletrack.llm import chat, html, neardup, phrases, pieces, pii, quality, repeats, rules, toxicity
 from athletrack.llm.base import read
 
 
@@ -35,6 +35,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.remove_repeats(read(spark, sf_dir, "documents")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.digests(phrases.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
@@ -56,7 +60,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neardup, op2_chat, op3_pii, op4_toxicity, op6_decontamination, op7_quality, op8_rules, op9_html, op10_pieces)}
+    return {f.__name__: f for f in (op1_neardup, op2_chat, op3_pii, op4_toxicity, op5_repeats, op6_decontamination, op7_quality, op8_rules, op9_html, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
