@@ -56,3 +56,10 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, l
         .groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     )
     return sorted(rows.collect(), key=lambda r: r["doc_id"])
+
+
+def only(docs: DataFrame, ids: DataFrame, limit: int = 500_000) -> DataFrame:
+    """Rows of ``docs`` whose doc_id (null included) is in ``ids``."""
+    ids = written(ids.select(F.col("doc_id").alias("of")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
