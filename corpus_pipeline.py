@@ -8,18 +8,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from athletrack.llm import pieces, pii, quality
-from athletrack.llm.base import read, written
+from athletrack.llm import neardup, phrases, pieces, pii, quality
+from athletrack.llm.base import only, read, written
 from athletrack.llm.registry import tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    labels = read(spark, sf_dir, "labels")
-    model = quality.train(docs, labels, F.lit(True))
+    model = quality.train(docs, read(spark, sf_dir, "labels"), F.lit(True))
     return quality.score_rows(docs, model).where(F.col("quality_score") >= 0.5).drop("quality_score")
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates (five words, 0.8)."""
+    return only(docs, neardup.near_duplicates(docs).where("kept"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    return only(docs, phrases.contamination(docs, read(spark, sf_dir, "benchmark")).where("not contaminated"))
+
+
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind; n_chars follows the text."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
@@ -30,7 +39,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, tokenizer_path())
 
 
-STAGES = [("quality", keep_quality), ("pii", redact), ("pieces", encode)]
+STAGES = [("quality", keep_quality), ("near-duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("personal-data", redact), ("pieces", encode)]
 ORACLE_SQL = None  # classifiers, redaction and segmentation are no SQL
 
 
