@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from athletrack.llm.base import fold, label_sample, written
 
-SAMPLE = 12_000
+SAMPLE = 6_000
 VOCABULARY = 4_000
 CHI_SQUARE = 40.0
 LEAST_DOCUMENTS = 3  # with a term, or one in a thousand of the examples if that is more
@@ -52,12 +52,13 @@ class Vocabulary:
         return counts
 
 
-def select_terms(rows: list[tuple[list[bytes], int]]) -> list[bytes]:
+def select_terms(rows: Iterable[tuple[str | None, int]]) -> list[bytes]:
     """Terms whose presence depends on the label (chi-square), the strongest ``VOCABULARY`` in order of bytes."""
-    n, ones = len(rows), sum(y for _, y in rows)
+    n = ones = 0
     have, have_one = Counter(), Counter()
-    for terms, y in rows:
-        have.update(once := set(terms))
+    for text, y in rows:
+        n, ones = n + 1, ones + y
+        have.update(once := set(words(text)))
         if y:
             have_one.update(once)
     if not 0 < ones < n:
@@ -184,7 +185,7 @@ def counted(docs: DataFrame, terms: list[bytes]) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", limit: int = SAMPLE) -> tuple[Model, DataFrame]:
     """The fitted model, and the counted terms of all documents, written."""
     sample = label_sample(docs, labels, label, keep, limit)
-    terms = select_terms([(words(r["text"]), r["label"]) for r in sample])
+    terms = select_terms((r["text"], r["label"]) for r in sample)
     rows = written(counted(docs, terms), "toxicity-terms")
     df = dict(rows.select(F.explode("terms").alias("term")).groupBy("term").count().collect())  # a row for each term at most
     n = rows.count()
