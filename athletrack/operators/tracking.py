@@ -193,7 +193,7 @@ def _grouped(df: DataFrame, order: list[str], fold: Callable[[Iterable[tuple], l
 
 
 def detection_schedule(df: DataFrame, interval: int | None = 30, seconds: float | None = None) -> DataFrame:
-    """Adds ``detection_reason`` to inferred frames that have (session_id, frame_index, at, has_crop, pending, accepts).
+    """Adds ``detection_reason`` to inferred frames that have (session_id, frame_index, checked_at, has_crop, pending, accepts).
 
     A missing crop comes first, then the pending reason, then the schedule, whose clocks restart at each accepted run.
     """
@@ -210,8 +210,8 @@ def detection_schedule(df: DataFrame, interval: int | None = 30, seconds: float
             out.append({"detection_reason": reason})
         return out
 
-    names = ["session_id", "frame_index", "at", "has_crop", "pending", "accepts"]
-    return _grouped(df, ["frame_index"], fold, names, "session_id bigint, frame_index bigint, at double, has_crop boolean, pending string, accepts boolean, detection_reason string")
+    names = ["session_id", "frame_index", "checked_at", "has_crop", "pending", "accepts"]
+    return _grouped(df, ["frame_index"], fold, names, "session_id bigint, frame_index bigint, checked_at double, has_crop boolean, pending string, accepts boolean, detection_reason string")
 
 
 def single_flight(requests: DataFrame, frames: DataFrame) -> DataFrame:
