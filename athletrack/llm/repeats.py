@@ -25,7 +25,7 @@ from athletrack.llm.anchors import mixed, powers, prefix_hashes, sliding_least,
 from athletrack.llm.base import written
 
 LENGTH, SIZE = 200, 100
-BROADCAST_CONTEXTS = 5_000_000  # 9 bytes each
+BROADCAST_CONTEXTS = 5_000_000  # 10 bytes each
 HOT_CONTEXTS = 20_000  # of one anchor; more are dealt out by the place of the string in the context
 WHOLE, MIXED = 1, 2
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
@@ -118,11 +118,20 @@ def _batch(out: dict[str, list], id_type: pa.DataType) -> pa.RecordBatch:
 
 def covered_here(docs: DataFrame, known: DataFrame, length: int, size: int) -> DataFrame:
     """Covered runs and contexts to compare, with all repeated contexts (a checked number) in every task."""
-    table = known.select("context", F.when(F.col("n") > 1, WHOLE).otherwise(0).alias("w"), "kinds").toPandas()
-    order = np.argsort(table["context"].to_numpy())
-    flags = table["w"].to_numpy(np.uint8) | np.where(table["kinds"] > 1, MIXED, 0).astype(np.uint8)
-    slices = np.minimum(1 + table["kinds"].to_numpy() // HOT_CONTEXTS, 32).astype(np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast((table["context"].to_numpy()[order], flags[order], slices[order]))
+    facts = known.select("context", F.col("n") > 1, F.col("kinds"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, many, kinds = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            flags = np.where(many, WHOLE, 0).astype(np.uint8) | np.where(kinds > 1, MIXED, 0).astype(np.uint8)
+            parts = context.tobytes(), flags.tobytes(), np.minimum(1 + kinds // HOT_CONTEXTS, 32).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["context", "flags", "slices"])
+
+    rows = facts.mapInArrow(packed, "context binary, flags binary, slices binary").toLocalIterator()
+    got = [(np.frombuffer(r[0], np.int64), np.frombuffer(r[1], np.uint8), np.frombuffer(r[2], np.uint8)) for r in rows]
+    keys, flags, slices = (np.concatenate([g[k] for g in got] or [np.zeros(0, t)]) for k, t in enumerate((np.int64, np.uint8, np.uint8)))
+    order = np.argsort(keys)
+    held = docs.sparkSession.sparkContext.broadcast((keys[order], flags[order], slices[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, flags, slices = held.value
