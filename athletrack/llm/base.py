@@ -1,32 +1,17 @@
-"""What the operators of this subpackage share: the shared folder, written tables, label folds."""
+"""What the operators of this subpackage share: written tables, label folds, filters."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (tests, one machine) a temporary folder is set once for the session.
-    """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
-    return path
+from athletrack.sources.shared import new_folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
