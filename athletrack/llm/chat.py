@@ -25,8 +25,8 @@ _TURN = re.compile(
 _ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
 
 
-def links(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Ancestor links: the k-th table has (node, up), 2**k steps apart; and (node, depth), 0 at the root.
+def links(nodes: DataFrame) -> list[DataFrame]:
+    """Ancestor links: the k-th table has (node, up), 2**k steps apart.
 
     A node whose parent is null or missing is a root. Each table is written; parents must not form a circle.
     """
@@ -38,35 +38,35 @@ def links(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         step = written(step.alias("a").join(step.alias("b"), F.col("a.up") == F.col("b.node")).select("a.node", "b.up"), "chat-links")
         if len(out) > 62:
             raise ValueError("parents form a circle")
-    depth = nodes.select("node", F.lit(0).cast("long").alias("depth"), F.col("node").alias("at"))
-    for k, table in reversed(list(enumerate(out))):  # from the longest step: jump where the way still goes on
-        hop = table.select(F.col("node").alias("at"), "up")
-        depth = depth.join(hop, "at", "left").select("node", F.when(F.col("up").isNull(), F.col("depth")).otherwise(F.col("depth") + (1 << k)).alias("depth"), F.coalesce("up", "at").alias("at"))
-    return out, depth.select("node", "depth")
-
-
-def paths(starts: DataFrame, steps: list[DataFrame]) -> DataFrame:
-    """(leaf, node): for each ``leaf`` of ``starts`` the nodes from it to its root."""
-    out = starts.select("leaf", F.col("leaf").alias("node"))
-    for table in steps:
-        out = out.join(table, "node", "left").select("leaf", F.explode(F.array_compact(F.array("node", "up"))).alias("node"))
+    return out
+
+
+def paths(leaves: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """(leaf, node, above): for each ``leaf`` the nodes from it to its root and their distance from it.
+
+    The longest links come first: most leaves have none, so rows double in the last joins only.
+    """
+    out = leaves.select("leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("above"))
+    for k, table in reversed(list(enumerate(steps))):
+        here, there = F.struct("node", "above"), F.struct(F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
+        both = F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there))
+        out = out.join(table, "node", "left").select("leaf", F.explode(both).alias("n")).select("leaf", "n.node", "n.above")
     return out
 
 
 def chosen_branches(nodes: DataFrame, branches: int = 1) -> DataFrame:
-    """(tree, leaf, rank, node, depth): nodes of the ``branches`` best root-to-leaf paths of each tree.
+    """(tree, leaf, rank, node, above): nodes of the ``branches`` best root-to-leaf paths of each tree.
 
     ``nodes`` has tree, node (unique), parent and score. A path's score is the mean of its nodes' scores (null: 0);
     the longer path wins among equals, then the smaller leaf.
     """
     nodes = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    steps, depth = links(nodes)
     leaves = nodes.join(nodes.select(F.col("parent").alias("node")), "node", "left_anti").select(F.col("node").alias("leaf"), "tree")
-    on_path = paths(leaves, steps).join(nodes.select("node", "score"), "node")
-    ranked = on_path.groupBy("leaf").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("length")).join(leaves, "leaf")
+    on_path = written(paths(leaves, links(nodes)), "chat-paths")
+    ranked = on_path.join(nodes.select("node", "score"), "node").groupBy("leaf").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("length")).join(leaves, "leaf")
     best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("length"), "leaf")
-    ranked = written(ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches).select("tree", "leaf", "rank"), "chat-branches")
-    return paths(ranked, steps).join(depth, "node").join(ranked, "leaf")
+    ranked = ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches).select("tree", "leaf", "rank")
+    return on_path.join(ranked, "leaf")
 
 
 def escaped(text, control: str = _CONTROL):
@@ -82,9 +82,9 @@ def format_trees(nodes: DataFrame, branches: int = 1, loss_role: str = LOSS_ROLE
     turn = nodes.select("node", F.concat(F.lit(OPEN), escaped(F.col("role"), r"(\\|###|</turn>|:)"), F.lit(COLON)).alias("head"), escaped(F.col("text")).alias("body"), F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("loss"))
     rows = chosen_branches(nodes, branches).join(turn, "node")
     rows = rows.withColumn("all", F.concat("head", "body", F.lit(CLOSE)))
-    before = Window.partitionBy("leaf").orderBy("depth")
+    before = Window.partitionBy("leaf").orderBy(F.desc("above"))
     rows = rows.withColumn("start", F.coalesce(F.sum(F.length("all")).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.length("head"))
-    part = F.struct("depth", "all", "loss", "start", (F.col("start") + F.length("body")).alias("end"))
+    part = F.struct((-F.col("above")).alias("depth"), "all", "loss", "start", (F.col("start") + F.length("body")).alias("end"))
     talks = rows.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(part)).alias("turns"))  # one conversation: one row of the result
     spans = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.array(t["start"], t["end"]))
     return talks.select("tree", "rank", F.array_join("turns.all", "").alias("formatted"), spans.alias("loss_spans"))
