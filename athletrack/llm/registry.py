@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from athletrack.llm import chat, html, neardup, phrases, pieces, pii, quality, repeats, rules, toxicity
 from athletrack.llm.base import read
+from athletrack.llm.sql import ORACLES
 
 
 def tokenizer_path() -> str:
@@ -64,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

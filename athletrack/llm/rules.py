@@ -108,4 +108,4 @@ def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> D
     else:  # a host may hold a third of the rows: its rows go to SALTS places, its verdict to each of them
         salted = hosts.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         out = measured.withColumn("at", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("at") == F.col("to")))
-    return out.select("doc_id", *METRICS, "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"), "host", F.col("shrunk").alias("host_rate"))
+    return out.select("doc_id", *METRICS, "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"), "host", F.round("shrunk", 9).alias("host_rate"))
