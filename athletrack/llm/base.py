@@ -25,6 +25,15 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
+def hash_sample(df: DataFrame, key: Column, limit: int) -> DataFrame:
+    """All rows if there are at most ``limit``, else about as many, chosen by the hash ``key``.
+
+    Only chosen rows leave their tasks, whatever the number of partitions.
+    """
+    n = df.count()
+    return df if n <= limit else df.where(F.pmod(key, F.lit(1 << 30)) < int((1 << 30) * limit / n))
+
+
 def label_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int):
     """At most ``limit`` labelled (doc_id, text, label) rows, those with the smallest hash of doc_id.
 

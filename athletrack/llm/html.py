@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from athletrack.llm.base import hash_sample
+
 SAMPLE = 300
 NEXT, SIBLING = 0.6, 0.9  # smoothness of blocks in sequence, and under one parent
 
@@ -233,9 +235,9 @@ def main_text(html: str | None, weights: np.ndarray) -> str:
 
 
 def train(pages: DataFrame, limit: int = SAMPLE) -> list[float]:
-    html = F.col("html").cast("string")
-    rows = pages.select(html.alias("html")).where("html is not null").orderBy(F.xxhash64("html"), F.length("html")).limit(limit).collect()
-    return fit([r["html"] for r in rows]).tolist()
+    """Fitted on at most ``limit`` pages, chosen by the hash of the html."""
+    rows = pages.select(F.col("html").cast("string").alias("html")).where("html is not null")
+    return fit(sorted(r["html"] for r in hash_sample(rows, F.xxhash64("html"), limit).collect())[:limit]).tolist()
 
 
 def extract(pages: DataFrame, weights: list[float] | None = None) -> DataFrame:
