@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from athletrack.llm.base import hash_sample
 from athletrack.llm.trees import Boosted, threshold
 
 KINDS = ("email", "ip", "card", "phone")
@@ -201,10 +202,9 @@ class Detector:
 
 
 def train(docs: DataFrame, limit: int = SAMPLE, precision: float = PRECISION) -> Detector:
-    """Fitted on the ``limit`` rows with a digit run or an @ whose text has the smallest hash."""
-    text = F.col("text").cast("string")
-    rows = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9][0-9]|@")).orderBy(F.xxhash64("text"), F.length("text")).limit(limit).collect()
-    return Detector(sorted(r["text"] for r in rows), precision)
+    """Fitted on at most ``limit`` rows with two digits in a row or an @, chosen by the hash of the text."""
+    texts = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9][0-9]|@"))
+    return Detector(sorted(r["text"] for r in hash_sample(texts, F.xxhash64("text"), limit).collect())[:limit], precision)
 
 
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
