@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from athletrack.llm.base import fold, label_sample
 
@@ -187,15 +186,15 @@ def quality(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out: int =
     )
 
 
-def score_rows(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """All columns of ``docs`` and ``quality_score``; rows keep their texts, so no join is needed."""
+def accepted(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is ``least`` or more, with all their columns; texts are read where they are."""
     model = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))  # fixed size
-    names = docs.columns
-    at = names.index("text")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [scores(batch.column(at).slice(k, 1_000).to_pylist(), *model.value) for k in range(0, batch.num_rows, 1_000)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], [*names, "quality_score"])
+            for k in range(0, batch.num_rows, 1_000):
+                part = batch.slice(k, 1_000)
+                yield part.filter(pa.array(scores(part.column(at).to_pylist(), *model.value) >= least))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return docs.mapInArrow(run, docs.schema)

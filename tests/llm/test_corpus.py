@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from athletrack.llm import neardup, phrases, registry, repeats
+from athletrack.llm import bwt, neardup, phrases, pii, quality, registry, repeats
 from athletrack.llm.anchors import sliding_least
 from athletrack.llm.base import read
 from athletrack.llm.components import components
@@ -259,3 +259,28 @@ def test_queries_on_the_tables(spark, sf_dir):
     items = [(r["item_id"], r["text"]) for r in read(spark, sf_dir, "benchmark").collect()]
     assert got == {i: (t[0], t[1], len(t[2]), hashlib.sha256(",".join(t[2]).encode()).hexdigest(), t[3]) for i, t in brute_contamination(rows, items).items()}
     assert {len(queries[n](spark, sf_dir).columns) >= 3 for n in queries} == {True}
+
+
+def test_pipeline_on_odd_documents(spark, tmp_path):
+    rows = [(None, None, "en", "s", None), (None, "null id", "en", "s", 7), (1, "", "en", None, 0), (1, "", "en", None, 0), (2, "some words, mail a.b@c.de", "de", "s", 20), (3, "x " * 40_000, "en", "s", 80_000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(2, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "nothing like it at all"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got} == {None, 1, 2, 3} and len(got) == len(rows)
+    extra = spark.createDataFrame([(1, "some words in a text", 0.1, 3, True)], "doc_id long, text string, quality_score double, of long, kept boolean")
+    model = (np.zeros(quality.BUCKETS + 1), 1.0)
+    assert quality.accepted(extra, model).columns == extra.columns and quality.accepted(extra, (model[0], -1.0)).count() == 0
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_contaminated):
+        assert stage(spark, extra, str(tmp_path)).columns == extra.columns
+    assert pii.redact(extra).columns == extra.columns
+
+
+def test_bwt_merge_is_exact():
+    rng = random.Random(1)
+    for length in (1, 2, 3, 5, 8):
+        for _ in range(60):
+            shards = [[bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 4))] for _ in range(rng.randrange(1, 4))]
+            strings = {(s, t, k): x[k : k + length] for s, texts in enumerate(shards) for t, x in enumerate(texts) for k in range(len(x) - length + 1)}
+            counts = Counter(strings.values())
+            assert sorted(bwt.repeated(shards, length)) == sorted(k for k, v in strings.items() if counts[v] > 1)
