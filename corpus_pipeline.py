@@ -15,8 +15,7 @@ from athletrack.llm.registry import tokenizer_path
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    model = quality.train(docs, read(spark, sf_dir, "labels"), F.lit(True))
-    return quality.score_rows(docs, model).where(F.col("quality_score") >= 0.5).drop("quality_score")
+    return quality.accepted(docs, quality.train(docs, read(spark, sf_dir, "labels"), F.lit(True)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
