@@ -58,24 +58,24 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def rare_terms(placed: DataFrame, frequency: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, place, term, rank): the rarest and the second rarest term of every window; rank 1 or 2.
+    """(item_id, place, term, length): the rarest and the second rarest term of every window, at a place each.
 
-    A window without a second term has its only one for both.
+    A window with one term only has its first and last place for both.
     """
-    starts = placed.select("item_id", "place", "term", F.explode(F.sequence(F.greatest(F.lit(0), F.col("place") - (window - 1)), F.greatest(F.lit(0), F.least(F.col("place"), F.col("length") - window)))).alias("start"))
+    starts = placed.select("item_id", "place", "term", "length", F.explode(F.sequence(F.greatest(F.lit(0), F.col("place") - (window - 1)), F.greatest(F.lit(0), F.least(F.col("place"), F.col("length") - window)))).alias("start"))
     inside = starts.join(frequency, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    by_term = inside.groupBy("item_id", "start", "term", "n").agg(F.min("place").alias("place"))
+    by_term = inside.groupBy("item_id", "start", "term", "n", "length").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     order = Window.partitionBy("item_id", "start").orderBy("n", "term")
     ranked = by_term.withColumn("rank", F.row_number().over(order)).withColumn("terms", F.count(F.lit(1)).over(Window.partitionBy("item_id", "start"))).where("rank <= 2")
-    ranked = ranked.withColumn("rank", F.explode(F.when(F.col("terms") == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array("rank"))))
-    return ranked.select("item_id", "place", "term", "rank").distinct()
+    places = F.when(F.col("terms") == 1, F.array("first", "last")).otherwise(F.array("first"))
+    return ranked.select("item_id", F.explode(places).alias("place"), "term", "length").distinct()
 
 
 def alignments(postings: DataFrame, rare: DataFrame) -> DataFrame:
-    """(item_id, doc_id, shift) where the rarest and the second rarest term of windows meet at the same shift."""
-    met = postings.join(small(rare), "term").select("item_id", "doc_id", (F.col("pos") - F.col("place")).alias("shift"), "rank")
-    both = met.groupBy("item_id", "doc_id", "shift").agg(F.bit_or("rank").alias("ranks")).where("ranks = 3")
-    return both.select("item_id", "doc_id", "shift")
+    """(item_id, doc_id, shift) where rare terms of two places of the item meet at the same shift (one, if it has one word)."""
+    met = postings.join(small(rare), "term").select("item_id", "doc_id", (F.col("pos") - F.col("place")).alias("shift"), "place", "length")
+    both = met.groupBy("item_id", "doc_id", "shift").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.min("length").alias("length"))
+    return both.where("lo < hi or length = 1").select("item_id", "doc_id", "shift")
 
 
 def phrase_matches(postings: DataFrame, placed: DataFrame, window: int = WINDOW) -> DataFrame:
