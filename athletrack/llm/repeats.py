@@ -205,12 +205,13 @@ def _repeated(rows: pd.DataFrame, marks: Marks) -> pd.DataFrame:
     part, parts = rows["slice"].to_numpy(), rows["slices"].to_numpy()
     good = np.zeros((len(rows), spare + 1), bool)
     keys = np.zeros((len(rows), spare + 1), np.uint64)
+    place = np.arange(spare + 1, dtype=np.uint64) * _PLACE
     for d in range(spare + 1):  # strings that start d bytes before the anchor
         s = at - d
         ok = (s >= 0) & (s + length <= size) & (d % parts == part)
         i = np.flatnonzero(ok)
         good[i, d] = True
-        keys[i, d] = mixed(window_hashes_of(prefix, marks.down, i, s[i], length) ^ h[i] * np.uint64(5)) + np.uint64(d) * _PLACE
+        keys[i, d] = mixed(window_hashes_of(prefix, marks.down, i, s[i], length) ^ h[i] * np.uint64(5)) + place[d]
     flat = keys[good]
     _, where, count = np.unique(flat, return_inverse=True, return_counts=True)
     twice = np.zeros_like(good)
