@@ -4,7 +4,7 @@ A byte goes if a string of ``length`` bytes that covers it also starts somewhere
 anchor (``anchors``), so only positions around repeated anchors matter. An anchor's context is what strings through
 it can cover: ``length - size`` bytes before it and ``length`` after its start. Contexts that occur twice are covered
 whole. Contexts that share their anchor with different ones are compared string by string: all their strings of
-``length`` bytes are counted, with the anchor's tasks holding one context of each kind.
+``length`` bytes are counted, inside a task that holds one context of each kind, or as rows if an anchor has very many.
 
 This is not the merging of Burrows-Wheeler transforms; README.md says why, with figures.
 """
@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from athletrack.llm.anchors import mixed, powers, prefix_hashes, sliding_least, window_hashes
@@ -26,8 +26,8 @@ from athletrack.llm.base import written
 
 LENGTH, SIZE = 200, 100
 BROADCAST_CONTEXTS = 5_000_000  # 10 bytes each
-HOT_CONTEXTS = 20_000  # of one anchor; more are dealt out by the place of the string in the context
-WHOLE, MIXED = 1, 2
+HOT_CONTEXTS = 20_000  # of one anchor; their strings are counted as rows instead of inside a task
+WHOLE, MIXED, HOT = 1, 2, 4
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,7 +80,7 @@ def contexts(docs: DataFrame, length: int = LENGTH, size: int = SIZE) -> DataFra
     return kinds.select("h", "context", "n", "kinds")
 
 
-def _emit(found, flags, slices, data: bytes, doc, seen: set[int], out: dict[str, list]) -> None:
+def _emit(found, flags, data: bytes, doc, seen: set[int], out: dict[str, list]) -> None:
     """Rows for a text's repeated anchors: covered runs, and contexts to compare."""
     h, context, pos, lo, hi = found
     v = version(data)
@@ -89,52 +89,52 @@ def _emit(found, flags, slices, data: bytes, doc, seen: set[int], out: dict[str,
     if len(start):
         cut = np.flatnonzero(start[1:] > np.maximum.accumulate(stop)[:-1]) + 1
         for a, b in zip(start[np.append(0, cut)].tolist(), np.maximum.accumulate(stop)[np.append(cut - 1, len(stop) - 1)].tolist()):
-            _row(out, doc, v, a, b, None, 0, None, 0, False)
+            _row(out, doc, v, a, b, None, None, 0, False, False, 0)
     for i in np.flatnonzero(flags & MIXED):
         if whole[i]:
             if int(context[i]) in seen:
                 continue
             seen.add(int(context[i]))
-        for k in range(slices[i]):
-            _row(out, doc, v, int(lo[i]), int(hi[i]), int(h[i]), k, data[lo[i] : hi[i]], int(pos[i] - lo[i]), bool(whole[i]), int(slices[i]), int(context[i]))
+        _row(out, doc, v, int(lo[i]), int(hi[i]), int(h[i]), data[lo[i] : hi[i]], int(pos[i] - lo[i]), bool(whole[i]), bool(flags[i] & HOT), int(context[i]))
 
 
-_FIELDS = ("doc_id", "v", "start", "end", "h", "slice", "bytes", "at", "whole", "slices", "context")
+_FIELDS = ("doc_id", "v", "start", "end", "h", "bytes", "at", "whole", "hot", "context")
 
 
 def _row(out: dict[str, list], *values) -> None:
-    for name, value in zip(_FIELDS, (*values, *(0, 0)[: len(_FIELDS) - len(values)])):
+    for name, value in zip(_FIELDS, values):
         out[name].append(value)
 
 
 def _schema(kind: str) -> str:
-    return f"doc_id {kind}, v long, start long, end long, h long, slice int, bytes binary, at int, whole boolean, slices int, context long"
+    return f"doc_id {kind}, v long, start long, end long, h long, bytes binary, at int, whole boolean, hot boolean, context long"
 
 
 def _batch(out: dict[str, list], id_type: pa.DataType) -> pa.RecordBatch:
-    types = (id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.bool_(), pa.int32(), pa.int64())
+    types = (id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(_FIELDS, types)], list(_FIELDS))
 
 
-def covered_here(docs: DataFrame, known: DataFrame, length: int, size: int) -> DataFrame:
-    """Covered runs and contexts to compare, with all repeated contexts (a checked number) in every task."""
-    facts = known.select("context", F.col("n") > 1, F.col("kinds"))
+def _flag(hot: int) -> Column:
+    many = F.when(F.col("n") > 1, WHOLE).otherwise(0)
+    return many + F.when(F.col("kinds") > 1, MIXED).otherwise(0) + F.when(F.col("kinds") > hot, HOT).otherwise(0)
+
 
+def covered_here(docs: DataFrame, known: DataFrame, length: int, size: int, hot: int) -> DataFrame:
+    """Covered runs and contexts to compare, with all repeated contexts (a checked number) in every task."""
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            context, many, kinds = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            flags = np.where(many, WHOLE, 0).astype(np.uint8) | np.where(kinds > 1, MIXED, 0).astype(np.uint8)
-            parts = context.tobytes(), flags.tobytes(), np.minimum(1 + kinds // HOT_CONTEXTS, 32).astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["context", "flags", "slices"])
-
-    rows = facts.mapInArrow(packed, "context binary, flags binary, slices binary").toLocalIterator()
-    got = [(np.frombuffer(r[0], np.int64), np.frombuffer(r[1], np.uint8), np.frombuffer(r[2], np.uint8)) for r in rows]
-    keys, flags, slices = (np.concatenate([g[k] for g in got] or [np.zeros(0, t)]) for k, t in enumerate((np.int64, np.uint8, np.uint8)))
+            parts = (batch.column(k).to_numpy(zero_copy_only=False).astype(t).tobytes() for k, t in enumerate((np.int64, np.uint8)))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["context", "flags"])
+
+    rows = known.select("context", _flag(hot)).mapInArrow(packed, "context binary, flags binary").toLocalIterator()
+    got = [(np.frombuffer(r[0], np.int64), np.frombuffer(r[1], np.uint8)) for r in rows]
+    keys, flags = (np.concatenate([g[k] for g in got] or [np.zeros(0, t)]) for k, t in enumerate((np.int64, np.uint8)))
     order = np.argsort(keys)
-    held = docs.sparkSession.sparkContext.broadcast((keys[order], flags[order], slices[order]))
+    held = docs.sparkSession.sparkContext.broadcast((keys[order], flags[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, flags, slices = held.value
+        keys, flags = held.value
         marks, seen = Marks(length, size), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
@@ -146,13 +146,13 @@ def covered_here(docs: DataFrame, known: DataFrame, length: int, size: int) -> D
                         where = np.minimum(np.searchsorted(keys, found[1]), len(keys) - 1)
                         hit = keys[where] == found[1]
                         if hit.any():
-                            _emit([x[hit] for x in found], flags[where[hit]], slices[where[hit]], data, doc, seen, out)
+                            _emit([x[hit] for x in found], flags[where[hit]], data, doc, seen, out)
                 yield _batch(out, batch.column(0).type)
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, _schema(dict(docs.dtypes)["doc_id"]))
 
 
-def covered_by_join(docs: DataFrame, known: DataFrame, length: int, size: int) -> DataFrame:
+def covered_by_join(docs: DataFrame, known: DataFrame, length: int, size: int, hot: int) -> DataFrame:
     """The same without a broadcast: contexts are joined, and go back to their documents as arrays."""
     kind = dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", F.col("text").cast("string"))
@@ -171,27 +171,23 @@ def covered_by_join(docs: DataFrame, known: DataFrame, length: int, size: int) -
         for batch in batches:
             out = {n: [] for n in _FIELDS}
             for doc, text, have in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                table = {c["context"]: (c["flag"], c["slices"]) for c in have}
+                table = {c["context"]: c["flag"] for c in have}
                 found = marks(data := _bytes(text))
                 hit = np.array([c in table for c in found[1].tolist()], bool)
                 if hit.any():
                     got = np.array([table[c] for c in found[1][hit].tolist()])
-                    _emit([x[hit] for x in found], got[:, 0], got[:, 1], data, doc, seen, out)
+                    _emit([x[hit] for x in found], got, data, doc, seen, out)
             yield _batch(out, batch.column(0).type)
 
-    flag = F.when(F.col("n") > 1, WHOLE).otherwise(0) + F.when(F.col("kinds") > 1, MIXED).otherwise(0)
-    facts = known.select("context", flag.alias("flag"), F.least(1 + F.floor(F.col("kinds") / HOT_CONTEXTS), F.lit(32)).cast("int").alias("slices"))
+    facts = known.select("context", _flag(hot).alias("flag"))
     met = texts.mapInArrow(places, f"doc_id {kind}, context long").join(facts, "context")
-    of_doc = met.groupBy("doc_id").agg(F.collect_set(F.struct("context", "flag", "slices")).alias("have"))  # bounded by the document
+    of_doc = met.groupBy("doc_id").agg(F.collect_set(F.struct("context", "flag")).alias("have"))  # bounded by the document
     of_doc = of_doc.withColumnRenamed("doc_id", "of")
     return texts.join(of_doc, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text", "have").mapInArrow(back, _schema(kind))
 
 
-def _repeated(rows: pd.DataFrame, marks: Marks) -> pd.DataFrame:
-    """Runs covered by strings that two contexts of an anchor share. ``rows`` holds all contexts of its anchors."""
-    rows = rows.drop_duplicates(["slice", "h", "context", "doc_id", "v", "start"])
-    many = rows["whole"].to_numpy()
-    rows = pd.concat([rows[many].drop_duplicates(["slice", "h", "context"]), rows[~many]])
+def _keys(rows: pd.DataFrame, marks: Marks) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, whether there is one) by context and by the distance d of a string's start before the anchor."""
     length, spare = marks.length, marks.length - marks.size
     size = rows["bytes"].map(len).to_numpy()
     if len(marks.up) <= length + spare:
@@ -201,34 +197,36 @@ def _repeated(rows: pd.DataFrame, marks: Marks) -> pd.DataFrame:
         grid[i, : len(b)] = np.frombuffer(b, np.uint8)
     prefix = np.zeros((len(rows), length + spare + 1), np.uint64)
     np.cumsum((grid + np.uint64(1)) * marks.up[: length + spare], 1, out=prefix[:, 1:])
-    at, h = rows["at"].to_numpy(), mixed(rows["h"].to_numpy().view(np.uint64))
-    part, parts = rows["slice"].to_numpy(), rows["slices"].to_numpy()
+    at, h = rows["at"].to_numpy(), mixed(rows["h"].to_numpy().astype(np.int64).view(np.uint64))
     good = np.zeros((len(rows), spare + 1), bool)
     keys = np.zeros((len(rows), spare + 1), np.uint64)
     place = np.arange(spare + 1, dtype=np.uint64) * _PLACE
-    for d in range(spare + 1):  # strings that start d bytes before the anchor
+    for d in range(spare + 1):
         s = at - d
-        ok = (s >= 0) & (s + length <= size) & (d % parts == part)
-        i = np.flatnonzero(ok)
+        i = np.flatnonzero((s >= 0) & (s + length <= size))
         good[i, d] = True
-        keys[i, d] = mixed(window_hashes_of(prefix, marks.down, i, s[i], length) ^ h[i] * np.uint64(5)) + place[d]
-    flat = keys[good]
-    _, where, count = np.unique(flat, return_inverse=True, return_counts=True)
+        keys[i, d] = mixed(mixed((prefix[i, s[i] + length] - prefix[i, s[i]]) * marks.down[s[i]]) ^ h[i] * np.uint64(5)) + place[d]
+    return keys, good
+
+
+def _repeated(rows: pd.DataFrame, marks: Marks) -> pd.DataFrame:
+    """Runs covered by strings that two contexts of an anchor share. ``rows`` holds all contexts of its anchors."""
+    rows = rows.drop_duplicates(["h", "context", "doc_id", "v", "start"])
+    many = rows["whole"].to_numpy(bool)
+    rows = pd.concat([rows[many].drop_duplicates(["h", "context"]), rows[~many]])
+    keys, good = _keys(rows, marks)
+    _, where, count = np.unique(keys[good], return_inverse=True, return_counts=True)
     twice = np.zeros_like(good)
     twice[good] = count[where] > 1
     out = []
-    ids, v, start, whole = rows["doc_id"].to_numpy(), rows["v"].to_numpy(), rows["start"].to_numpy(), rows["whole"].to_numpy()
+    ids, v, first, whole = rows["doc_id"].to_numpy(), rows["v"].to_numpy(), (rows["start"] + rows["at"]).to_numpy(), rows["whole"].to_numpy(bool)
     for i in np.flatnonzero(twice.any(1) & ~whole):
-        s = np.sort(start[i] + at[i] - np.flatnonzero(twice[i]))
-        cut = np.flatnonzero(np.diff(s) > length) + 1
-        out += [(ids[i], v[i], int(r[0]), int(r[-1]) + length) for r in np.split(s, cut)]
+        s = np.sort(first[i] - np.flatnonzero(twice[i]))
+        cut = np.flatnonzero(np.diff(s) > marks.length) + 1
+        out += [(ids[i], v[i], int(r[0]), int(r[-1]) + marks.length) for r in np.split(s, cut)]
     return pd.DataFrame(out, columns=["doc_id", "v", "start", "end"])
 
 
-def window_hashes_of(prefix: np.ndarray, down: np.ndarray, i: np.ndarray, s: np.ndarray, length: int) -> np.ndarray:
-    return mixed((prefix[i, s + length] - prefix[i, s]) * down[s])
-
-
 def compared(rows: DataFrame, length: int, size: int) -> DataFrame:
     """(doc_id, v, start, end) from contexts of anchors that have several."""
     kind = dict(rows.dtypes)["doc_id"]
@@ -240,17 +238,36 @@ def compared(rows: DataFrame, length: int, size: int) -> DataFrame:
             if len(pdf) < 4_000:
                 rest = pdf
                 continue
-            last = (pdf["h"] == pdf["h"].iloc[-1]) & (pdf["slice"] == pdf["slice"].iloc[-1])  # may go on
+            last = pdf["h"] == pdf["h"].iloc[-1]  # may go on
             rest = pdf[last]
             if not last.all():
                 yield _repeated(pdf[~last], marks)
         if rest is not None and len(rest):
             yield _repeated(rest, marks)
 
-    dealt = rows.where("h is not null").repartition("h", "slice").sortWithinPartitions("h", "slice")
+    dealt = rows.where("h is not null and not hot").repartition("h").sortWithinPartitions("h")
     return dealt.mapInPandas(run, f"doc_id {kind}, v long, start long, end long")
 
 
+def compared_as_rows(rows: DataFrame, length: int, size: int) -> DataFrame:
+    """The same for anchors with very many contexts: every string is a row, counted before and after the shuffle."""
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks = Marks(length, size)
+        for batch in batches:
+            for k in range(0, len(batch), 2_000):
+                pdf = batch.iloc[k : k + 2_000]
+                keys, good = _keys(pdf, marks)
+                i, d = np.nonzero(good)
+                start = (pdf["start"] + pdf["at"]).to_numpy()[i] - d
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[i], "v": pdf["v"].to_numpy()[i], "start": start, "whole": pdf["whole"].to_numpy(bool)[i], "key": keys[i, d].view(np.int64)})
+
+    each = written(rows.where("hot").mapInPandas(strings, f"doc_id {kind}, v long, start long, whole boolean, key long"), "repeats-strings")
+    twice = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return each.where("not whole").join(twice, "key", "left_semi").select("doc_id", "v", "start", (F.col("start") + length).alias("end"))
+
+
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """What is left, bytes removed, maximal removed runs."""
     left, at, removed, runs = [], 0, 0, 0
@@ -265,16 +282,19 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join([*left, data[at:]]), removed, runs
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, size: int = SIZE, limit: int = BROADCAST_CONTEXTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, size: int = SIZE, limit: int = BROADCAST_CONTEXTS, hot: int = HOT_CONTEXTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row.
 
     Null and empty texts, and texts below ``length`` bytes, lose nothing. Equal rows are repeats of each other. A null
     doc_id is kept as such. Other columns are not read.
     """
     known = written(contexts(docs, length, size), "repeats-contexts")
-    found = covered_here(docs, known, length, size) if known.limit(limit + 1).count() <= limit else covered_by_join(docs, known, length, size)
+    covered = covered_here if known.limit(limit + 1).count() <= limit else covered_by_join
+    found = covered(docs, known, length, size, hot)
     found = written(found, "repeats-found")
     spans = found.where("h is null").select("doc_id", "v", "start", "end").unionByName(compared(found, length, size))
+    if not found.where("hot").isEmpty():
+        spans = spans.unionByName(compared_as_rows(found, length, size))
     of_doc = spans.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("v", "start", "end")).alias("spans"))  # bounded by the document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -198,13 +198,13 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_repeats(spark, limit):
+@pytest.mark.parametrize("limit, hot", [(10**6, 10**6), (0, 10**6), (10**6, 2)])
+def test_repeats(spark, limit, hot):
     rng = random.Random(4)
     base = some_docs(120, seed=5)
     extra = [(300, "ab" * 400), (301, "x" * 500), (302, base[0][1] * 3), (303, "é" * 199), (304, "".join(rng.choice("ab") for _ in range(3_000)))]
     rows = base + extra + [(305, "lead " + extra[4][1][700:1_300] + " tail"), (306, extra[4][1][899:1_098]), (307, extra[4][1][899:1_099])]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.remove_repeats(table(spark, rows), limit=limit).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.remove_repeats(table(spark, rows), limit=limit, hot=hot).collect()}
     assert got == brute_repeats(rows, repeats.LENGTH)
 
 
