@@ -35,25 +35,22 @@ def hash_sample(df: DataFrame, key: Column, limit: int) -> DataFrame:
 
 
 def label_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int):
-    """At most ``limit`` labelled (doc_id, text, label) rows, those with the smallest hash of doc_id.
+    """At most ``limit`` labelled (doc_id, text, label) rows, chosen by the hash of doc_id.
 
     One label per doc_id (the largest where rows repeat); null labels and rows outside ``keep`` are left out.
     The bound is on what the driver fits on; scoring always reads every row.
     """
-    chosen = (
-        labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.coalesce(keep, F.lit(False)))
-        .groupBy("doc_id").agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    )
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.coalesce(keep, F.lit(False)))
+    chosen = hash_sample(known.groupBy("doc_id").agg(F.max("label").alias("label")), F.xxhash64("doc_id"), limit)
     rows = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen holds at most limit rows
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about limit rows
         .groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     )
-    return sorted(rows.collect(), key=lambda r: r["doc_id"])
+    return sorted(rows.collect(), key=lambda r: r["doc_id"])[:limit]
 
 
 def only(docs: DataFrame, ids: DataFrame, limit: int = 500_000) -> DataFrame:
     """Rows of ``docs`` whose doc_id (null included) is in ``ids``."""
-    ids = written(ids.select(F.col("doc_id").alias("of")).distinct(), "ids")
+    ids = written(ids.select(F.col("doc_id").alias("_only_doc_id")).distinct(), "ids")
     ids = F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_only_doc_id")), "left_semi")
