@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athletrack.llm.base import hash_sample
+from athletrack.llm.base import hash_sample, sliced
 
 SAMPLE = 300
 NEXT, SIBLING = 0.6, 0.9  # smoothness of blocks in sequence, and under one parent
@@ -249,7 +249,7 @@ def extract(pages: DataFrame, weights: list[float] | None = None) -> DataFrame:
     weights = weights or train(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = pa.array([main_text(h, weights) for h in batch.column(2).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["page_id", "url", "text"])
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from athletrack.llm.base import written
+from athletrack.llm.base import sliced, written
 from athletrack.llm.components import components
 
 ROWS = 5
@@ -77,7 +77,7 @@ def signatures(docs: DataFrame, shape: Shape) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = np.arange(shape.bands, dtype=np.uint64) * _MIX
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 if not len(s := shape.shingles(text)):
@@ -100,7 +100,7 @@ def _verified(pairs: DataFrame, shape: Shape) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
             for u, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if u != last:  # rows of a hub come one after another

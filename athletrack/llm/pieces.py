@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from athletrack.llm.base import sliced
+
 MARK = "▁"
-TABLE_LIMIT = 300_000
+TABLE_LIMIT = 100_000
 LONG_WORD = 4_096  # longer words are segmented each time and not kept
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -71,14 +73,12 @@ def table(model_path: str, limit: int = TABLE_LIMIT) -> WordTable:
 
 def _encode(batches: Iterator[pa.RecordBatch], model_path: str, with_text: bool) -> Iterator[pa.RecordBatch]:
     words = table(model_path)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1_000):
-            part = batch.slice(at, 1_000)
-            ids = [words.encode(t) for t in part.column(1).to_pylist()]
-            columns = [part.column(0), pa.array(ids, pa.list_(pa.int32()))]
-            if with_text:
-                columns.append(pa.array([words.decode(i) if i else "" for i in ids], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+    for batch in sliced(batches):
+        ids = [words.encode(t) for t in batch.column(1).to_pylist()]
+        columns = [batch.column(0), pa.array(ids, pa.list_(pa.int32()))]
+        if with_text:
+            columns.append(pa.array([words.decode(i) if i else "" for i in ids], pa.string()))
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
 
 def encode(docs: DataFrame, model_path: str, with_text: bool = False) -> DataFrame:

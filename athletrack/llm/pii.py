@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athletrack.llm.base import hash_sample
+from athletrack.llm.base import hash_sample, sliced
 from athletrack.llm.trees import Boosted, threshold
 
 KINDS = ("email", "ip", "card", "phone")
@@ -220,7 +220,7 @@ def detect(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     found = docs.sparkSession.sparkContext.broadcast(detector or train(docs))  # 40 small trees a kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [found.value.spans(t) for t in batch.column(1).to_pylist()]
             columns = [pa.array([[dict(zip(("kind", "start", "end"), s)) for s in r[k]] for r in rows], _SPAN_TYPE) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "base", "spans"])
@@ -244,7 +244,7 @@ def redact(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
         return "".join([*out, text[last:]]) if spans else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             new = pa.array(map(clean, batch.column(at).to_pylist()), pa.string())
             yield pa.RecordBatch.from_arrays([new if k == at else batch.column(k) for k in range(len(names))], names)
 

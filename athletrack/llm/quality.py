@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from athletrack.llm.base import fold, label_sample
+from athletrack.llm.base import fold, label_sample, sliced
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -23,7 +23,7 @@ SAMPLE = 4_000
 EPOCHS = 5
 AGAIN = BUCKETS  # the row of the feature "same word as the one before"
 AGAIN_WEIGHT = 12  # it counts like the n-grams of an average word
-PIECE = 1 << 20  # bytes looked at together
+PIECE = 1 << 18  # bytes looked at together
 GRAMS = (3, 4, 5)
 _K = np.uint32(0x01000193)
 _MIX = np.uint32(0x9E3779B1)
@@ -166,10 +166,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                part = batch.slice(at, 1_000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(part.column(1).to_pylist(), *model.value))], ["doc_id", "score"])
+        for part in sliced(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(part.column(1).to_pylist(), *model.value))], ["doc_id", "score"])
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
 
@@ -192,9 +190,7 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1_000):
-                part = batch.slice(k, 1_000)
-                yield part.filter(pa.array(scores(part.column(at).to_pylist(), *model.value) >= least))
+        for part in sliced(batches):
+            yield part.filter(pa.array(scores(part.column(at).to_pylist(), *model.value) >= least))
 
     return docs.mapInArrow(run, docs.schema)

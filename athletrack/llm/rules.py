@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athletrack.llm.base import written
+from athletrack.llm.base import sliced, written
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -61,7 +61,7 @@ def metrics(docs: DataFrame, host: str = "source") -> DataFrame:
     """(doc_id, host, the five measures) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = list(map(measure, batch.column(2).to_pylist()))
             columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(METRICS))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "host", *METRICS])

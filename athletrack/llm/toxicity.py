@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from athletrack.llm.base import fold, label_sample, written
+from athletrack.llm.base import fold, label_sample, sliced, written
 
 SAMPLE = 6_000
 VOCABULARY = 4_000
@@ -174,7 +174,7 @@ def counted(docs: DataFrame, terms: list[bytes]) -> DataFrame:
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(terms))  # VOCABULARY terms at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [sorted(vocabulary.value.count(t).items()) for t in batch.column(1).to_pylist()]
             columns = [pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "terms", "counts"])
