@@ -19,7 +19,8 @@ from athletrack.functions import geometry as g
 from athletrack.operators.select import KEY, select_player_bbox
 from athletrack.schemas import CROP, TrackConfig
 
-INSTANCE = "array<struct<index:bigint,area:double,cx:double,cy:double,visible:int,x1:float,y1:float,x2:float,y2:float>>"
+#: what the fold needs of a pose, as doubles in one flat array for each frame: plain numbers cross to Python fastest
+INSTANCE = ("index", "area", "cx", "cy", "visible", "x1", "y1", "x2", "y2")
 TRACKS = f"session_id bigint, frame_index bigint, detection_reason string, submitted boolean, crop_before {CROP}, crop_after {CROP}, assess_reason string, frame_stage string, instance_index bigint"
 Crop = tuple[int, int, int, int]
 
@@ -32,7 +33,8 @@ def fold_rows(frames: DataFrame, detections: DataFrame, poses: DataFrame, config
     """
     best = select_player_bbox(detections, config.detector_score_threshold)
     size = F.col("frame_width"), F.col("frame_height")
-    best = best.select(*KEY, g.crop(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), *size, config.crop_margin).alias("found"))
+    crop = g.crop(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), *size, config.crop_margin)
+    best = best.select(*KEY, F.when(crop.isNotNull(), F.array(*(crop[k] for k in ("x1", "y1", "x2", "y2")))).alias("found"))
     shown = F.when(F.size("scores") == 0, F.col("keypoints")).otherwise(F.filter("keypoints", lambda p, i: F.get("scores", i).cast("double") > g.POSE_VISIBLE))
     wide = F.transform(shown, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
     rows = poses.where(F.size("keypoints") > 0).withColumn("all", g.bounds(wide)).withColumn("seen", g.bounds(g.visible(F.col("keypoints"), F.col("scores"), config.score_threshold)))
@@ -45,6 +47,7 @@ def fold_rows(frames: DataFrame, detections: DataFrame, poses: DataFrame, config
         F.col("seen.n").alias("visible"), *(F.col(f"seen.{k}").alias(k) for k in ("x1", "y1", "x2", "y2")),
     )
     people = rows.where((F.col("all.n") > 0) | has).groupBy(*KEY).agg(F.sort_array(F.collect_list(instance)).alias("people"))  # people in a frame
+    people = people.withColumn("people", F.flatten(F.transform("people", lambda p: F.array(*(p[k].cast("double") for k in INSTANCE)))))
     return frames.join(best, list(KEY), "left").join(people, list(KEY), "left")
 
 
@@ -91,17 +94,17 @@ class Tracker:
         x1, y1, x2, y2 = self.crop
         best = None
         for p in people:
-            away = math.hypot(p["cx"] - (x1 + x2) / 2, p["cy"] - (y1 + y2) / 2) / max(x2 - x1, y2 - y1)
-            rank = p["area"] / (1.0 + away)
+            away = math.hypot(p[2] - (x1 + x2) / 2, p[3] - (y1 + y2) / 2) / max(x2 - x1, y2 - y1)
+            rank = p[1] / (1.0 + away)
             if not math.isnan(rank) and (best is None or rank > best[0]):
                 best = rank, p
         return best and best[1]
 
     def _follow(self, p, width: int, height: int) -> None:
         c = self.config
-        if p["visible"] < g.MIN_CROP_POINTS:
+        if p[4] < g.MIN_CROP_POINTS:
             return
-        x1, y1, x2, y2 = (np.float32(p[k]) for k in ("x1", "y1", "x2", "y2"))
+        x1, y1, x2, y2 = map(np.float32, p[5:])
         # sizes of float bounds are taken as float
         target = _crop(float(x1), float(y1), float(x2), float(y2), width, height, c.crop_margin, (float(x2 - x1), float(y2 - y1)))
         if target is None:
@@ -118,11 +121,12 @@ class Tracker:
         c = self.config
         if p is None:
             return "missing_pose"
-        if p["visible"] < c.tracking_min_keypoints:
+        if p[4] < c.tracking_min_keypoints:
             return "low_keypoints"
         x1, y1, x2, y2 = self.crop
+        left, top, right, bottom = p[5:]
         ex, ey = (x2 - x1) * c.redetect_edge, (y2 - y1) * c.redetect_edge
-        hit = p["x1"] <= x1 + ex and x1 > 0 or p["x2"] >= x2 - ex and x2 < width or p["y1"] <= y1 + ey and y1 > 0 or p["y2"] >= y2 - ey and y2 < height
+        hit = left <= x1 + ex and x1 > 0 or right >= x2 - ex and x2 < width or top <= y1 + ey and y1 > 0 or bottom >= y2 - ey and y2 < height
         return "crop_edge" if hit else None
 
     def step(self, frame: int, started: float, width: int, height: int, found: Crop | None, seconds: float, people) -> tuple:
@@ -153,11 +157,11 @@ class Tracker:
         if person is not None:
             self._follow(person, width, height)
         self.pending = self._assess(person, width, height)
-        return reason, submitted, before, self.crop, self.pending, stage, person and person["index"]
+        return reason, submitted, before, self.crop, self.pending, stage, None if person is None else int(person[0])
 
 
 def _tuple(crop) -> Crop | None:
-    return None if crop is None or (isinstance(crop, float) and math.isnan(crop)) else tuple(int(crop[k]) for k in ("x1", "y1", "x2", "y2"))
+    return None if crop is None or isinstance(crop, float) else tuple(map(int, crop))
 
 
 def _struct(crop: Crop | None) -> dict | None:
@@ -169,7 +173,7 @@ def track_rows(rows: pd.DataFrame, tracker: Tracker) -> pd.DataFrame:
     rows = rows.sort_values("frame_index", kind="stable")
     out = []
     for session, frame, started, seconds, width, height, found, people in zip(*(rows[c].tolist() for c in ("session_id", "frame_index", "loop_started_at", "detector_seconds", "frame_width", "frame_height", "found", "people"))):
-        people = [] if people is None or isinstance(people, float) else list(people)
+        people = [] if people is None or isinstance(people, float) else np.asarray(people, float).reshape(-1, len(INSTANCE)).tolist()
         seconds = 0.0 if seconds is None or math.isnan(seconds) else seconds
         reason, sent, before, after, assessed, stage, instance = tracker.step(int(frame), started, int(width), int(height), _tuple(found), seconds, people)
         out.append((session, frame, reason, sent, _struct(before), _struct(after), assessed, stage, instance))
