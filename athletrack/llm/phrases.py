@@ -35,6 +35,15 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def numbered(items: DataFrame) -> DataFrame:
+    """(item_id long, item string, text): each distinct text of an item_id under a number of its own.
+
+    Places and runs hold within one text, so neither equal rows nor other texts of an item may share its key.
+    """
+    found = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).distinct()
+    return written(found.select(F.monotonically_increasing_id().alias("item_id"), "item", "text"), "phrases-texts")
+
+
 def item_terms(items: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(item_id, place, term, length) for each word of each item; places from 0."""
     split = items.select("item_id", words(F.col("text")).alias("w"))
@@ -117,16 +126,17 @@ def proximity_matches(postings: DataFrame, placed: DataFrame, within: int = 30,
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, contaminated), items sorted as strings, for every row.
 
-    Null and empty texts have no words and no hits, and such items no window. Rows that repeat a doc_id are searched
-    as one document's and each give a row; a null doc_id and a null item_id match nothing. Other columns are not
-    read.
+    Null and empty texts have no words and no hits, and such items no window. Repeated items count once, and several
+    texts of an item_id are looked for each by itself. Rows that repeat a doc_id are
+    searched as one document's and each give a row; a null doc_id and a null item_id match nothing. Other columns
+    are not read.
     """
-    items = items.where("item_id is not null")
+    items = numbered(items)
     terms = vocabulary(items)
     placed = written(item_terms(items, terms), "phrases-items")
     postings = written(index(docs, terms), "phrases-index")
     hits = phrase_matches(postings.where("doc_id is not null"), placed, window)
-    found = hits.groupBy("doc_id", "pos").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    found = hits.join(small(items.select("item_id", "item")), "item_id").groupBy("doc_id", "pos").agg(F.collect_set("item").alias("items"))
     found = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     lengths = postings.where(F.col("term") == _LENGTH).select("doc_id", F.col("pos").cast("long").alias("n_words"))
     out = lengths.join(found, "doc_id", "left")

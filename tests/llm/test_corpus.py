@@ -171,6 +171,17 @@ def test_contamination_odd_tables(spark):
     assert phrases.contamination(docs.limit(0), items).count() == 0
 
 
+def test_contamination_repeated_items(spark):
+    long = [f"a{k}" for k in range(14)]
+    other = [f"b{k}" for k in range(12)]
+    items = [(1, " ".join(long)), (1, " ".join(long)), (2, " ".join(long)), (2, " ".join(other)), (2, "a0 b1 c2"), (3, " ".join(long[:8])), (3, None)]
+    docs = [(1, "x " + " ".join(long)), (2, " ".join(other) + " y"), (3, " ".join(long[:9]) + " z"), (4, " ".join(other[:9])), (5, "a0 b1 c2"), (6, "a0 b1 a2")]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"]) for r in phrases.contamination(table(spark, docs), frame).collect()}
+    assert got == brute_contamination(docs, items)
+    assert got[1] == (15, 14, ["1", "2", "3"], True) and got[2] == (13, 12, ["2"], True)
+
+
 def test_proximity(spark):
     docs = table(spark, [(1, "alpha x x beta x gamma"), (2, "alpha " + "x " * 50 + "beta gamma"), (3, "alpha beta")])
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
