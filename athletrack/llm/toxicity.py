@@ -1,31 +1,31 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The driver fits on a bounded sample of labelled rows (``SAMPLE`` examples, ``VOCABULARY`` terms whose presence is
-tied to the label); document frequencies are counted over all documents. The index has a fixed bound, so it is
-broadcast; every task then looks up its own documents. Blocks of examples are visited in the order of their best
-possible cosine and left out once none of them can reach the k-th best, so the k nearest are exact.
+The driver fits on a bounded sample of labelled rows (``SAMPLE`` examples) and indexes every term of theirs. Terms
+count by how much their presence is tied to the label, but none is left out; document frequencies are counted over
+all documents. The index is bounded by the sample, so it is broadcast; every task then looks up its own documents.
+Blocks of examples are visited in the order of their best possible cosine and left out once none of them can reach
+the k-th best, so the k nearest are exact.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from athletrack.llm.base import fold, label_sample, sliced, written
+from athletrack.llm.base import fold, label_sample, sliced
 
 SAMPLE = 6_000
-VOCABULARY = 4_000
-CHI_SQUARE = 40.0
-LEAST_DOCUMENTS = 3  # with a term, or one in a thousand of the examples if that is more
 STEM = 5  # bytes of a longer word that count as a term of their own
 NEIGHBOURS = 15
 BLOCK = 128
+FIRST = 8  # blocks that are visited before any is left out
 PRIOR = 0.3  # similarity that the prior counts for in a vote
 MEMO = 50_000
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -38,7 +38,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Vocabulary:
-    """Counts the chosen terms of a text."""
+    """Counts the terms of a text that are numbered in ``terms``."""
 
     def __init__(self, terms: list[bytes]):
         self.whole = {t: i for i, t in enumerate(terms) if not t.endswith(b"*")}
@@ -52,27 +52,32 @@ class Vocabulary:
         return counts
 
 
-def select_terms(rows: Iterable[tuple[str | None, int]]) -> list[bytes]:
-    """Terms whose presence depends on the label (chi-square), the strongest ``VOCABULARY`` in order of bytes."""
-    n = ones = 0
-    have, have_one = Counter(), Counter()
-    for text, y in rows:
-        n, ones = n + 1, ones + y
-        have.update(once := set(words(text)))
+def ties(counts: list[np.ndarray], labels: np.ndarray, n_terms: int) -> np.ndarray:
+    """The weight of each term: the root of one plus the chi-square of its presence and the label.
+
+    One is what a term without any tie is expected to have, so that no term is left out.
+    """
+    have, have_one = np.zeros(n_terms), np.zeros(n_terms)
+    for found, y in zip(counts, labels):
+        have[found[:, 0]] += 1
         if y:
-            have_one.update(once)
-    if not 0 < ones < n:
-        return []
-    found = []
-    for term, df in have.items():
-        if max(LEAST_DOCUMENTS, n // 1_000) <= df < n:
-            a = have_one[term]
-            b, c = df - a, ones - a
-            d = n - df - c
-            chi = n * (a * d - b * c) ** 2 / (df * (n - df) * ones * (n - ones))
-            if chi >= CHI_SQUARE:
-                found.append((-chi, term))
-    return sorted(t for _, t in sorted(found)[:VOCABULARY])
+            have_one[found[:, 0]] += 1
+    n, ones = len(labels), labels.sum()
+    b, c = have - have_one, ones - have_one
+    of = have * (n - have) * ones * (n - ones)
+    chi = np.where(of > 0, n * (have_one * (n - have - c) - b * c) ** 2 / np.maximum(of, 1), 0.0)
+    return np.sqrt(1 + chi)
+
+
+def spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each ``lo`` to before its ``hi``, and how many each has."""
+    sizes = hi - lo
+    return np.arange(sizes.sum()) + np.repeat(lo - sizes.cumsum() + sizes, sizes), sizes
+
+
+def pairs(counts: Counter[int]) -> np.ndarray:
+    """(term, count) rows in order of the terms."""
+    return np.array(sorted(counts.items()), np.int32).reshape(-1, 2)
 
 
 class Index:
@@ -88,25 +93,34 @@ class Index:
         weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)]).astype(float)
         doc = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
         order = np.lexsort((doc, term))
-        self.doc, self.weight = doc[order], weight[order]
-        self.best = np.zeros((n_terms, n_blocks))
-        np.maximum.at(self.best, (term, doc // block), weight)
+        self.doc, self.weight = doc[order].astype(np.int32), weight[order]
         slot = term[order] * n_blocks + self.doc // block
-        self.at = np.searchsorted(slot, np.arange(n_terms * n_blocks + 1)).reshape(-1)
+        # a slot is a term in a block that has it: slots of term t are first[t] to first[t + 1], their postings likewise
+        some, at = np.unique(slot, return_index=True)
+        self.at = np.append(at, len(slot))
+        self.slot_block = (some % n_blocks).astype(np.int32)
+        self.best = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
+        self.first = np.searchsorted(some, np.arange(n_terms + 1) * n_blocks)
         self.n_blocks = n_blocks
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        bound = weights @ self.best[terms]
+        slots, sizes = spans(self.first[terms], self.first[terms + 1])
+        of, weights = self.slot_block[slots], np.repeat(weights, sizes)
+        bound = np.bincount(of, weights * self.best[slots], minlength=self.n_blocks)
         ids, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(ids) >= k and bound[b] < cosines[-1] - 1e-9:
-                break
-            acc = np.zeros(self.block)
-            for t, w in zip(terms, weights):
-                lo, hi = self.at[t * self.n_blocks + b], self.at[t * self.n_blocks + b + 1]
-                acc[self.doc[lo:hi] - b * self.block] += w * self.weight[lo:hi]
+        order = np.argsort(-bound, kind="stable")
+        for blocks in (order[:FIRST], order[FIRST:]):
+            least = cosines[-1] - 1e-9 if len(ids) >= k else 0
+            visit = np.zeros(self.n_blocks, bool)
+            visit[blocks] = (bound[blocks] > 0) & (bound[blocks] >= least)
+            here = visit[of]
+            postings, sizes = spans(self.at[slots[here]], self.at[slots[here] + 1])
+            acc = np.bincount(self.doc[postings], np.repeat(weights[here], sizes) * self.weight[postings], minlength=self.n)
             some = np.flatnonzero(acc)
-            ids, cosines = np.concatenate([ids, some + b * self.block]), np.concatenate([cosines, acc[some].round(9)])
+            ids, cosines = np.concatenate([ids, some]), np.concatenate([cosines, acc[some].round(9)])
+            if len(ids) > k:
+                near = cosines >= np.partition(cosines, -k)[-k]
+                ids, cosines = ids[near], cosines[near]
             best = np.lexsort((ids, -cosines))[:k]
             ids, cosines = ids[best], cosines[best]
         return ids, cosines
@@ -125,27 +139,30 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Labelled examples as unit vectors, how they vote, and what a vote means (fitted leaving each one out)."""
+    """Labelled examples as unit vectors, how they vote, and what a vote means (fitted leaving each one out).
+
+    ``idf`` has the weight of each term: its inverse document frequency times its tie to the label.
+    """
 
-    def __init__(self, terms: list[bytes], idf: np.ndarray, rows: list[tuple[int, Counter[int], int]]):
-        self.terms, self.idf = terms, idf
+    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, rows: list[tuple[int, np.ndarray, int]]):
+        self.vocabulary, self.idf = vocabulary, idf
         labels = np.array([y for _, _, y in rows], float)
         self.prior = float((labels.sum() + 1) / (len(rows) + 2))
-        vectors = [self.vector(sorted(c.items())) for _, c, _ in rows]
+        vectors = [self.vector(c) for _, c, _ in rows]
         some = [i for i, (t, _) in enumerate(vectors) if len(t)]
         self.ids, self.labels = np.array([rows[i][0] for i in some], np.int64), labels[some]
-        self.index = Index([vectors[i] for i in some], len(terms))
+        self.index = Index([vectors[i] for i in some], len(idf))
         none = np.ones(len(rows), bool)
         none[some] = False
-        #: no term of the vocabulary: the share of label 1 among such examples
+        #: no term of any example: the share of label 1 among such examples
         self.nothing = float((labels[none].sum() + self.prior) / (none.sum() + 1))
         votes = np.array([self.vote(*self.near(vectors[i], NEIGHBOURS + 1, skip=j))[0] for j, i in enumerate(some)])
         self.curve = isotonic(votes, self.labels) if some else (np.zeros(1), np.array([self.prior]))
         self.memo: dict[bytes, tuple[float, list[int]]] = {}
 
-    def vector(self, counts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array([t for t, _ in counts], np.int64)
-        weights = np.array([(1 + np.log(n)) * self.idf[t] for t, n in counts])
+    def vector(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        terms = counts[:, 0]
+        weights = (1 + np.log(counts[:, 1])) * self.idf[terms]
         return terms, weights / max(np.sqrt((weights**2).sum()), 1e-12)
 
     def near(self, vector: tuple[np.ndarray, np.ndarray], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -156,11 +173,11 @@ class Model:
     def vote(self, ids: np.ndarray, cosines: np.ndarray) -> tuple[float, list[int]]:
         return float((cosines @ self.labels[ids] + PRIOR * self.prior) / (cosines.sum() + PRIOR)), self.ids[ids].tolist()
 
-    def score(self, counts: list[tuple[int, int]]) -> tuple[float, list[int]]:
-        if not counts:
+    def score(self, counts: np.ndarray) -> tuple[float, list[int]]:
+        if not len(counts):
             return self.nothing, []
         terms, weights = self.vector(counts)
-        key = terms.tobytes() + weights.tobytes()
+        key = hashlib.blake2b(terms.tobytes() + weights.tobytes(), digest_size=16).digest()
         if key not in self.memo:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
@@ -169,53 +186,58 @@ class Model:
         return self.memo[key]
 
 
-def counted(docs: DataFrame, terms: list[bytes]) -> DataFrame:
-    """(doc_id, terms array<int>, counts array<int>): the vocabulary's terms in every whole text, by number."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(terms))  # VOCABULARY terms at most
+def frequencies(docs: DataFrame, vocabulary: Vocabulary, n_terms: int) -> tuple[int, np.ndarray]:
+    """The number of documents, and of those with each term. Every task sends a row for each of its terms."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.zeros(n_terms + 1, np.int64)  # the last one counts documents
         for batch in sliced(batches):
-            found = [sorted(vocabulary.value.count(t).items()) for t in batch.column(1).to_pylist()]
-            columns = [pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "terms", "counts"])
+            for text in batch.column(0).to_pylist():
+                have[list(sent.value.count(text))] += 1
+            have[n_terms] += batch.num_rows
+        some = np.flatnonzero(have)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(have[some])], ["term", "n"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, terms array<int>, counts array<int>")
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    df = np.zeros(n_terms + 1)
+    for r in rows.toLocalIterator():  # a row for each term of the sample at most
+        df[r["term"]] = r["n"]
+    return int(df[-1]), df[:-1]
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", limit: int = SAMPLE) -> tuple[Model, DataFrame]:
-    """The fitted model, and the counted terms of all documents, written."""
+def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", limit: int = SAMPLE) -> Model:
+    """Fitted on all terms of at most ``limit`` labelled examples."""
     sample = label_sample(docs, labels, label, keep, limit)
-    terms = select_terms((r["text"], r["label"]) for r in sample)
-    rows = written(counted(docs, terms), "toxicity-terms")
-    df = dict(rows.select(F.explode("terms").alias("term")).groupBy("term").count().collect())  # a row for each term at most
-    n = rows.count()
-    own = Vocabulary(terms)
-    idf = np.array([np.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-    return Model(terms, idf, [(r["doc_id"], own.count(r["text"]), r["label"]) for r in sample]), rows
+    terms = sorted({t for r in sample for t in words(r["text"])})
+    vocabulary = Vocabulary(terms)
+    counts = [pairs(vocabulary.count(r["text"])) for r in sample]  # arrays, as dicts of all terms would fill the driver
+    n, df = frequencies(docs, vocabulary, len(terms))
+    idf = (np.log((1 + n) / (1 + df)) + 1) * ties(counts, np.array([r["label"] for r in sample], float), len(terms))
+    return Model(vocabulary, idf, [(r["doc_id"], c, r["label"]) for r, c in zip(sample, counts)])
 
 
-def score(rows: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score double, evidence array<long>) for every row of ``counted``.
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score double, evidence array<long>) for every row.
 
-    ``evidence`` has the doc_ids of the nearest labelled examples, nearest first. Texts without a term of the
-    vocabulary, null and empty ones too, get the share of label 1 among such examples and no evidence. Repeated rows
-    each give a row, a null doc_id stays null, other columns of the documents are not read.
+    ``evidence`` has the doc_ids of the nearest labelled examples, nearest first. Texts that share no term with any
+    example, null and empty ones too, get the share of label 1 among such examples and no evidence. Repeated rows
+    each give a row, a null doc_id stays null, other columns are not read.
     """
-    model = rows.sparkSession.sparkContext.broadcast(model)  # SAMPLE vectors over VOCABULARY terms at most
+    model = docs.sparkSession.sparkContext.broadcast(model)  # the terms of SAMPLE texts at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [model.value.score(list(zip(t, c))) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        for batch in sliced(batches):
+            found = [model.value.score(pairs(model.value.vocabulary.count(t))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, evidence array<long>")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, evidence array<long>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0, limit: int = SAMPLE) -> DataFrame:
     """Scores of all documents by examples outside the held-out fold."""
     rest = fold(F.col("doc_id"), parts)
-    model, rows = train(docs, labels, rest != held_out, "toxic", limit)
-    return score(rows, model).select(
+    return score(docs, train(docs, labels, rest != held_out, "toxic", limit)).select(
         "doc_id",
         F.coalesce(rest == held_out, F.lit(False)).alias("held_out"),
         "score",

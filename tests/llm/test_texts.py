@@ -222,6 +222,19 @@ def test_nearest_is_exact():
         assert ids.tolist() == best.tolist() and np.allclose(got, cosines[best])
 
 
+def test_rare_toxic_words(spark):
+    rng = random.Random(8)
+    common = [f"word{k}x" for k in range(60)]
+    # each toxic word is in eight documents only, far too few for a strong tie to the label
+    rows = [(i, " ".join(rng.choices(common, k=12)) + (f" z{i % 50}z z{i % 50}z" if i < 400 else f" y{i % 50}y y{i % 50}y"), int(i < 400)) for i in range(800)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    held = [r for r in toxicity.toxicity(docs, labels).collect() if r["held_out"]]
+    assert len(held) > 100 and sum(r["predicted"] == int(r["doc_id"] < 400) for r in held) / len(held) > 0.95
+    kin = lambda a, b: a % 50 == b % 50 and (a < 400) == (b < 400)
+    assert sum(kin(r["doc_id"], r["evidence"][0]) for r in held) / len(held) > 0.95
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]))
     assert np.interp([0.1, 0.25, 0.4], x, y).tolist() == [0.0, 0.5, 1.0]
