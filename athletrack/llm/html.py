@@ -31,6 +31,14 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+TO_THE_END = frozenset("script style title textarea".split())  # what hides the rest of the page if it is not closed
+THROUGH = frozenset("address div p".split())  # what a list item closes together with the item before it
+ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+_CELLS = ("td", "th")
+_ROWS = ("caption", "thead", "tbody", "tfoot", "tr", *_CELLS)
+CELLS = {"td": _CELLS, "th": _CELLS, "tr": ("tr", *_CELLS), "caption": _ROWS, "thead": _ROWS, "tbody": _ROWS, "tfoot": _ROWS}  # closed in the same table
+#: end tags that don't reach beyond these
+STOPS = {"li": ("ul", "ol", "menu", "dir", "table"), "dt": ("dl", "table"), "dd": ("dl", "table"), "p": ("table",)} | {name: ("table",) for name in CELLS}
 GOOD_TAGS = frozenset(("article", "main"))
 BAD_TAGS = frozenset("nav footer aside header form menu dialog button label fieldset".split())
 GOOD_NAMES = re.compile(r"article|content|main|post|story|entry|body|text")
@@ -60,6 +68,9 @@ def blocks(html: str | None) -> list[Block]:
     out: list[Block] = []
     # open containers: tag, number, good containers, bad containers, named good, named bad
     stack: list[tuple[str, int, int, int, int, int]] = [("", 0, 0, 0, 0, 0)]
+    places: dict[str, list[int]] = {name: [] for name in BLOCK}  # where each tag is open
+    nearest = [0]  # for each open container, the nearest one that isn't in THROUGH
+    unclosed: set[str] = set()  # tags without an end tag in the rest of the page
     parts: list[str] = []
     linked = numbers = in_link = 0
     tag = ""
@@ -80,6 +91,20 @@ def blocks(html: str | None) -> list[Block]:
                 out.append(Block(text, features, parent, 0 if outside else 1 if good else -1))
         linked = 0
 
+    def close(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop()[0]].pop()
+            nearest.pop()
+
+    def innermost(names: tuple[str, ...]) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=0)
+
+    def ending(name: str, pattern: str) -> re.Match | None:
+        end = None if name in unclosed else re.compile(pattern, re.I).search(html, at)
+        if not end:
+            unclosed.add(name)
+        return end
+
     at, size = 0, len(html)
     while at < size:
         m = _TOKEN.match(html, at)
@@ -95,10 +120,10 @@ def blocks(html: str | None) -> list[Block]:
         name = name.lower()
         if name in RAW and not closing:
             if not attributes.endswith("/"):
-                end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>", re.I).search(html, at)
+                end = ending(name, f"</{re.escape(name)}(?=[\\s/>])[^>]*>")
                 if end:
                     at = end.end()
-                elif name != "head":
+                elif name in TO_THE_END:
                     at = size
             if name not in ("head", "title", "script", "style"):
                 parts.append(" ")
@@ -112,15 +137,24 @@ def blocks(html: str | None) -> list[Block]:
         if name not in BLOCK:
             if name in BAD_TAGS and not closing:  # a button or label
                 flush()
-                end = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(html, at)
+                end = ending(name, f"</{re.escape(name)}\\s*>")
                 at = end.end() if end else at
             continue
         flush()
+        if not closing and stack[-1][0] == "p" and name not in ("option", "optgroup"):
+            close(len(stack) - 1)
         if name in VOID:
             continue
         if not closing:
-            if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack[-1][0] == name:
-                stack.pop()
+            if name in ITEMS:
+                if stack[nearest[-1]][0] in ITEMS[name]:
+                    close(nearest[-1])
+            elif name in CELLS:
+                table = innermost(("table",))
+                if before := [places[n][-1] for n in CELLS[name] if places[n] and places[n][-1] > table]:
+                    close(min(before))
+            elif name == "option" and stack[-1][0] == name:
+                close(len(stack) - 1)
             in_link = 0
             tag = name
             numbers += 1
@@ -133,14 +167,13 @@ def blocks(html: str | None) -> list[Block]:
                     good_name += 1
             if attributes and _HIDDEN.search(attributes):
                 bad += 1
+            places[name].append(len(stack))
+            nearest.append(nearest[-1] if name in THROUGH else len(stack))
             # a header or footer of an article belongs to it
             stack.append((name, numbers, good + (name in GOOD_TAGS), bad + (name in BAD_TAGS and not (name == "header" and good)), good_name, bad_name))
         else:
-            tag = ""
-            for k in range(len(stack) - 1, max(0, len(stack) - 60), -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if places[name] and places[name][-1] > innermost(STOPS.get(name, ())):
+                close(places[name][-1])
             tag = stack[-1][0]
     flush()
     return out

@@ -254,6 +254,28 @@ def test_main_text():
     assert html.fit([]).tolist() == html.PRIOR.tolist()
 
 
+STORY = "<article>" + "".join(f"<p>This is sentence number {k} of the story, and it is long enough to count.</p>" for k in range(5)) + "</article>"
+
+
+@pytest.mark.parametrize("start, entry, end", [("<dl>", "<dt>term<dd>what it is", "</dl>"), ("<table>", "<tr><td>a cell<td><p>another", "</table>"), ("<ul>", "<li><p>an item", "</ul>"), ("", "<div>", "")])
+def test_many_open_containers(start, entry, end):
+    page = f"<nav>{start}{entry * 200}{end}</nav>{STORY}<footer>The footer of this page.</footer>"
+    assert [b.sure for b in html.blocks(page) if "sentence" in b.text] == [1] * 5
+    inside = f"<article><p>Some text.</p>{start}{entry * 200}{end}</article><p>After it.</p>"
+    assert html.blocks(inside)[-1].sure == -1
+
+
+def test_items_of_nested_lists_and_tables():
+    page = "<ul><li>a<ul><li>b<li>c</ul>d</li><li>e</ul><table><tr><td>f<table><tr><td>g</table>h<td>i</table><article>j</li></td></dd>k"
+    assert [b.text for b in html.blocks(page)] == list("abcdefghijk")
+    assert [b.sure for b in html.blocks(page)] == [-1] * 9 + [1, 1]
+
+
+@pytest.mark.parametrize("tag, shown", [("svg", True), ("object", True), ("canvas", True), ("select", True), ("video", True), ("script", False), ("textarea", False)])
+def test_unclosed_raw_elements(tag, shown):
+    assert any("sentence" in b.text for b in html.blocks(f"<p>Start.</p><{tag}>{STORY}")) == shown
+
+
 def test_cut_is_least():
     rng = random.Random(6)
     for _ in range(200):
