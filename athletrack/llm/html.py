@@ -39,6 +39,7 @@ _ROWS = ("caption", "thead", "tbody", "tfoot", "tr", *_CELLS)
 CELLS = {"td": _CELLS, "th": _CELLS, "tr": ("tr", *_CELLS), "caption": _ROWS, "thead": _ROWS, "tbody": _ROWS, "tfoot": _ROWS}  # closed in the same table
 #: end tags that don't reach beyond these
 STOPS = {"li": ("ul", "ol", "menu", "dir", "table"), "dt": ("dl", "table"), "dd": ("dl", "table"), "p": ("table",)} | {name: ("table",) for name in CELLS}
+LEAVES = frozenset("p li dt dd td th h1 h2 h3 h4 h5 h6".split())  # elements of one block: its parent is what holds them
 GOOD_TAGS = frozenset(("article", "main"))
 BAD_TAGS = frozenset("nav footer aside header form menu dialog button label fieldset".split())
 GOOD_NAMES = re.compile(r"article|content|main|post|story|entry|body|text")
@@ -81,7 +82,8 @@ def blocks(html: str | None) -> list[Block]:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                _, parent, good, bad, good_name, bad_name = stack[-1]
+                _, _, good, bad, good_name, bad_name = stack[-1]
+                parent = stack[-2 if stack[-1][0] in LEAVES else -1][1]
                 density = min(1.0, linked / len(text))
                 features = (
                     1.0, float(good > 0), float(bad > 0), float(good_name > 0), float(bad_name > 0), density, min(len(text), 400) / 400,
@@ -261,7 +263,7 @@ def main_text(html: str | None, weights: np.ndarray) -> str:
     for i, b in enumerate(found):
         if i:
             edges.append((i - 1, i, NEXT))
-        if b.parent in last and last[b.parent] != i - 1:
+        if b.parent in last:
             edges.append((last[b.parent], i, SIBLING))
         last[b.parent] = i
     return "\n\n".join(b.text for b, content in zip(found, cut(costs, edges)) if content)

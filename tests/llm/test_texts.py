@@ -276,6 +276,18 @@ def test_unclosed_raw_elements(tag, shown):
     assert any("sentence" in b.text for b in html.blocks(f"<p>Start.</p><{tag}>{STORY}")) == shown
 
 
+@pytest.mark.parametrize("advert", ["<div class=advert>Buy it now", "<aside><p>Read this as well", "<form><p>Your name"])
+def test_interrupted_article(advert):
+    long = "A long sentence of the story, " * 12 + "and its end."
+    end = "</" + advert[1:].split()[0].split(">")[0] + ">"
+    page = f"<body><div><p>{long}</p>{advert}{end}<p>So it was.</p></div></body>"
+    found = html.blocks(page)
+    assert found[0].parent == found[2].parent != found[1].parent
+    assert html.main_text(page, html.PRIOR.tolist()) == f"{long}\n\nSo it was."
+    apart = f"<body><div><p>{long}</p></div>{advert}{end}<div><p>So it was.</p></div></body>"
+    assert html.main_text(apart, html.PRIOR.tolist()) == long
+
+
 def test_cut_is_least():
     rng = random.Random(6)
     for _ in range(200):
