@@ -1,4 +1,4 @@
-"""Gradient boosted trees for a few hundred to a few hundred thousand rows of small features, in numpy."""
+"""Gradient boosted trees for a few hundred to a few hundred thousand rows of small features, and calibration, in numpy."""
 
 from __future__ import annotations
 
@@ -70,3 +70,15 @@ def threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
     ends = np.flatnonzero(np.append(np.diff(p[order]) != 0, True))  # equal scores go together
     good = ends[right[ends] >= precision]
     return float(p[order][good[-1]]) if len(good) else 2.0
+
+
+def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the non-decreasing step function nearest to (x, y), for ``np.interp``."""
+    means: list[list[float]] = []
+    for i in np.argsort(x, kind="stable"):
+        means.append([y[i], 1, x[i], x[i]])
+        while len(means) > 1 and (means[-2][0] >= means[-1][0] or means[-2][3] == means[-1][2]):
+            m, n, _, hi = means.pop()
+            p = means[-1]
+            means[-1] = [(p[0] * p[1] + m * n) / (p[1] + n), p[1] + n, p[2], hi]
+    return np.array([v for m in means for v in (m[2], m[3])]), np.array([v for m in means for v in (m[0], m[0])])
