@@ -35,13 +35,26 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def hash_sample(df: DataFrame, key: Column, limit: int) -> DataFrame:
-    """All rows if there are at most ``limit``, else about as many, chosen by the hash ``key``.
+RING = 1 << 30
 
-    Only chosen rows leave their tasks, whatever the number of partitions.
+
+def hash_sample(df: DataFrame, key: Column, limit: int, n: int | None = None) -> DataFrame:
+    """The ``limit`` rows that come first by the hash ``key``, or all if there are fewer.
+
+    Only rows that may be among them leave their tasks, whatever the number of partitions. ``n``: rows, if known.
     """
-    n = df.count()
-    return df if n <= limit else df.where(F.pmod(key, F.lit(1 << 30)) < int((1 << 30) * limit / n))
+    n = df.count() if n is None else n
+    place = F.pmod(key, F.lit(RING))
+    df = df if n <= limit else df.where(place < int(min(1.0, (1.2 * limit + 200) / n) * RING))
+    return df.orderBy(place, key).limit(limit)
+
+
+def distinct_sample(df: DataFrame, column: str, limit: int) -> DataFrame:
+    """(h, column): at most ``limit`` distinct values of a text column, chosen by their hash ``h``; copies meet before they leave their tasks."""
+    hashed = df.select(F.xxhash64(column).alias("h"), column)
+    n = hashed.select("h").distinct().count()
+    few = hashed if n <= limit else hashed.where(F.pmod("h", F.lit(RING)) < int(min(1.0, (1.2 * limit + 200) / n) * RING))
+    return hash_sample(few.groupBy("h").agg(F.min(column).alias(column)), F.col("h"), limit, 0)
 
 
 def label_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int):
@@ -53,10 +66,10 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, l
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.coalesce(keep, F.lit(False)))
     chosen = hash_sample(known.groupBy("doc_id").agg(F.max("label").alias("label")), F.xxhash64("doc_id"), limit)
     rows = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about limit rows
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # limit rows at most
         .groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     )
-    return sorted(rows.collect(), key=lambda r: r["doc_id"])[:limit]
+    return sorted(rows.collect(), key=lambda r: r["doc_id"])
 
 
 def only(docs: DataFrame, ids: DataFrame, limit: int = 500_000) -> DataFrame:
