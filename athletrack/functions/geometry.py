@@ -15,11 +15,11 @@ def double(c: Column) -> Column:
     return c.cast("double")
 
 
-def as_float(value: float) -> Column:
+def as_float(value: float | Column) -> Column:
     return F.lit(value).cast("float")
 
 
-def visible(keypoints: Column, scores: Column, threshold: float) -> Column:
+def visible(keypoints: Column, scores: Column, threshold: float | Column) -> Column:
     """(x, y, score, index) of the keypoints with a score of the threshold or more, compared as float."""
     points = F.transform(keypoints, lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.get(scores, i).alias("score"), i.alias("index")))
     return F.filter(points, lambda p: p["score"] >= as_float(threshold))
@@ -31,13 +31,13 @@ def bounds(points: Column) -> Column:
     return F.struct(F.size(points).alias("n"), F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
 
 
-def crop(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, margin: float) -> Column:
+def crop(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, margin: float | Column) -> Column:
     """The box grown by ``margin`` of its size on each side and cut to the frame; null if nothing is left.
 
     Sizes are taken in the type of the coordinates and are 1 at least.
     """
-    mx = F.greatest(double(x2 - x1), F.lit(1.0)) * F.lit(float(margin))
-    my = F.greatest(double(y2 - y1), F.lit(1.0)) * F.lit(float(margin))
+    mx = F.greatest(double(x2 - x1), F.lit(1.0)) * F.lit(margin).cast("double")
+    my = F.greatest(double(y2 - y1), F.lit(1.0)) * F.lit(margin).cast("double")
     a = F.greatest(F.lit(0), F.floor(double(x1) - mx).cast("int"))
     b = F.greatest(F.lit(0), F.floor(double(y1) - my).cast("int"))
     c = F.least(width, F.ceil(double(x2) + mx).cast("int"))

@@ -21,12 +21,12 @@ def keypoint_bounds(df: DataFrame, threshold: float = 0.3) -> DataFrame:
     return df.withColumn("bounds", g.bounds(_points(threshold)))
 
 
-def crop_around_bbox(df: DataFrame, margin: float = 0.35) -> DataFrame:
+def crop_around_bbox(df: DataFrame, margin: float = 0.2) -> DataFrame:
     """Adds ``crop`` around the columns x1, y1, x2, y2."""
     return df.withColumn("crop", g.crop(*(F.col(c) for c in ("x1", "y1", "x2", "y2", "frame_width", "frame_height")), margin))
 
 
-def crop_around_player(df: DataFrame, margin: float = 0.35) -> DataFrame:
+def crop_around_player(df: DataFrame, margin: float = 0.2) -> DataFrame:
     """Adds ``crop`` around the pose's box, else around its keypoints if at least four are visible."""
     size = F.col("frame_width"), F.col("frame_height")
     b = F.col("_b")
@@ -82,7 +82,7 @@ def assess_redetection(df: DataFrame, threshold: float = 0.3, min_keypoints: int
     return df.withColumn("assessment", made)
 
 
-def update_crop_step(df: DataFrame, threshold: float = 0.3, margin: float = 0.35, alpha: float = 0.35) -> DataFrame:
+def update_crop_step(df: DataFrame, threshold: float = 0.3, margin: float = 0.2, alpha: float = 0.35) -> DataFrame:
     """Adds ``new_crop``: ``crop`` smoothed towards the visible keypoints, unchanged if fewer than four are visible."""
     size = F.col("frame_width"), F.col("frame_height")
     with_bounds = df.withColumn("_b", g.bounds(_points(threshold)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from athletrack.operators.timeline import scoped
+from athletrack.operators.timeline import lag, scoped
 
 
 def rate(n: Column, seconds: Column) -> Column:
@@ -57,7 +57,7 @@ def session_freshness(frame_log: DataFrame, sessions: DataFrame, exact: bool = T
         percentile("frame_age", 0.95, exact).alias("age_p95"),
         F.max("frame_age").alias("max_age"),
         percentile("inference_wait", 0.95, exact).alias("wait_p95"),
-        F.max(F.greatest(F.lit(0), F.col("latest_sequence") - F.col("sequence"))).alias("max_lag"),
+        F.max(lag("latest_sequence")).alias("max_lag"),
     )
     rows = rows.join(sessions, "session_id").withColumn("seconds", seconds_of_scope())
     return rows.select("session_id", "scope", "processed", "age_p50", "age_p95", "max_age", "wait_p95", "max_lag", "seconds", rate(F.col("processed"), F.col("seconds")).alias("fps"))
@@ -81,10 +81,10 @@ def pose_output_rate(frame_log: DataFrame, sessions: DataFrame, exact: bool = Tr
 def detector_worker_stats(requests: DataFrame, sessions: DataFrame, exact: bool = True) -> DataFrame:
     """Submitted requests by the time of the request, consumed ones by the time of consumption."""
     sent = scoped(requests.where("accepted"), sessions, "requested_at").groupBy("session_id", "scope").agg(F.count(F.lit(1)).alias("submitted"))
-    latency, lag = F.col("consumed_at") - F.col("requested_at"), F.greatest(F.lit(0), F.col("consumed_sequence") - F.col("sequence")).cast("double")
+    latency, behind = F.col("consumed_at") - F.col("requested_at"), lag("consumed_sequence").cast("double")
     done = scoped(requests.where("accepted and consumed_at is not null"), sessions, "consumed_at").groupBy("session_id", "scope").agg(
         F.count(F.lit(1)).alias("completed"),
-        *(percentile(v, p, exact).alias(f"{name}_p{round(100 * p)}") for name, v in (("latency", latency), ("lag", lag)) for p in (0.5, 0.95)),
+        *(percentile(v, p, exact).alias(f"{name}_p{round(100 * p)}") for name, v in (("latency", latency), ("lag", behind)) for p in (0.5, 0.95)),
     )
     return sent.join(done, ["session_id", "scope"], "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("submitted", "completed")})
 
@@ -100,46 +100,51 @@ def detector_rate(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     return rows.select("session_id", "refreshes", rate(F.col("refreshes"), steady_seconds()).alias("per_second"))
 
 
+def keys(df: DataFrame, *more: str) -> list[str]:
+    """session_id, and scope where rows have one (``scoped``): edge reports then cover all scopes at once."""
+    return ["session_id", *(["scope"] if "scope" in df.columns else []), *more]
+
+
 def edge_event_counts(assessed: DataFrame) -> DataFrame:
     """Observations with a hit, and those with hits on clamped sides only."""
-    return assessed.groupBy("session_id").agg(
+    return assessed.groupBy(*keys(assessed)).agg(
         F.count_if(F.size("assessment.edge_hits") > 0).alias("events"), F.count_if("assessment.clamped_only_suppressed").alias("suppressed")
     )
 
 
 def edge_actionable_split(assessed: DataFrame) -> DataFrame:
     rows = edge_event_counts(assessed)
-    return rows.select("session_id", "events", "suppressed", (F.col("events") - F.col("suppressed")).alias("actionable"))
+    return rows.select(*keys(rows), "events", "suppressed", (F.col("events") - F.col("suppressed")).alias("actionable"))
 
 
 def edge_hit_rows(assessed: DataFrame) -> DataFrame:
-    return assessed.select("session_id", "frame_index", F.explode("assessment.edge_hits").alias("h")).select("session_id", "frame_index", "h.*")
+    return assessed.select(*keys(assessed, "frame_index"), F.explode("assessment.edge_hits").alias("h")).select(*keys(assessed, "frame_index"), "h.*")
 
 
 def edge_side_counts(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("session_id", "edge").agg(F.count(F.lit(1)).alias("n"))
+    return hits.groupBy(*keys(hits, "edge")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def edge_joint_counts(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("session_id", "joint").agg(F.count(F.lit(1)).alias("n"))
+    return hits.groupBy(*keys(hits, "joint")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def edge_landmark_histogram(assessed: DataFrame) -> DataFrame:
     """Events by their number of distinct joints; counted in the row, without a shuffle by event."""
     joints = F.size(F.array_distinct(F.transform("assessment.edge_hits", lambda h: h["joint"]))).cast("bigint")
-    return assessed.withColumn("joints", joints).where("joints > 0").groupBy("session_id", "joints").agg(F.count(F.lit(1)).alias("n"))
+    return assessed.withColumn("joints", joints).where("joints > 0").groupBy(*keys(assessed, "joints")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def edge_clamp_counts(assessed: DataFrame) -> DataFrame:
     """Events by side that is both hit and clamped; not_clamped where there is none."""
     both = F.array_intersect(F.transform("assessment.edge_hits", lambda h: h["edge"]), F.col("assessment.clamped_edges"))
     sides = F.when(F.size(both) > 0, both).otherwise(F.array(F.lit("not_clamped")))
-    rows = assessed.where(F.size("assessment.edge_hits") > 0).select("session_id", F.explode(sides).alias("side"))
-    return rows.groupBy("session_id", "side").agg(F.count(F.lit(1)).alias("n"))
+    rows = assessed.where(F.size("assessment.edge_hits") > 0).select(*keys(assessed), F.explode(sides).alias("side"))
+    return rows.groupBy(*keys(rows, "side")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def edge_confidence(hits: DataFrame, exact: bool = True) -> DataFrame:
-    return hits.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), percentile("confidence", 0.5, exact).alias("p50"), percentile("confidence", 0.95, exact).alias("p95"))
+    return hits.groupBy(*keys(hits)).agg(F.count(F.lit(1)).alias("n"), percentile("confidence", 0.5, exact).alias("p50"), percentile("confidence", 0.95, exact).alias("p95"))
 
 
 STAGES = ("decode_seconds", "detector_seconds", "pose_seconds", "display_seconds")

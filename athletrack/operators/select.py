@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from athletrack.functions import geometry as g
@@ -31,7 +31,7 @@ def flatten_detections(df: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in ("d", "det_index")], F.col("det_index").cast("bigint"), *box, F.col("d.scores").alias("score"), F.col("d.labels").alias("label"))
 
 
-def person_filter(df: DataFrame, threshold: float = 0.3) -> DataFrame:
+def person_filter(df: DataFrame, threshold: float | Column = 0.3) -> DataFrame:
     return df.where((F.col("label") == 0) & (F.col("score").cast("double") >= threshold))
 
 

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def lag(latest: str, sequence: str = "sequence") -> Column:
+    """How far ``sequence`` is behind, 0 at least; null where either is not known."""
+    behind = F.col(latest) - F.col(sequence)
+    return F.when(behind.isNotNull(), F.greatest(F.lit(0), behind))
+
+
 def frame_latency(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "frame_age": F.col("completed_at") - F.col("captured_at"),
         "inference_wait": F.col("inference_started_at") - F.col("captured_at"),
-        "sequence_lag": F.greatest(F.lit(0), F.col("latest_sequence") - F.col("sequence")),
+        "sequence_lag": lag("latest_sequence"),
     })
 
 
 def detector_latency(df: DataFrame) -> DataFrame:
-    return df.withColumns({"result_latency": F.col("consumed_at") - F.col("requested_at"), "result_lag": F.greatest(F.lit(0), F.col("consumed_sequence") - F.col("sequence"))})
+    return df.withColumns({"result_latency": F.col("consumed_at") - F.col("requested_at"), "result_lag": lag("consumed_sequence")})
 
 
 def infer_sample(df: DataFrame, n: int) -> DataFrame:

@@ -1,54 +1,92 @@
-"""Replay of the hybrid tracker, and the greedy schedules of a session.
+"""Replay of the tracker, and the greedy schedules of a session.
 
 What happens next depends on what was accepted before, so these are folds: one narrow row for each frame, one small
 loop for each session. Everything that needs keypoints or boxes is reduced to a few numbers by columns first, and
-reports join the keypoints back afterwards.
+reports join the keypoints back afterwards. Sessions are dealt to partitions and sorted once; a task folds its
+sessions one after the other as Arrow batches come in.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from athletrack.functions import geometry as g
-from athletrack.operators.select import KEY, select_player_bbox
-from athletrack.schemas import CROP, TrackConfig
+from athletrack.operators.select import KEY, detection_rank, person_filter
+from athletrack.schemas import CONFIG, CROP, TrackConfig
 
 #: what the fold needs of a pose, as doubles in one flat array for each frame: plain numbers cross to Python fastest
 INSTANCE = ("index", "area", "cx", "cy", "visible", "x1", "y1", "x2", "y2")
-TRACKS = f"session_id bigint, frame_index bigint, detection_reason string, submitted boolean, crop_before {CROP}, crop_after {CROP}, assess_reason string, frame_stage string, instance_index bigint"
+SIDES = ("x1", "y1", "x2", "y2")
+TRACKS = f"session_id bigint, frame_index bigint, detection_reason string, submitted boolean, crop_before {CROP}, crop_after {CROP}, assess_reason string, frame_stage string, instance_index bigint, error string"
+FLAT = "session_id bigint, frame_index bigint, detection_reason string, submitted boolean, " + ", ".join(f"{c}_{k} int" for c in ("before", "after") for k in SIDES) + ", assess_reason string, frame_stage string, instance_index bigint, error string"
+FOLDED = ("session_id", "frame_index", "loop_started_at", "detector_seconds", "frame_width", "frame_height", "detector_error", "config", "found", "people")
 Crop = tuple[int, int, int, int]
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
 
-def fold_rows(frames: DataFrame, detections: DataFrame, poses: DataFrame, config: TrackConfig) -> DataFrame:
+def config_columns(config: TrackConfig, sessions: DataFrame) -> DataFrame:
+    """(session_id, config): the fields of ``TrackConfig`` that ``sessions`` has as columns, the others from ``config``.
+
+    A null takes the value of ``config``; a session with either of the two detector intervals has no other.
+    """
+    own = {f: F.col(f).cast(kind) if f in sessions.columns else F.lit(None).cast(kind) for f, kind in CONFIG.items()}
+    scheduled = own["detector_interval"].isNotNull() | own["detector_interval_seconds"].isNotNull()
+    values = {f: F.coalesce(c, F.lit(getattr(config, f)).cast(CONFIG[f])) for f, c in own.items()}
+    for f in ("detector_interval", "detector_interval_seconds"):
+        values[f] = F.when(scheduled, own[f]).otherwise(values[f])
+    return sessions.select("session_id", F.struct(*(c.alias(f) for f, c in values.items())).alias("config"))
+
+
+def fold_rows(frames: DataFrame, detections: DataFrame, poses: DataFrame, config: TrackConfig | None = None, sessions: DataFrame | None = None) -> DataFrame:
     """One row for each frame: times, the crop around its best person, and what the fold needs of each pose.
 
-    ``frames``: session_id, frame_index, sequence, loop_started_at, detector_seconds, frame_width, frame_height.
-    All three inputs meet on session and frame; grouped sides arrive combined.
+    ``frames``: session_id, frame_index, loop_started_at, detector_seconds, frame_width, frame_height, and
+    detector_error (optional): what a detection of this frame fails with. All three inputs meet in one exchange by
+    session. ``sessions`` may give a session its own configuration (``config_columns``).
     """
-    best = select_player_bbox(detections, config.detector_score_threshold)
-    size = F.col("frame_width"), F.col("frame_height")
-    crop = g.crop(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), *size, config.crop_margin)
-    best = best.select(*KEY, F.when(crop.isNotNull(), F.array(*(crop[k] for k in ("x1", "y1", "x2", "y2")))).alias("found"))
+    config = config or TrackConfig()
+    if sessions is None:
+        setting: Callable[[str], object] = lambda f: getattr(config, f)
+    else:
+        of_session = config_columns(config, sessions)
+        none = F.struct(*(F.lit(getattr(config, f)).cast(kind).alias(f) for f, kind in CONFIG.items()))
+        frames, detections, poses = (df.join(of_session, "session_id", "left").withColumn("config", F.coalesce("config", none)) for df in (frames, detections, poses))
+        setting = lambda f: F.col(f"config.{f}")
+    error = F.col("detector_error") if "detector_error" in frames.columns else F.lit(None).cast("string")
+    chosen = F.to_json("config") if sessions is not None else F.lit(None).cast("string")
+    times = F.struct("loop_started_at", "detector_seconds", "frame_width", "frame_height", error.alias("detector_error"), chosen.alias("config"))
+
+    ranked = detection_rank(person_filter(detections, setting("detector_score_threshold"))).where(~F.isnan("rank"))
+    crop = g.crop(*map(F.col, SIDES), F.col("frame_width"), F.col("frame_height"), setting("crop_margin"))
+    box = F.struct("rank", (-F.col("det_index")).alias("first"), F.when(crop.isNotNull(), F.array(*(crop[k] for k in SIDES))).alias("crop"))
+
     shown = F.when(F.size("scores") == 0, F.col("keypoints")).otherwise(F.filter("keypoints", lambda p, i: F.get("scores", i).cast("double") > g.POSE_VISIBLE))
     wide = F.transform(shown, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
-    rows = poses.where(F.size("keypoints") > 0).withColumn("all", g.bounds(wide)).withColumn("seen", g.bounds(g.visible(F.col("keypoints"), F.col("scores"), config.score_threshold)))
+    rows = poses.where(F.size("keypoints") > 0).withColumn("all", g.bounds(wide)).withColumn("seen", g.bounds(g.visible(F.col("keypoints"), F.col("scores"), setting("score_threshold"))))
     has = F.col("bbox").isNotNull()
-    a = {k: F.when(has, F.col(f"bbox.{k}")).otherwise(F.col(f"all.{k}")) for k in ("x1", "y1", "x2", "y2")}
+    a = {k: F.when(has, F.col(f"bbox.{k}")).otherwise(F.col(f"all.{k}")) for k in SIDES}
     w, h = a["x2"] - a["x1"], a["y2"] - a["y1"]
     area = F.when(has, F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))).otherwise(w * h)
-    instance = F.struct(
-        F.col("instance_index").alias("index"), area.alias("area"), ((a["x1"] + a["x2"]) / 2).alias("cx"), ((a["y1"] + a["y2"]) / 2).alias("cy"),
-        F.col("seen.n").alias("visible"), *(F.col(f"seen.{k}").alias(k) for k in ("x1", "y1", "x2", "y2")),
-    )
-    people = rows.where((F.col("all.n") > 0) | has).groupBy(*KEY).agg(F.sort_array(F.collect_list(instance)).alias("people"))  # people in a frame
-    people = people.withColumn("people", F.flatten(F.transform("people", lambda p: F.array(*(p[k].cast("double") for k in INSTANCE)))))
-    return frames.join(best, list(KEY), "left").join(people, list(KEY), "left")
+    numbers = (F.col("instance_index"), area, (a["x1"] + a["x2"]) / 2, (a["y1"] + a["y2"]) / 2, F.col("seen.n"), *(F.col(f"seen.{k}") for k in SIDES))
+    person = F.array(*(c.cast("double") for c in numbers))
+
+    def part(df: DataFrame, name: str, value: Column) -> DataFrame:
+        return df.select(*KEY, value.alias(name))
+
+    parts = (part(frames, "times", times), part(ranked, "box", box), part(rows.where((F.col("all.n") > 0) | has), "person", person))
+    met = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True).repartition("session_id")
+    by_frame = met.groupBy(*KEY).agg(F.max("times").alias("t"), F.max("box").alias("b"), F.sort_array(F.collect_list("person")).alias("people"))  # people in a frame
+    return by_frame.where("t is not null").select(*KEY, "t.*", F.col("b.crop").alias("found"), F.flatten("people").alias("people")).select(*FOLDED)
 
 
 def _crop(x1: float, y1: float, x2: float, y2: float, width: int, height: int, margin: float, size: tuple[float, float] | None = None) -> Crop | None:
@@ -61,7 +99,7 @@ def _crop(x1: float, y1: float, x2: float, y2: float, width: int, height: int, m
 class Tracker:
     """State of one session; ``step`` takes a frame and returns what was decided."""
 
-    FIELDS = ("crop", "pending", "last_frame", "last_at", "waiting")
+    FIELDS = ("crop", "pending", "last_frame", "last_at", "waiting", "failed")
 
     def __init__(self, config: TrackConfig, state: tuple | None = None):
         self.config = config
@@ -69,9 +107,10 @@ class Tracker:
         self.pending: str | None = None
         self.last_frame: float = -(config.detector_interval or 0)
         self.last_at = -math.inf
-        self.waiting: tuple[float, Crop | None] | None = None  # when the outstanding result is there, and its crop
+        self.waiting: tuple[float, Crop | None, str | None] | None = None  # when the outstanding result is there, its crop, its error
+        self.failed = False  # nothing follows a failed detection
         if state is not None:
-            self.crop, self.pending, self.last_frame, self.last_at, self.waiting = state
+            self.crop, self.pending, self.last_frame, self.last_at, self.waiting, self.failed = state
 
     def state(self) -> tuple:
         return tuple(getattr(self, f) for f in self.FIELDS)
@@ -89,9 +128,10 @@ class Tracker:
         if found is not None:
             self.crop, self.pending = found, None
 
-    def _person(self, people):
-        """The most prominent person, seen from the crop; the first wins ties."""
-        x1, y1, x2, y2 = self.crop
+    @staticmethod
+    def _person(people, box: Crop):
+        """The most prominent person, seen from the middle of ``box``; the first wins ties."""
+        x1, y1, x2, y2 = box
         best = None
         for p in people:
             away = math.hypot(p[2] - (x1 + x2) / 2, p[3] - (y1 + y2) / 2) / max(x2 - x1, y2 - y1)
@@ -104,9 +144,8 @@ class Tracker:
         c = self.config
         if p[4] < g.MIN_CROP_POINTS:
             return
-        x1, y1, x2, y2 = map(np.float32, p[5:])
-        # sizes of float bounds are taken as float
-        target = _crop(float(x1), float(y1), float(x2), float(y2), width, height, c.crop_margin, (float(x2 - x1), float(y2 - y1)))
+        x1, y1, x2, y2 = p[5:]  # float bounds, so their differences are rounded to float
+        target = _crop(x1, y1, x2, y2, width, height, c.crop_margin, (_float(x2 - x1), _float(y2 - y1)))
         if target is None:
             return
         size, mid = [], []
@@ -129,71 +168,139 @@ class Tracker:
         hit = left <= x1 + ex and x1 > 0 or right >= x2 - ex and x2 < width or top <= y1 + ey and y1 > 0 or bottom >= y2 - ey and y2 < height
         return "crop_edge" if hit else None
 
-    def step(self, frame: int, started: float, width: int, height: int, found: Crop | None, seconds: float, people) -> tuple:
-        """(reason, submitted, crop before, crop after, assessed reason, stage, instance)."""
+    def step(self, frame: int, started: float, width: int, height: int, found: Crop | None, seconds: float, people, error: str | None = None) -> tuple:
+        """(reason, submitted, crop before, crop after, assessed reason, stage, instance, error).
+
+        A detection that fails ends the session: at once, or on the frame that would take its result.
+        """
         c = self.config
         before = self.crop
+        if c.mode != "hybrid":  # no crop to follow: the whole frame, with or without a detector
+            if frame % c.infer_every:
+                return None, False, None, None, None, "reuse", None, None
+            ran = c.mode == "detector"
+            self.failed = ran and error is not None
+            person = None if self.failed else self._person(people, (0, 0, width, height))
+            return None, ran, None, None, None, "failed" if self.failed else "detector" if ran else "pose", None if person is None else int(person[0]), error if self.failed else None
         if self.waiting is not None and self.waiting[0] <= started:
-            got, self.waiting = self.waiting[1], None
+            (_, got, failure), self.waiting = self.waiting, None
+            if failure is not None:
+                self.failed = True
+                return None, False, before, before, None, "failed", None, failure
             self._take(got)
             if self.crop is None:
                 self.pending = "missing_crop"
         if frame % c.infer_every:
-            return None, False, before, self.crop, None, "reuse", None
+            return None, False, before, self.crop, None, "reuse", None, None
         reason, submitted, stage = self._reason(frame, started), False, "reuse"
         if reason is not None:
             if not c.async_detector:
                 stage, submitted = "detector", True
+                if error is not None:
+                    self.failed = True
+                    return reason, True, before, self.crop, None, "failed", None, error
                 self._take(found)
             elif self.waiting is None:
-                submitted, self.waiting = True, (started + seconds, found)
+                submitted, self.waiting = True, (started + seconds, found, error)
             if submitted:
                 self.last_frame, self.last_at = frame, started
         if self.crop is None:
             self.pending = "missing_crop"
-            return reason, submitted, before, None, "missing_crop", stage, None
+            return reason, submitted, before, None, "missing_crop", stage, None, None
         stage = "detector" if stage == "detector" else "pose"
-        person = self._person(people)
+        person = self._person(people, self.crop)
         if person is not None:
             self._follow(person, width, height)
         self.pending = self._assess(person, width, height)
-        return reason, submitted, before, self.crop, self.pending, stage, None if person is None else int(person[0])
+        return reason, submitted, before, self.crop, self.pending, stage, None if person is None else int(person[0]), None
 
 
-def _tuple(crop) -> Crop | None:
-    return None if crop is None or isinstance(crop, float) else tuple(map(int, crop))
+def _float(x: float) -> float:
+    return float(np.float32(x))
 
 
-def _struct(crop: Crop | None) -> dict | None:
-    return None if crop is None else dict(zip(("x1", "y1", "x2", "y2"), crop))
+@lru_cache(maxsize=10_000)
+def _config(text: str) -> TrackConfig:
+    known = json.loads(text)  # nulls are left out
+    return TrackConfig(**{"detector_interval": None} | known if known.get("detector_interval_seconds") else known)
 
 
-def track_rows(rows: pd.DataFrame, tracker: Tracker) -> pd.DataFrame:
-    """Tracks of a session's frames, which are put in order here."""
-    rows = rows.sort_values("frame_index", kind="stable")
-    out = []
-    for session, frame, started, seconds, width, height, found, people in zip(*(rows[c].tolist() for c in ("session_id", "frame_index", "loop_started_at", "detector_seconds", "frame_width", "frame_height", "found", "people"))):
-        people = [] if people is None or isinstance(people, float) else np.asarray(people, float).reshape(-1, len(INSTANCE)).tolist()
+NOBODY = (None,) * 4
+
+
+def track_rows(rows: dict[str, list], tracker: Tracker) -> list[tuple]:
+    """Flat tracks of frames of a session, in order."""
+    out, width = [], len(INSTANCE)
+    for session, frame, started, seconds, w, h, error, found, people in zip(*(rows[c] for c in FOLDED if c != "config")):
+        if tracker.failed:
+            break
+        people = [people[k : k + width] for k in range(0, len(people), width)] if people is not None else ()
         seconds = 0.0 if seconds is None or math.isnan(seconds) else seconds
-        reason, sent, before, after, assessed, stage, instance = tracker.step(int(frame), started, int(width), int(height), _tuple(found), seconds, people)
-        out.append((session, frame, reason, sent, _struct(before), _struct(after), assessed, stage, instance))
-    names = ["session_id", "frame_index", "detection_reason", "submitted", "crop_before", "crop_after", "assess_reason", "frame_stage", "instance_index"]
-    return pd.DataFrame(out, columns=names).astype({"instance_index": "Int64"})
+        found = None if found is None else tuple(found)
+        reason, sent, before, after, assessed, stage, instance, failure = tracker.step(frame, started, w, h, found, seconds, people, error)
+        out.append((session, frame, reason, sent, *(before or NOBODY), *(after or NOBODY), assessed, stage, instance, failure))
+    return out
 
 
-def track_sessions(frames: DataFrame, detections: DataFrame, poses: DataFrame, config: TrackConfig | None = None) -> DataFrame:
-    """Replay of every session; a session's frames are folded in one task, sessions are independent."""
-    config = config or TrackConfig()
-    return fold_rows(frames, detections, poses, config).groupBy("session_id").applyInPandas(lambda pdf: track_rows(pdf, Tracker(config)), TRACKS)
+def tracks(flat: DataFrame) -> DataFrame:
+    """Crops as structs."""
+    crop = lambda c: F.when(F.col(f"{c}_x1").isNotNull(), F.struct(*(F.col(f"{c}_{k}").alias(k) for k in SIDES))).alias(f"crop_{c}")
+    return flat.select(*KEY, "detection_reason", "submitted", crop("before"), crop("after"), "assess_reason", "frame_stage", "instance_index", "error")
 
 
-def _grouped(df: DataFrame, order: list[str], fold: Callable[[Iterable[tuple], list[str]], list], names: list[str], schema: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        rows = fold(zip(*(pdf[c].tolist() for c in names)))
-        return pd.concat([pdf[names].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
+def folded(df: DataFrame, order: list[str], fold: Callable[[dict[str, list]], list[tuple]], schema: str) -> DataFrame:
+    """What ``fold`` makes of each session's rows, given as lists by column in ``order``.
 
-    return df.select(*names).groupBy("session_id").applyInPandas(run, schema)
+    One exchange and one sort; a task takes its sessions from the batches one by one, so small sessions cost no call
+    and no frame of their own. A session's numbers are in memory together.
+    """
+    names, fields = df.columns, StructType.fromDDL(schema).fields
+    out_schema = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in fields])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out_schema.types)], schema=out_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] | None = None
+        rows: list[tuple] = []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            ids = columns[names.index("session_id")]
+            cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held is not None and held["session_id"][0] != ids[lo]:
+                    rows += fold(held)
+                    held = None
+                if held is None:
+                    held = {n: c[lo:hi] for n, c in zip(names, columns)}
+                else:
+                    for n, c in zip(names, columns):
+                        held[n] += c[lo:hi]
+            if len(rows) >= 10_000:
+                yield made(rows)
+                rows = []
+        if held is not None and held["session_id"]:
+            rows += fold(held)
+        if rows:
+            yield made(rows)
+
+    return df.repartition("session_id").sortWithinPartitions("session_id", *order).mapInArrow(run, schema)
+
+
+def track_sessions(frames: DataFrame, detections: DataFrame, poses: DataFrame, config: TrackConfig | None = None, sessions: DataFrame | None = None) -> DataFrame:
+    """Replay of every session; a session's frames are folded in one task, sessions are independent.
+
+    ``sessions`` may give each its own configuration. The row of a frame whose detection failed has the stage failed
+    and its error; no row of the session follows it.
+    """
+    config = config or TrackConfig()
+
+    def fold(rows: dict[str, list]) -> list[tuple]:
+        chosen = rows["config"][0]
+        return track_rows(rows, Tracker(config if chosen is None else _config(chosen)))
+
+    return tracks(folded(fold_rows(frames, detections, poses, config, sessions), ["frame_index"], fold, FLAT))
 
 
 def detection_schedule(df: DataFrame, interval: int | None = 30, seconds: float | None = None) -> DataFrame:
@@ -203,19 +310,20 @@ def detection_schedule(df: DataFrame, interval: int | None = 30, seconds: float
     """
     if (interval is None) == (seconds is None):
         raise ValueError("exactly one of interval and seconds is needed")
+    names = ["session_id", "frame_index", "checked_at", "has_crop", "pending", "accepts"]
 
-    def fold(rows):
+    def fold(rows: dict[str, list]) -> list[tuple]:
         last_frame, last_at, out = -(interval or 0), -math.inf, []
-        for _, frame, at, has_crop, pending, accepts in rows:
+        for row in zip(*(rows[n] for n in names)):
+            _, frame, at, has_crop, pending, accepts = row
             due = at - last_at >= seconds if seconds is not None else frame - last_frame >= interval
-            reason = "missing_crop" if not has_crop else pending if isinstance(pending, str) else "scheduled_interval" if due else None
+            reason = "missing_crop" if not has_crop else pending if pending is not None else "scheduled_interval" if due else None
             if reason is not None and accepts:
                 last_frame, last_at = frame, at
-            out.append({"detection_reason": reason})
+            out.append((*row, reason))
         return out
 
-    names = ["session_id", "frame_index", "checked_at", "has_crop", "pending", "accepts"]
-    return _grouped(df, ["frame_index"], fold, names, "session_id bigint, frame_index bigint, checked_at double, has_crop boolean, pending string, accepts boolean, detection_reason string")
+    return folded(df.select(*names), ["frame_index"], fold, "session_id bigint, frame_index bigint, checked_at double, has_crop boolean, pending string, accepts boolean, detection_reason string")
 
 
 def single_flight(requests: DataFrame, frames: DataFrame) -> DataFrame:
@@ -229,44 +337,74 @@ def single_flight(requests: DataFrame, frames: DataFrame) -> DataFrame:
         frames.select("session_id", empty.cast("bigint").alias("request_id"), F.col("loop_started_at").alias("at"), empty.cast("double").alias("inference_seconds"), F.lit(0).alias("kind"))
     )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "kind", "request_id"], kind="stable")
-        polls = pdf.loc[pdf["kind"] == 0, "at"].to_numpy()
-        free, out = -math.inf, []
-        for session, request, at, seconds, kind in zip(*(pdf[c].tolist() for c in ("session_id", "request_id", "at", "inference_seconds", "kind"))):
-            if kind:
-                accepted = at >= free
-                taken = None
-                if accepted:  # straight to the poll that takes the result
-                    k = np.searchsorted(polls, at + seconds)
-                    taken = polls[k] if k < len(polls) else None
-                    free = math.inf if taken is None else taken
-                out.append((session, int(request), at, seconds, accepted, taken))
-        return pd.DataFrame(out, columns=["session_id", "request_id", "requested_at", "inference_seconds", "accepted", "consumed_at"])
+    def fold(rows: dict[str, list]) -> list[tuple]:
+        ask = np.array(rows["kind"], bool)
+        at = np.array(rows["at"], float)
+        polls, asked = at[~ask], at[ask]
+        mine = [(i, s) for i, s, k in zip(rows["request_id"], rows["inference_seconds"], rows["kind"]) if k]
+        took: dict[int, float | None] = {}
+        k = 0
+        while k < len(asked):  # from one accepted request straight to the next
+            p = np.searchsorted(polls, asked[k] + mine[k][1])
+            took[k] = float(polls[p]) if p < len(polls) else None
+            if took[k] is None:
+                break
+            k = max(k + 1, int(np.searchsorted(asked, took[k])))
+        return [(rows["session_id"][0], i, t, s, j in took, took.get(j)) for j, ((i, s), t) in enumerate(zip(mine, asked.tolist()))]
+
+    return folded(both, ["at", "kind", "request_id"], fold, "session_id bigint, request_id bigint, requested_at double, inference_seconds double, accepted boolean, consumed_at double")
+
 
-    return both.groupBy("session_id").applyInPandas(run, "session_id bigint, request_id bigint, requested_at double, inference_seconds double, accepted boolean, consumed_at double")
+TICKS = (
+    "session_id bigint, frame_index bigint, tick_at double, poses bigint, pose_fps double, processed bigint, processed_fps double, captured bigint, skipped bigint, drop_pct double, "
+    "age_p50 double, age_p95 double, pose_mean double, lag bigint"
+)
 
 
-def status_ticks(frame_log: DataFrame, sessions: DataFrame, interval: float = 2.0) -> DataFrame:
-    """(session_id, frame_index, tick_at, poses, pose_fps): a row where ``interval`` has passed since the last one.
+def status_ticks(frame_log: DataFrame, sessions: DataFrame, interval: float = 2.0, ages: int = 120, poses: int = 60) -> DataFrame:
+    """Status rows: one where ``interval`` has passed since the last one.
 
-    The clock restarts at the frame that ticks, so ticks drift. Poses are counted since the last tick.
+    The clock restarts at the frame that ticks, so ticks drift; ``sessions`` may have its own ``status_interval``. Poses
+    are counted since the last tick, ``processed_fps`` since the start; captured, skipped and drop_pct are running totals;
+    ages are percentiles of the last ``ages`` frames and ``pose_mean`` the mean of the last ``poses`` pose times,
+    the frame itself included; ``lag`` is the frame's own. Figures whose columns ``frame_log`` lacks are null.
     """
     if interval <= 0:
         raise ValueError("interval must be positive")
-    rows = frame_log.join(sessions.select("session_id", "started_at"), "session_id").select("session_id", "frame_index", "completed_at", "started_at", (F.col("has_player") & (F.col("frame_stage") != "reuse")).alias("posed"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index", kind="stable")
-        at, posed, frame = pdf["completed_at"].to_numpy(), pdf["posed"].to_numpy(bool).cumsum(), pdf["frame_index"].to_numpy()
-        last, seen, out, i = pdf["started_at"].iloc[0], 0, [], 0
-        while i < len(at):
-            due = np.flatnonzero(at[i:] - last >= interval)
-            if not len(due):
-                break
-            k = i + int(due[0])
-            out.append((pdf["session_id"].iloc[0], frame[k], at[k], int(posed[k] - seen), float((posed[k] - seen) / (at[k] - last))))
+    own = F.coalesce("status_interval", F.lit(float(interval))) if "status_interval" in sessions.columns else F.lit(float(interval))
+    missing = lambda c, kind: F.col(c) if c in frame_log.columns else F.lit(None).cast(kind)
+    rows = frame_log.join(sessions.select("session_id", "started_at", own.cast("double").alias("interval")), "session_id").select(
+        "session_id", "frame_index", "completed_at", "started_at", "interval", (F.col("has_player") & (F.col("frame_stage") != "reuse")).alias("posed"),
+        *(missing(c, kind).cast(kind).alias(c) for c, kind in (("frame_age", "double"), ("pose_seconds", "double"), ("sequence", "bigint"), ("latest_sequence", "bigint"))), F.coalesce(missing("dropped", "bigint"), F.lit(0)).cast("bigint").alias("dropped"),
+    )
+
+    def fold(rows: dict[str, list]) -> list[tuple]:
+        at = np.array(rows["completed_at"], float)
+        reached, posed = np.maximum.accumulate(at), np.cumsum(np.array(rows["posed"], bool))
+        age, dropped = np.array(rows["frame_age"], float), np.cumsum(rows["dropped"])
+        spent = np.array(rows["pose_seconds"], float)
+        some = np.flatnonzero(~np.isnan(spent))
+        start, every, session = rows["started_at"][0], rows["interval"][0], rows["session_id"][0]
+        last, seen, out, i = start, 0, [], 0
+        while True:
+            # times may go back: what reached the limit before i did so before the last tick, so look for the first at or after i
+            k = max(i, int(np.searchsorted(reached, last + every)))
+            while k < len(at) and at[k] - last < every:
+                k += 1
+            if k >= len(at):
+                return out
+            n, newest, taken = k + 1, rows["latest_sequence"][k], rows["sequence"][k]
+            captured = None if newest is None else newest + 1
+            skipped = int(dropped[k]) if captured is None else max(int(dropped[k]), captured - n)
+            recent = age[max(0, n - ages) : n]
+            recent = recent[~np.isnan(recent)]
+            p50, p95 = (float(np.percentile(recent, q)) for q in (50, 95)) if len(recent) else (None, None)
+            posing = spent[some[: np.searchsorted(some, n)][-poses:]]
+            lived = at[k] - start
+            out.append((
+                session, rows["frame_index"][k], float(at[k]), int(posed[k] - seen), float((posed[k] - seen) / (at[k] - last)), n, float(n / lived) if lived > 0 else 0.0, captured, skipped,
+                None if captured is None else 100.0 * skipped / max(captured, 1), p50, p95, float(posing.mean()) if len(posing) else None, None if newest is None or taken is None else max(0, newest - taken),
+            ))
             last, seen, i = at[k], posed[k], k + 1
-        return pd.DataFrame(out, columns=["session_id", "frame_index", "tick_at", "poses", "pose_fps"])
 
-    return rows.groupBy("session_id").applyInPandas(run, "session_id bigint, frame_index bigint, tick_at double, poses bigint, pose_fps double")
+    return folded(rows, ["frame_index"], fold, TICKS)

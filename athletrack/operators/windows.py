@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from athletrack.operators.metrics import keys
+from athletrack.operators.timeline import lag
+
 SIZES = {"decode_seconds": 60, "detector_seconds": 20, "pose_seconds": 60, "display_seconds": 60}
 
 
@@ -52,8 +55,7 @@ def rolling_age_percentiles(frame_log: DataFrame, k: int = 120, include_current:
 
 
 def rolling_max_lag(frame_log: DataFrame, k: int = 120, include_current: bool = True) -> DataFrame:
-    lag = F.greatest(F.lit(0), F.col("latest_sequence") - F.col("sequence"))
-    return frame_log.withColumn("max_lag", F.coalesce(F.max(lag).over(_last(k, include_current)), F.lit(0)))
+    return frame_log.withColumn("max_lag", F.coalesce(F.max(lag("latest_sequence")).over(_last(k, include_current)), F.lit(0)))
 
 
 def live_totals(frame_log: DataFrame) -> DataFrame:
@@ -67,12 +69,13 @@ def live_totals(frame_log: DataFrame) -> DataFrame:
 def edge_repeat_streaks(assessed: DataFrame) -> DataFrame:
     """(session_id, repeated, max_streak): events that share a joint and side with the observation just before.
 
-    For the steady scope, filter the rows first: memory then starts empty.
+    Rows with a scope (``scoped``) give a row for each scope, whose memory starts empty.
     """
     marks = F.array_distinct(F.transform("assessment.edge_hits", lambda h: F.concat_ws("|", h["joint"], h["edge"])))
-    order = Window.partitionBy("session_id").orderBy("frame_index")
-    rows = assessed.select("session_id", "frame_index", marks.alias("marks"))
+    by = keys(assessed)
+    order = Window.partitionBy(*by).orderBy("frame_index")
+    rows = assessed.select(*by, "frame_index", marks.alias("marks"))
     rows = rows.withColumn("again", F.coalesce(F.arrays_overlap("marks", F.lag("marks").over(order)), F.lit(False)))
     rows = rows.withColumn("island", F.sum((~F.col("again")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    streak = F.when(F.size("marks") > 0, F.row_number().over(Window.partitionBy("session_id", "island").orderBy("frame_index"))).otherwise(0)
-    return rows.withColumn("streak", streak).groupBy("session_id").agg(F.count_if("again").alias("repeated"), F.max("streak").cast("bigint").alias("max_streak"))
+    streak = F.when(F.size("marks") > 0, F.row_number().over(Window.partitionBy(*by, "island").orderBy("frame_index"))).otherwise(0)
+    return rows.withColumn("streak", streak).groupBy(*by).agg(F.count_if("again").alias("repeated"), F.max("streak").cast("bigint").alias("max_streak"))

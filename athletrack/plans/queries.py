@@ -194,11 +194,12 @@ def scale_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BONES = "(values " + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(geometry.g.BONES)) + ") as bone(bone_index, a, b)"
+_END = "cast(round_even(cast(ps[{end} + 1].{axis} as double), 0) as int) as {name}"
+_ENDS = ", ".join(_END.format(end=end, axis=axis, name=f"{end}{axis}") for end in "ab" for axis in "xy")
 
 
-@query(f"""{WITH_KP} select p.session_id, p.pose_id, p.frame_index, cast(bone_index as bigint) as bone_index, cast(round_even(cast(p.x as double), 0) as int) as ax, cast(round_even(cast(p.y as double), 0) as int) as ay,
- cast(round_even(cast(q.x as double), 0) as int) as bx, cast(round_even(cast(q.y as double), 0) as int) as by
- from kp p join {BONES} on p.kp_index = a join kp q on q.pose_id = p.pose_id and q.kp_index = b where p.score >= {THR} and q.score >= {THR}""")
+@query(f"""{WITH_KP}, pose as materialized (select session_id, pose_id, frame_index, list({{'x': x, 'y': y, 'score': score}} order by kp_index) as ps from kp group by session_id, pose_id, frame_index)
+ select session_id, pose_id, frame_index, cast(bone_index as bigint) as bone_index, {_ENDS} from pose cross join {BONES} where ps[a + 1].score >= {THR} and ps[b + 1].score >= {THR}""")
 def skeleton_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.skeleton_segments(fx.poses(spark, sf_dir)).select(*POSE, "bone_index", "ax", "ay", "bx", "by")
 
@@ -263,7 +264,7 @@ def _step_sql() -> str:
 
 @query(_step_sql())
 def update_crop_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(geometry.update_crop_step(fx.poses(spark, sf_dir)), POSE, "new_crop")
+    return _flat(geometry.update_crop_step(fx.poses(spark, sf_dir), margin=0.35), POSE, "new_crop")
 
 
 # --- latencies and stages
@@ -274,7 +275,7 @@ def frame_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.frame_latency(fx.frame_log(spark, sf_dir)).select(*KEY, "frame_age", "inference_wait", "sequence_lag")
 
 
-@query(f"{WITH_REQ} select session_id, request_id, consumed_at - requested_at as result_latency, case when consumed_sequence is null then 0 else greatest(0, consumed_sequence - sequence) end as result_lag from r")
+@query(f"{WITH_REQ} select session_id, request_id, consumed_at - requested_at as result_latency, case when consumed_sequence is not null then greatest(0, consumed_sequence - sequence) end as result_lag from r")
 def detector_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.detector_latency(fx.requests(spark, sf_dir)).select("session_id", "request_id", "result_latency", "result_lag")
 

@@ -114,16 +114,16 @@ def _crops(tracks: DataFrame) -> DataFrame:
 
 @query()
 def track_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _crops(tracking.track_sessions(*tracked_inputs(spark, sf_dir), TrackConfig(infer_every=2, async_detector=True)))
+    return _crops(tracking.track_sessions(*tracked_inputs(spark, sf_dir), TrackConfig(infer_every=2, async_detector=True, crop_margin=0.35)))
 
 
 @query()
 def track_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = TrackConfig(infer_every=2, async_detector=True)
+    config = TrackConfig(infer_every=2, async_detector=True, crop_margin=0.35)
     path = new_folder(spark, "fold-rows")
     rows = tracking.fold_rows(*tracked_inputs(spark, sf_dir), config)
     rows.write.parquet(path)
-    return _crops(_drained(streams.track_stream(spark.readStream.schema(rows.schema).parquet(path), config), "tracks"))
+    return _crops(_drained(streams.track_stream(spark.readStream.schema(rows.schema).parquet(path), config, idle=None), "tracks"))
 
 
 SCHEDULED = "case when not has_crop then 'missing_crop' when pending is not null then pending when {frame} - {last} >= 5 then 'scheduled_interval' end"
@@ -154,10 +154,17 @@ def single_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with recursive g as (select *, sum(case when has_player and frame_stage <> 'reuse' then 1 else 0 end) over (partition by session_id order by frame_index) as posed from ({LOG}) q),
  t as (select session_id, cast(-1 as bigint) as frame_index, cast(0 as double) as ticked, cast(0 as hugeint) as posed, cast(0 as hugeint) as poses, cast(null as double) as fps from g group by session_id
  union all select g.session_id, g.frame_index, g.completed_at, g.posed, g.posed - t.posed, (g.posed - t.posed) / (g.completed_at - t.ticked) from t join g on g.session_id = t.session_id
-  and g.frame_index = (select min(n.frame_index) from g n where n.session_id = t.session_id and n.frame_index > t.frame_index and n.completed_at - t.ticked >= 2))
- select session_id, frame_index, ticked as tick_at, cast(poses as bigint) as poses, round(fps, 9) as pose_fps from t where frame_index >= 0""")
+  and g.frame_index = (select min(n.frame_index) from g n where n.session_id = t.session_id and n.frame_index > t.frame_index and n.completed_at - t.ticked >= 2)),
+ w as (select session_id, frame_index, frame_index + 1 as processed, latest_sequence + 1 as captured, sum(dropped) over upto as gone, quantile_cont(frame_age, 0.5) over last120 as age_p50, quantile_cont(frame_age, 0.95) over last120 as age_p95,
+   latest_sequence - sequence as lag, pose_seconds, (select avg(p.pose_seconds) from (select pose_seconds from g o where o.session_id = d.session_id and o.frame_index <= d.frame_index and o.pose_seconds is not null order by o.frame_index desc limit 60) p) as pose_mean
+  from (select *, greatest(0, sequence - lag(sequence, 1, -1) over (partition by session_id order by sequence) - 1) as dropped from g) d
+  window upto as (partition by session_id order by frame_index), last120 as (partition by session_id order by frame_index rows between 119 preceding and current row))
+ select session_id, frame_index, ticked as tick_at, cast(poses as bigint) as poses, round(fps, 9) as pose_fps, processed, round(processed / ticked, 9) as processed_fps, captured,
+  cast(greatest(gone, captured - processed) as bigint) as skipped, round(100.0::double * greatest(gone, captured - processed) / captured, 9) as drop_pct, round(age_p50, 9) as age_p50, round(age_p95, 9) as age_p95, round(pose_mean, 9) as pose_mean, lag
+ from t join w using (session_id, frame_index) where frame_index >= 0""")
 def status_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracking.status_ticks(fx.frame_log(spark, sf_dir), fx.sessions(spark, sf_dir), 2.0).withColumn("pose_fps", F.round("pose_fps", 9))
+    rows = tracking.status_ticks(fx.taken_log(spark, sf_dir), fx.sessions(spark, sf_dir), 2.0)
+    return rows.withColumns({c: F.round(c, 9) for c in ("pose_fps", "processed_fps", "drop_pct", "age_p50", "age_p95", "pose_mean")})
 
 
 # --- streams
@@ -165,22 +172,23 @@ def status_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{WITH_LOG} select session_id, max(sequence) as sequence, max(captured_at) as captured_at, max(sequence) as dropped from g group by session_id")
 def latest_only_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drained(streams.latest_only_stream(io.read_frame_stream(spark, _stored(spark, sf_dir), FRAME_INDEX)), "latest")
+    return _drained(streams.latest_only_stream(io.read_frame_stream(spark, _stored(spark, sf_dir), FRAME_INDEX), idle=None), "latest")
 
 
-MEASURES = """count(*) as processed, count(case when frame_stage <> 'reuse' then 1 end) as inferred, count(case when has_player and frame_stage <> 'reuse' then 1 end) as poses,
+MEASURES = """count(*) as processed, max(latest_sequence) + 1 as captured, count(case when frame_stage = 'detector' then 1 end) as refreshes, count(case when frame_stage <> 'reuse' then 1 end) as inferred, count(case when has_player and frame_stage <> 'reuse' then 1 end) as poses,
  max(frame_age) as max_age, max(greatest(0, latest_sequence - sequence)) as max_lag"""
 MS = "cast(floor(captured_at * 1000) as bigint)"
 
 
-@query(f"{WITH_LOG} select session_id, min({MS}) as started, max({MS}) + 30000 as ended, {MEASURES} from g group by session_id")
+@query(f"""{WITH_LOG} select session_id, min({MS}) as started, max({MS}) + 30000 as ended, {MEASURES},
+ greatest(0, max(latest_sequence) + 1 - count(*)) as skipped, round(100.0::double * greatest(0, max(latest_sequence) + 1 - count(*)) / (max(latest_sequence) + 1), 9) as drop_pct from g group by session_id""")
 def stream_session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = streams.stream_session_summary(io.read_frame_stream(spark, _stored(spark, sf_dir), FRAME_INDEX), "30 seconds")
     out = _drained(out, "summary", "complete")
-    return out.select("session_id", F.unix_millis("started").alias("started"), F.unix_millis("ended").alias("ended"), "processed", "inferred", "poses", "max_age", "max_lag")
+    return out.select("session_id", F.unix_millis("started").alias("started"), F.unix_millis("ended").alias("ended"), "processed", "captured", "skipped", F.round("drop_pct", 9).alias("drop_pct"), "inferred", "refreshes", "poses", "max_age", "max_lag")
 
 
 @query(f"{WITH_LOG} select session_id, {MS} - {MS} % 2000 as tick, {MEASURES} from g group by session_id, {MS} - {MS} % 2000")
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _drained(streams.stream_status(io.read_frame_stream(spark, _stored(spark, sf_dir), FRAME_INDEX), "2 seconds"), "status", "complete")
-    return out.select("session_id", F.unix_millis("tick").alias("tick"), "processed", "inferred", "poses", "max_age", "max_lag")
+    return out.select("session_id", F.unix_millis("tick").alias("tick"), "processed", "captured", "inferred", "refreshes", "poses", "max_age", "max_lag")

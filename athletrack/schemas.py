@@ -24,20 +24,33 @@ DETECTOR_PREDICTION = "struct<bboxes:array<array<float>>,scores:array<float>,lab
 POSE_PREDICTION = "array<array<struct<keypoints:array<array<float>>,keypoint_scores:array<float>,bbox:array<array<double>>,bboxes:array<array<double>>>>>"
 
 
-def _within(name: str, value: float, low: float, high: float, open_low: bool = False, open_high: bool = False) -> None:
-    if not (low < value if open_low else low <= value) or not (value < high if open_high else value <= high):
+def _within(name: str, value: float, low: float, high: float, open_high: bool = False) -> None:
+    if value < low or not (value < high if open_high else value <= high):
         raise ValueError(f"{name} must be between {low} and {high}")
 
 
+MODES = ("hybrid", "whole_image", "detector")  # detections now and then, none, on every inferred frame
+#: the fields of TrackConfig as columns of a table of sessions
+CONFIG = {
+    "mode": "string", "infer_every": "bigint", "detector_interval": "bigint", "detector_interval_seconds": "double", "async_detector": "boolean", "crop_margin": "double", "tracking_alpha": "double",
+    "tracking_min_keypoints": "bigint", "redetect_edge": "double", "score_threshold": "double", "detector_score_threshold": "double", "metrics_warmup_seconds": "double", "status_interval": "double",
+}
+
+
 @dataclass(frozen=True)
 class TrackConfig:
-    """Parameters of a tracked session; ValueError for values outside their range."""
+    """Parameters of a tracked session; ValueError for values outside their range.
+
+    ``metrics_warmup_seconds`` and ``status_interval`` are for the reports: ``sessions`` tables carry them as
+    warmup_seconds and status_interval.
+    """
 
+    mode: str = "hybrid"
     infer_every: int = 1
     detector_interval: int | None = 30
     detector_interval_seconds: float | None = None
     async_detector: bool = False
-    crop_margin: float = 0.35
+    crop_margin: float = 0.2
     tracking_alpha: float = 0.35
     tracking_min_keypoints: int = 8
     redetect_edge: float = 0.06
@@ -47,6 +60,8 @@ class TrackConfig:
     status_interval: float = 2.0
 
     def __post_init__(self) -> None:
+        if self.mode not in MODES:
+            raise ValueError(f"mode must be one of {', '.join(MODES)}")
         if self.infer_every < 1:
             raise ValueError("infer_every must be at least 1")
         if (self.detector_interval is None) == (self.detector_interval_seconds is None):
@@ -56,8 +71,8 @@ class TrackConfig:
         if self.detector_interval_seconds is not None and self.detector_interval_seconds <= 0:
             raise ValueError("detector_interval_seconds must be positive")
         _within("crop_margin", self.crop_margin, 0, float("inf"))
-        _within("tracking_alpha", self.tracking_alpha, 0, 1, open_low=True)
-        _within("tracking_min_keypoints", self.tracking_min_keypoints, 1, len(JOINTS))
+        _within("tracking_alpha", self.tracking_alpha, 0, 1)
+        _within("tracking_min_keypoints", self.tracking_min_keypoints, 1, float("inf"))
         _within("redetect_edge", self.redetect_edge, 0, 0.5, open_high=True)
         _within("score_threshold", self.score_threshold, 0, 1)
         _within("detector_score_threshold", self.detector_score_threshold, 0, 1)

@@ -17,19 +17,22 @@ def read_frames(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     """Recorded frames in order; ``sequence`` counts from 0 by captured_at and nothing is dropped.
 
     ``parquet``: a frame index with the columns of FRAMES (without sequence). ``binaryFile``: extracted images named
-    <session>/<frame>.<ext>, with their bytes.
+    <session>/<frame>.<ext>, with their bytes, in order of their number; they are captured when the file was written, and nothing is known
+    of the time it takes to decode them.
     """
     if fmt == "binaryFile":
         files = spark.read.format("binaryFile").load(path)
         parts = F.regexp_extract("path", r"(\d+)/(\d+)\.\w+$", 1), F.regexp_extract("path", r"(\d+)/(\d+)\.\w+$", 2)
-        files = files.where(F.length(parts[1]) > 0)
-        return files.select(parts[0].cast("bigint").alias("session_id"), parts[1].cast("bigint").alias("frame_index"), parts[1].cast("bigint").alias("sequence"), "content")
+        frames = files.where(F.length(parts[1]) > 0).select(
+            parts[0].cast("bigint").alias("session_id"), parts[1].cast("bigint").alias("frame_index"), F.unix_micros("modificationTime").cast("double").alias("captured_at"), F.lit(None).cast("double").alias("decode_seconds"), "content"
+        )
+        return in_order(frames.withColumn("captured_at", F.col("captured_at") / 1e6), "frame_index")
     frames = spark.read.format(fmt).load(path)
     return in_order(frames)
 
 
-def in_order(frames: DataFrame) -> DataFrame:
-    order = Window.partitionBy("session_id").orderBy("captured_at", "frame_index")
+def in_order(frames: DataFrame, *by: str) -> DataFrame:
+    order = Window.partitionBy("session_id").orderBy(*(by or ("captured_at", "frame_index")))
     return frames.withColumn("sequence", (F.row_number().over(order) - 1).cast("bigint"))
 
 
@@ -76,5 +79,3 @@ def write_session_report(df: DataFrame, path: str, fmt: str = "parquet", mode: s
     if fmt not in ("parquet", "json"):
         raise ValueError("reports are written as parquet or json")
     df.write.format(fmt).mode(mode).save(path)
-
-

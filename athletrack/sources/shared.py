@@ -9,10 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests, one machine) a temporary folder, set once for the session."""
+    """``spark.checkpoint.dir``; where it is unset and all runs on one machine, a temporary folder, set once for the session.
+
+    On a cluster it must be set: executors don't see a folder of the driver.
+    """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)

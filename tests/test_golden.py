@@ -3,6 +3,7 @@
 import pytest
 
 from athletrack.operators import geometry, metrics, select, timeline, tracking, windows
+from athletrack.sources import io
 from athletrack.schemas import DETECTIONS, POSES, TrackConfig
 
 FRAME = (1280, 720)
@@ -149,10 +150,11 @@ def test_frame_budget(spark):
     assert row["budget_ms"] == pytest.approx(38.1) and 26 < row["expected_fps"] < 27
 
 
-@pytest.mark.parametrize("bad", [{"infer_every": 0}, {"detector_interval": None}, {"detector_interval_seconds": 1.0}, {"tracking_alpha": 0}, {"redetect_edge": 0.5}, {"score_threshold": 1.1}, {"tracking_min_keypoints": 18}, {"status_interval": 0}, {"metrics_warmup_seconds": -1}])
+@pytest.mark.parametrize("bad", [{"infer_every": 0}, {"detector_interval": None}, {"detector_interval_seconds": 1.0}, {"tracking_alpha": -0.1}, {"redetect_edge": 0.5}, {"score_threshold": 1.1}, {"tracking_min_keypoints": 0}, {"mode": "none"}, {"status_interval": 0}, {"metrics_warmup_seconds": -1}])
 def test_config_is_checked(bad):
     with pytest.raises(ValueError):
         TrackConfig(**bad)
+    assert TrackConfig(tracking_alpha=0).crop_margin == 0.2 and TrackConfig(tracking_min_keypoints=18)
 
 
 def test_one_frame_session_has_zero_rates(spark):
@@ -170,3 +172,31 @@ def test_flatten_detections_stops_at_the_shortest(spark):
 def test_marker_rounds_half_to_even(spark):
     rows = geometry.joint_markers(_pose(spark, [(0.5, 1.5), (2.5, 3.4)], [0.9, 0.9])).orderBy("kp_index").collect()
     assert [(r["mx"], r["my"]) for r in rows] == [(0, 2), (2, 3)]
+
+
+def test_lag_of_results_that_were_not_taken(spark):
+    rows = spark.createDataFrame([(1, 0.0, 1.0, 5, 8), (2, 0.0, 1.0, 9, 8), (3, 0.0, None, 5, None)], "request_id bigint, requested_at double, consumed_at double, sequence bigint, consumed_sequence bigint")
+    assert {r["request_id"]: (r["result_latency"], r["result_lag"]) for r in timeline.detector_latency(rows).collect()} == {1: (1.0, 3), 2: (1.0, 0), 3: (None, None)}
+
+
+def test_edge_reports_of_both_scopes(spark):
+    hit = [("nose", "left", 0.9)]
+    assessment = "assessment struct<reason:string,edge_hits:array<struct<joint:string,edge:string,confidence:double>>,clamped_edges:array<string>,clamped_only_suppressed:boolean>"
+    rows = [(1, f, float(f), ("crop_edge", hit, [], False)) for f in range(4)]
+    log = spark.createDataFrame(rows, f"session_id bigint, frame_index bigint, at double, {assessment}")
+    sessions = spark.createDataFrame([(1, 0.0, 2.0)], "session_id bigint, started_at double, warmup_seconds double")
+    both = timeline.scoped(log, sessions, "at")
+    of = lambda df, *names: {(r["scope"], *(r[n] for n in names)) for r in df.collect()}
+    assert of(metrics.edge_event_counts(both), "events") == {("all", 4), ("steady", 2)}
+    assert of(metrics.edge_side_counts(metrics.edge_hit_rows(both)), "edge", "n") == {("all", "left", 4), ("steady", "left", 2)}
+    assert of(metrics.edge_clamp_counts(both), "side", "n") == {("all", "not_clamped", 4), ("steady", "not_clamped", 2)}
+    assert of(windows.edge_repeat_streaks(both), "repeated", "max_streak") == {("all", 3, 4), ("steady", 1, 2)}
+
+
+def test_frames_of_extracted_images(spark, tmp_path):
+    for name in ("7/3.jpg", "7/12.jpg", "8/0.png", "8/notes.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    got = {(r["session_id"], r["frame_index"]): r for r in io.read_frames(spark, str(tmp_path / "*"), "binaryFile").collect()}
+    assert {k: r["sequence"] for k, r in got.items()} == {(7, 3): 0, (7, 12): 1, (8, 0): 0}
+    assert got[7, 12]["content"] == b"7/12.jpg" and got[8, 0]["captured_at"] > 1e9 and got[8, 0]["decode_seconds"] is None

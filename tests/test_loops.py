@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+
 from athletrack.operators import timeline, tracking
 from athletrack.schemas import DETECTIONS, POSES, TrackConfig
 from athletrack.streaming import streams
@@ -104,6 +106,7 @@ CONFIGS = [
     TrackConfig(detector_interval=10),
     TrackConfig(detector_interval=None, detector_interval_seconds=0.5, async_detector=True, infer_every=2),
     TrackConfig(detector_interval=15, async_detector=True, infer_every=3, tracking_alpha=1.0, crop_margin=0.0),
+    TrackConfig(detector_interval=20, tracking_alpha=0.0, tracking_min_keypoints=18, crop_margin=0.35),
 ]
 FRAMES = "session_id bigint, frame_index bigint, sequence bigint, loop_started_at double, detector_seconds double, frame_width int, frame_height int"
 
@@ -129,6 +132,145 @@ def test_track_sessions(spark):
             assert got[s] == replay(rows, boxes, people, config), (k, s)
 
 
+def test_each_session_has_its_configuration(spark):
+    f, d, p, plain = _tables(spark, 11, 12)
+    fields = ("detector_interval", "detector_interval_seconds", "async_detector", "infer_every", "tracking_alpha", "crop_margin", "tracking_min_keypoints")
+    own = {s: CONFIGS[s % 4] for s in plain if s < 10}  # the others are not in the table
+    sessions = spark.createDataFrame([(s, *(getattr(c, k) for k in fields)) for s, c in own.items()], "session_id bigint, detector_interval bigint, detector_interval_seconds double, async_detector boolean, infer_every bigint, tracking_alpha double, crop_margin double, tracking_min_keypoints bigint")
+    default = TrackConfig(detector_interval=7)
+    got = _got(tracking.track_sessions(f, d, p, default, sessions).collect())
+    for s, (rows, boxes, people) in plain.items():
+        assert got[s] == replay(rows, boxes, people, own.get(s, default)), s
+
+
+def test_thresholds_of_a_session(spark):
+    frames = spark.createDataFrame([(s, 0, 0, 0.0, 0.1, W, H) for s in (1, 2, 3)], FRAMES)
+    boxes = spark.createDataFrame([(s, 0, 0, 100.0, 100.0, 200.0, 300.0, 0.5, 0, W, H) for s in (1, 2, 3)], DETECTIONS)
+    sessions = spark.createDataFrame([(1, 0.6), (2, 0.5), (3, None)], "session_id bigint, detector_score_threshold double")
+    rows = tracking.track_sessions(frames, boxes, spark.createDataFrame([], POSES), TrackConfig(), sessions).collect()
+    assert {r["session_id"]: r["crop_after"] is not None for r in rows} == {1: False, 2: True, 3: True}
+
+
+def test_failed_detections_end_a_session(spark):
+    frames = spark.createDataFrame([(s, k, k, k / 10, 0.25, W, H, "broken" if k == 3 else None) for s in (1, 2) for k in range(8)], FRAMES + ", detector_error string")
+    boxes = spark.createDataFrame([(1, 0, 0, 100.0, 100.0, 200.0, 300.0, 0.5, 0, W, H)], DETECTIONS)
+    none = spark.createDataFrame([], POSES)
+    for config, last in ((TrackConfig(detector_interval=3), 3), (TrackConfig(detector_interval=3, async_detector=True), 6)):
+        rows = sorted(tracking.track_sessions(frames, boxes, none, config).collect(), key=lambda r: (r["session_id"], r["frame_index"]))
+        mine = [r for r in rows if r["session_id"] == 1]
+        assert mine[-1]["frame_stage"] == "failed" and mine[-1]["error"] == "broken" and mine[-1]["frame_index"] == last, config
+        assert all(r["error"] is None and r["frame_stage"] != "failed" for r in mine[:-1])
+
+
+def test_modes_without_a_crop(spark):
+    frames = spark.createDataFrame([(1, k, k, k / 10, 0.1, W, H) for k in range(4)], FRAMES)
+    at = lambda x, y: [(x - 10.0, y - 10.0), (x + 10.0, y + 10.0)]
+    poses = spark.createDataFrame([(1, 0, 0, at(100, 100), [0.9, 0.9], None), (1, 0, 1, at(640, 360), [0.9, 0.9], None), (1, 2, 5, at(5, 5), [0.9, 0.9], None)], POSES)
+    for mode, stage in (("whole_image", "pose"), ("detector", "detector")):
+        rows = tracking.track_sessions(frames, spark.createDataFrame([], DETECTIONS), poses, TrackConfig(mode=mode, infer_every=2)).collect()
+        got = {r["frame_index"]: (r["frame_stage"], r["instance_index"], r["submitted"]) for r in rows}
+        assert got == {0: (stage, 1, mode == "detector"), 1: ("reuse", None, False), 2: (stage, 5, mode == "detector"), 3: ("reuse", None, False)}
+        assert all(r["crop_after"] is None and r["detection_reason"] is None for r in rows)
+
+
+def test_one_exchange_by_session(spark):
+    f, d, p, _ = _tables(spark, 1, 3)
+    plan = tracking.track_sessions(f, d, p)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_single_flight(spark):
+    rng = random.Random(12)
+    requests, frames, expected = [], [], {}
+    for s in range(40):
+        polls = sorted(round(rng.random() * 10, 1) for _ in range(rng.randrange(0, 40)))
+        asked = sorted((round(rng.random() * 10, 1), i, rng.choice((0.0, 0.1, 1.5))) for i in range(rng.randrange(1, 25)))
+        frames += [(s, k, t) for k, t in enumerate(polls)]
+        free = -1.0
+        for t, i, secs in asked:
+            requests.append((s, 100 * s + i, t, secs))
+            taken = next((q for q in polls if q >= t + secs), None) if t >= free else None
+            expected[s, 100 * s + i] = (t >= free, taken)
+            if t >= free:
+                free = math.inf if taken is None else taken
+    r = spark.createDataFrame(requests, "session_id bigint, request_id bigint, requested_at double, inference_seconds double")
+    f = spark.createDataFrame(frames, "session_id bigint, frame_index bigint, loop_started_at double")
+    got = {(x["session_id"], x["request_id"]): (x["accepted"], x["consumed_at"]) for x in tracking.single_flight(r, f).collect()}
+    # a result that takes no time may be taken by a poll at the same moment, and the next request of that moment is then admitted
+    assert got == expected
+
+
+def test_status_ticks(spark):
+    rng = random.Random(13)
+    rows, expected = [], []
+    for s in range(30):
+        t, last, seen, posed, gone, ages, times = 0.0, 0.0, 0, 0, 0, [], []
+        every = rng.choice((0.5, 2.0))
+        for k in range(rng.randrange(1, 200)):
+            t += rng.uniform(-0.02, 0.2)
+            has, stage, dropped, pose, seq = rng.random() < 0.8, rng.choice(("pose", "reuse")), rng.randrange(3), rng.choice((None, 0.01, 0.03)), 2 * k
+            rows.append((s, k, t, has, stage, k / 100, pose, seq, seq + k % 3, dropped))
+            posed += has and stage != "reuse"
+            gone += dropped
+            ages.append(k / 100)
+            times += [pose] if pose is not None else []
+            if t - last >= every:
+                captured = seq + k % 3 + 1
+                skipped = max(gone, captured - k - 1)
+                recent = times[-60:]
+                expected.append((s, k, posed - seen, k + 1, captured, skipped, k % 3, round((posed - seen) / (t - last), 6), round(float(np.percentile(ages[-120:], 95)), 6), round(sum(recent) / len(recent), 6) if recent else None))
+                last, seen = t, posed
+    log = spark.createDataFrame(rows, "session_id bigint, frame_index bigint, completed_at double, has_player boolean, frame_stage string, frame_age double, pose_seconds double, sequence bigint, latest_sequence bigint, dropped bigint")
+    rng = random.Random(13)
+    sessions = []
+    for s in range(30):  # the same choices again, for the intervals
+        every = rng.choice((0.5, 2.0))
+        for k in range(rng.randrange(1, 200)):
+            rng.uniform(-0.02, 0.2), rng.random(), rng.choice("ab"), rng.randrange(3), rng.choice("abc")
+        sessions.append((s, 0.0, every))
+    table = spark.createDataFrame(sessions, "session_id bigint, started_at double, status_interval double")
+    got = tracking.status_ticks(log, table).orderBy("session_id", "frame_index").collect()
+    near = lambda x: None if x is None else round(x, 6)
+    assert [(r["session_id"], r["frame_index"], r["poses"], r["processed"], r["captured"], r["skipped"], r["lag"], near(r["pose_fps"]), near(r["age_p95"]), near(r["pose_mean"])) for r in got] == expected
+
+
+def test_sessions_across_batches(spark):
+    """Folded sessions don't depend on how Arrow cuts them."""
+    f, d, p, _ = _tables(spark, 3, 12)
+    whole = _got(tracking.track_sessions(f, d, p, CONFIGS[1]).collect())
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert _got(tracking.track_sessions(f, d, p, CONFIGS[1]).collect()) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_late_frames_are_shown(spark, tmp_path):
+    f, d, p, _ = _tables(spark, 8, 2)
+    rows = tracking.fold_rows(f, d, p, CONFIGS[0]).where("session_id = 0").cache()
+    for cut in ("frame_index >= 2", "frame_index < 2"):
+        rows.where(cut).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.track_stream(stream, CONFIGS[0], idle=None).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    stages = {r["frame_index"]: r["frame_stage"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(stages) == rows.count() and (max(stages) < 2 or {k for k, v in stages.items() if v == "late"} == {0, 1})
+
+
+def test_sessions_end_on_a_stream(spark, tmp_path):
+    """Append mode: a session's figures come once, after its gap and the watermark have passed."""
+    schema = "session_id bigint, captured_ts timestamp, frame_age double, frame_stage string, has_player boolean, sequence bigint, latest_sequence bigint"
+    stamp = lambda s: f"2026-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    for batch in ([(1, s, 0.1, "detector" if s == 0 else "pose", True, s, s) for s in range(5)], [(1, 6, 0.3, "reuse", True, 7, 9), (2, 50, 0.2, "pose", True, 0, 0)], [(2, 200, 0.2, "pose", True, 1, 1)], [(3, 400, 0.2, "pose", True, 0, 0)]):
+        df = spark.createDataFrame([(r[0], stamp(r[1]), *r[2:]) for r in batch], schema.replace("timestamp", "string"))
+        df.selectExpr("session_id", "cast(captured_ts as timestamp) captured_ts", *(c.split()[0] for c in schema.split(", ")[2:])).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = streams.stream_session_summary(stream, "30 seconds", "10 seconds")
+    out.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    rows = sorted((r["session_id"], r["processed"], r["captured"], r["skipped"], r["inferred"], r["refreshes"], r["max_lag"], r["max_age"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert rows == [(1, 6, 10, 4, 5, 1, 2, 0.3), (2, 1, 1, 0, 1, 0, 0, 0.2), (2, 1, 2, 1, 1, 0, 0, 0.2)]
+
+
 def test_stream_in_pieces_is_the_batch(spark, tmp_path):
     f, d, p, _ = _tables(spark, 7, 6)
     config = CONFIGS[1]
@@ -136,7 +278,7 @@ def test_stream_in_pieces_is_the_batch(spark, tmp_path):
     for i in range(4):  # as four files, one micro-batch each
         rows.where(f"frame_index >= {30 * i} and frame_index < {30 * (i + 1)}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = streams.track_stream(stream, config).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run = streams.track_stream(stream, config, idle=None).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert _got(spark.read.parquet(str(tmp_path / "out")).collect()) == _got(tracking.track_sessions(f, d, p, config).collect())
 
@@ -145,7 +287,7 @@ def test_latest_only_stream_ignores_stale_frames(spark, tmp_path):
     for batch in ([(1, 0), (1, 3), (2, 1)], [(1, 2), (2, 4)], [(1, 7), (2, 4)]):
         spark.createDataFrame([(s, q, q / 10) for s, q in batch], "session_id bigint, sequence bigint, captured_at double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("session_id bigint, sequence bigint, captured_at double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = streams.latest_only_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run = streams.latest_only_stream(stream, idle=None).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination()
     rows = sorted((r["session_id"], r["sequence"], r["dropped"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert rows == [(1, 3, 3), (1, 7, 3), (2, 1, 1), (2, 4, 2)]
