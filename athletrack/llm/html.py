@@ -1,16 +1,18 @@
 """Main text of HTML pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks of text. A logistic classifier of block and container features gives each block a cost of
-being content and of being boilerplate; these costs are the capacities to the two terminals. Blocks that follow each
-other and blocks under the same parent are tied by smoothness edges. The maximum flow separates content from
-boilerplate. Blocks whose own cost outweighs all their ties keep their side in any minimum cut and are settled
-first; the flow runs over what is left.
+A page is cut into blocks of text. A logistic classifier tells from a block's own text and layout (links,
+length, punctuation, element, place on the page) how likely it is content. What is written around it in so many
+words (a menu or an article element, a class name such as comments) is no input of the classifier: it labels the
+blocks that the classifier is fitted on, and is evidence that is added to its log odds. The sums are the capacities to the
+two terminals. Blocks that follow each other and blocks under the same parent are tied by smoothness edges, and the
+maximum flow separates content from boilerplate. Blocks whose own cost outweighs all their ties keep their side in any
+minimum cut and are settled first; the flow runs over what is left.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -19,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athletrack.llm.base import hash_sample, sliced
+from athletrack.llm.base import distinct_sample, sliced
 
 SAMPLE = 300
-NEXT, SIBLING = 0.6, 0.9  # smoothness of blocks in sequence, and under one parent
+NEXT, SIBLING = 0.2, 1.2  # smoothness of blocks in sequence, and under one parent
 
 # fixed values: elements of the HTML standard, by what they mean here
 RAW = frozenset("script style noscript template textarea select svg math iframe object canvas audio video title head".split())
@@ -42,11 +44,12 @@ STOPS = {"li": ("ul", "ol", "menu", "dir", "table"), "dt": ("dl", "table"), "dd"
 LEAVES = frozenset("p li dt dd td th h1 h2 h3 h4 h5 h6".split())  # elements of one block: its parent is what holds them
 GOOD_TAGS = frozenset(("article", "main"))
 BAD_TAGS = frozenset("nav footer aside header form menu dialog button label fieldset".split())
-GOOD_NAMES = re.compile(r"article|content|main|post|story|entry|body|text")
-BAD_NAMES = re.compile(
-    r"comment|repl(?:y|ies)|discuss|\bads?\b|advert|banner|sponsor|promo|cookie|consent|notice|popup|modal|sidebar|side-bar|widget|menu|\bnav|breadcrumb|"
-    r"footer|header|masthead|share|social|related|recommend|subscribe|newsletter|signup|login|form|pager|pagination|copyright|legal"
-)
+# fixed values: words in the names of containers
+GOOD_NAMES = frozenset("article content main post story entry body text".split())
+FOREIGN_NAMES = re.compile(r"comments?|repl(?:y|ies)|discussions?|ads?|advert\w*|sponsor\w*|cookies?|sidebar|breadcrumbs?|menu|nav|navbar|navigation|footer|masthead|newsletter|subscribe|signup|login|pagination|pager|copyright")
+DOUBTFUL_NAMES = frozenset("banner promo consent notice popup modal widget header share social related recommended form legal".split())
+#: what they add to the log odds, a container each
+GOOD, BAD, GOOD_NAME, FOREIGN_NAME, DOUBTFUL_NAME = 1.0, -3.0, 0.5, -5.0, -1.0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|([^<]+|<)", re.S
@@ -54,21 +57,30 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!-)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _SPACE = re.compile(r"\s+")
+_WORDS = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("text", "features", "parent", "sure")
+    __slots__ = ("text", "features", "parent", "sure", "evidence")
+
+    def __init__(self, text: str, features: list[float], parent: int, sure: int, evidence: float):
+        self.text, self.features, self.parent, self.sure, self.evidence = text, features, parent, sure, evidence
+
 
-    def __init__(self, text: str, features: tuple[float, ...], parent: int, sure: int):
-        self.text, self.features, self.parent, self.sure = text, features, parent, sure
+def _with_place(found: list[Block]) -> list[Block]:
+    """Adds what the page tells of a block: how far it is from the middle, and whether it is repeated."""
+    same = Counter(b.text for b in found)
+    for k, b in enumerate(found):
+        b.features += [abs(2 * (k + 0.5) / len(found) - 1), float(same[b.text] > 1)]
+    return found
 
 
 def blocks(html: str | None) -> list[Block]:
-    """Blocks in page order. ``sure`` is 1 in an article or main element, 0 in a menu, footer, ..., else -1."""
+    """Blocks in page order. ``sure`` is 1 in an article or main element, 0 in a menu, footer, advert, ..., else -1."""
     html = html or ""
     out: list[Block] = []
-    # open containers: tag, number, good containers, bad containers, named good, named bad
-    stack: list[tuple[str, int, int, int, int, int]] = [("", 0, 0, 0, 0, 0)]
+    # open containers: tag, number, good containers, bad containers, what their names add
+    stack: list[tuple[str, int, int, int, float]] = [("", 0, 0, 0, 0.0)]
     places: dict[str, list[int]] = {name: [] for name in BLOCK}  # where each tag is open
     nearest = [0]  # for each open container, the nearest one that isn't in THROUGH
     unclosed: set[str] = set()  # tags without an end tag in the rest of the page
@@ -82,15 +94,14 @@ def blocks(html: str | None) -> list[Block]:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                _, _, good, bad, good_name, bad_name = stack[-1]
+                _, _, good, bad, named = stack[-1]
                 parent = stack[-2 if stack[-1][0] in LEAVES else -1][1]
-                density = min(1.0, linked / len(text))
-                features = (
-                    1.0, float(good > 0), float(bad > 0), float(good_name > 0), float(bad_name > 0), density, min(len(text), 400) / 400,
-                    float(text[-1] in ".!?:;\"'”»…"), float(tag[:1] == "h" and tag[1:].isdigit()), float(tag == "li"), float("©" in text or "all rights reserved" in text.lower()),
-                )
-                outside = bad > 0 or bad_name > 0
-                out.append(Block(text, features, parent, 0 if outside else 1 if good else -1))
+                size = len(text)
+                features = [
+                    1.0, min(1.0, linked / size), min(size, 400) / 400, float(size < 25), float(text[-1] in ".!?:;\"'”»…"), min(1.0, 20 * sum(map(text.count, ".,;")) / size),
+                    float(tag[:1] == "h" and tag[1:].isdigit()), float(tag == "li"), float(tag == "p"), float("©" in text or "all rights reserved" in text.lower()),
+                ]
+                out.append(Block(text, features, parent, 0 if bad or named <= FOREIGN_NAME else 1 if good else -1, GOOD * (good > 0) + BAD * bad + named))
         linked = 0
 
     def close(k: int) -> None:
@@ -160,41 +171,45 @@ def blocks(html: str | None) -> list[Block]:
             in_link = 0
             tag = name
             numbers += 1
-            _, _, good, bad, good_name, bad_name = stack[-1]
-            if attributes and (got := _NAMED.findall(attributes)):
-                names = " ".join(got).lower()
-                if BAD_NAMES.search(names) and name not in ("html", "body"):
-                    bad_name += 1
-                elif GOOD_NAMES.search(names):
-                    good_name += 1
+            _, _, good, bad, named = stack[-1]
+            if attributes and name not in ("html", "body") and (got := _NAMED.findall(attributes)):
+                got = _WORDS.findall(" ".join(got).lower())
+                if any(FOREIGN_NAMES.fullmatch(w) for w in got):
+                    named += FOREIGN_NAME
+                elif any(w in DOUBTFUL_NAMES for w in got):
+                    named += DOUBTFUL_NAME
+                elif any(w in GOOD_NAMES for w in got):
+                    named += GOOD_NAME
             if attributes and _HIDDEN.search(attributes):
                 bad += 1
             places[name].append(len(stack))
             nearest.append(nearest[-1] if name in THROUGH else len(stack))
             # a header or footer of an article belongs to it
-            stack.append((name, numbers, good + (name in GOOD_TAGS), bad + (name in BAD_TAGS and not (name == "header" and good)), good_name, bad_name))
+            stack.append((name, numbers, good + (name in GOOD_TAGS), bad + (name in BAD_TAGS and not (name in ("header", "footer") and good)), named))
         else:
             if places[name] and places[name][-1] > innermost(STOPS.get(name, ())):
                 close(places[name][-1])
             tag = stack[-1][0]
     flush()
-    return out
+    return _with_place(out)
 
 
-#: what the weights are before any page is seen: bias, good and bad container, good and bad name, links, length, end of sentence, heading, list item, copyright
-PRIOR = np.array([-0.6, 3.0, -4.0, 1.0, -3.5, -2.5, 1.5, 0.8, 0.2, -0.3, -2.0])
+#: what the weights are before any page is seen: bias, links, length, short, end of sentence, punctuation, heading, list
+#: item, paragraph, copyright, distance from the middle, repeated
+PRIOR = np.array([-1.6, -3.0, 1.5, -0.5, 0.8, 0.5, 0.4, -0.3, 0.8, -2.5, -0.4, -1.0])
 
 
-def fit(pages: list[str], rounds: int = 60, pull: float = 0.02) -> np.ndarray:
-    """Logistic weights from the blocks whose containers leave no doubt, held near ``PRIOR``."""
+def fit(pages: list[str], rounds: int = 300, pull: float = 0.01) -> np.ndarray:
+    """Logistic weights from the blocks whose elements leave no doubt, held near ``PRIOR``. Both sides weigh the same."""
     found = [b for html in pages for b in blocks(html) if b.sure >= 0]
     if not found:
         return PRIOR
     x, y = np.array([b.features for b in found]), np.array([b.sure for b in found], float)
+    share = 0.5 / np.maximum(1, np.where(y > 0, y.sum(), len(y) - y.sum()))
     w = PRIOR.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= x.T @ (p - y) / len(y) + pull * (w - PRIOR)
+        w -= x.T @ ((p - y) * share) + pull * (w - PRIOR)
     return w
 
 
@@ -254,11 +269,10 @@ def cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     return settled
 
 
-def main_text(html: str | None, weights: np.ndarray) -> str:
+def labelled(html: str | None, weights: list[float]) -> tuple[list[Block], list[float], list[bool]]:
+    """Blocks of a page, their costs, and whether they are content by the minimum cut."""
     found = blocks(html)
-    if not found:
-        return ""
-    costs = [sum(map(float.__mul__, weights, b.features)) for b in found]
+    costs = [sum(map(float.__mul__, weights, b.features), b.evidence) for b in found]
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
@@ -266,13 +280,18 @@ def main_text(html: str | None, weights: np.ndarray) -> str:
         if b.parent in last:
             edges.append((last[b.parent], i, SIBLING))
         last[b.parent] = i
-    return "\n\n".join(b.text for b, content in zip(found, cut(costs, edges)) if content)
+    return found, costs, cut(costs, edges)
+
+
+def main_text(html: str | None, weights: list[float]) -> str:
+    found, _, content = labelled(html, weights)
+    return "\n\n".join(b.text for b, keep in zip(found, content) if keep)
 
 
 def train(pages: DataFrame, limit: int = SAMPLE) -> list[float]:
-    """Fitted on at most ``limit`` pages, chosen by the hash of the html."""
+    """Fitted on at most ``limit`` distinct pages, chosen by the hash of the html."""
     rows = pages.select(F.col("html").cast("string").alias("html")).where("html is not null")
-    return fit(sorted(r["html"] for r in hash_sample(rows, F.xxhash64("html"), limit).collect())[:limit]).tolist()
+    return fit([r["html"] for r in distinct_sample(rows, "html", limit).collect()]).tolist()
 
 
 def extract(pages: DataFrame, weights: list[float] | None = None) -> DataFrame:
