@@ -24,12 +24,12 @@ from athletrack.functions import geometry as g
 from athletrack.operators.select import KEY, detection_rank, person_filter
 from athletrack.schemas import CONFIG, CROP, TrackConfig
 
-#: what the fold needs of a pose, as doubles in one flat array for each frame: plain numbers cross to Python fastest
+#: what the fold needs of a pose, as doubles in one array: plain numbers cross to Python fastest
 INSTANCE = ("index", "area", "cx", "cy", "visible", "x1", "y1", "x2", "y2")
 SIDES = ("x1", "y1", "x2", "y2")
 TRACKS = f"session_id bigint, frame_index bigint, detection_reason string, submitted boolean, crop_before {CROP}, crop_after {CROP}, assess_reason string, frame_stage string, instance_index bigint, error string"
 FLAT = "session_id bigint, frame_index bigint, detection_reason string, submitted boolean, " + ", ".join(f"{c}_{k} int" for c in ("before", "after") for k in SIDES) + ", assess_reason string, frame_stage string, instance_index bigint, error string"
-FOLDED = ("session_id", "frame_index", "loop_started_at", "detector_seconds", "frame_width", "frame_height", "detector_error", "config", "found", "people")
+FOLDED = ("session_id", "frame_index", "loop_started_at", "detector_seconds", "frame_width", "frame_height", "detector_error", "config", "rank", "det_index", "found", "person")
 Crop = tuple[int, int, int, int]
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
@@ -48,11 +48,11 @@ def config_columns(config: TrackConfig, sessions: DataFrame) -> DataFrame:
 
 
 def fold_rows(frames: DataFrame, detections: DataFrame, poses: DataFrame, config: TrackConfig | None = None, sessions: DataFrame | None = None) -> DataFrame:
-    """One row for each frame: times, the crop around its best person, and what the fold needs of each pose.
+    """What the fold needs: a row for each frame with its times, for each person's box with its rank and the crop around it, and for each pose with a few numbers.
 
     ``frames``: session_id, frame_index, loop_started_at, detector_seconds, frame_width, frame_height, and
-    detector_error (optional): what a detection of this frame fails with. All three inputs meet in one exchange by
-    session. ``sessions`` may give a session its own configuration (``config_columns``).
+    detector_error (optional): what a detection of this frame fails with. ``sessions`` may give a session its own
+    configuration (``config_columns``). Nothing is shuffled here: the three inputs meet in the fold's one exchange.
     """
     config = config or TrackConfig()
     if sessions is None:
@@ -64,29 +64,34 @@ def fold_rows(frames: DataFrame, detections: DataFrame, poses: DataFrame, config
         setting = lambda f: F.col(f"config.{f}")
     error = F.col("detector_error") if "detector_error" in frames.columns else F.lit(None).cast("string")
     chosen = F.to_json("config") if sessions is not None else F.lit(None).cast("string")
-    times = F.struct("loop_started_at", "detector_seconds", "frame_width", "frame_height", error.alias("detector_error"), chosen.alias("config"))
-
     ranked = detection_rank(person_filter(detections, setting("detector_score_threshold"))).where(~F.isnan("rank"))
     crop = g.crop(*map(F.col, SIDES), F.col("frame_width"), F.col("frame_height"), setting("crop_margin"))
-    box = F.struct("rank", (-F.col("det_index")).alias("first"), F.when(crop.isNotNull(), F.array(*(crop[k] for k in SIDES))).alias("crop"))
+    found = F.when(crop.isNotNull(), F.array(*(crop[k] for k in SIDES))).alias("found")
 
-    shown = F.when(F.size("scores") == 0, F.col("keypoints")).otherwise(F.filter("keypoints", lambda p, i: F.get("scores", i).cast("double") > g.POSE_VISIBLE))
-    wide = F.transform(shown, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
-    rows = poses.where(F.size("keypoints") > 0).withColumn("all", g.bounds(wide)).withColumn("seen", g.bounds(g.visible(F.col("keypoints"), F.col("scores"), setting("score_threshold"))))
     has = F.col("bbox").isNotNull()
-    a = {k: F.when(has, F.col(f"bbox.{k}")).otherwise(F.col(f"all.{k}")) for k in SIDES}
-    w, h = a["x2"] - a["x1"], a["y2"] - a["y1"]
-    area = F.when(has, F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))).otherwise(w * h)
-    numbers = (F.col("instance_index"), area, (a["x1"] + a["x2"]) / 2, (a["y1"] + a["y2"]) / 2, F.col("seen.n"), *(F.col(f"seen.{k}") for k in SIDES))
-    person = F.array(*(c.cast("double") for c in numbers))
 
-    def part(df: DataFrame, name: str, value: Column) -> DataFrame:
-        return df.select(*KEY, value.alias(name))
+    def numbers(m: Column) -> Column:
+        a = {k: F.when(has, F.col(f"bbox.{k}")).otherwise(m["all"][k].cast("double")) for k in SIDES}
+        w, h = a["x2"] - a["x1"], a["y2"] - a["y1"]
+        area = F.when(has, F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))).otherwise(w * h)
+        row = (F.col("instance_index"), area, (a["x1"] + a["x2"]) / 2, (a["y1"] + a["y2"]) / 2, m["seen"]["n"], *(m["seen"][k] for k in SIDES))
+        return F.when(has | (m["all"]["n"] > 0), F.array(*(c.cast("double") for c in row)))
+
+    def bounded(pairs: Column) -> Column:
+        def shown(least: Callable[[Column], Column]) -> Column:
+            return F.filter(pairs, lambda p: least(p["scores"])).getField("keypoints")
+
+        prominent = F.when(F.size("scores") == 0, pairs.getField("keypoints")).otherwise(shown(lambda s: s.cast("double") > g.POSE_VISIBLE))
+        seen = shown(lambda s: s >= g.as_float(setting("score_threshold")))
+        return F.struct(g.bounds(prominent).alias("all"), g.bounds(seen).alias("seen"))
 
-    parts = (part(frames, "times", times), part(ranked, "box", box), part(rows.where((F.col("all.n") > 0) | has), "person", person))
-    met = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True).repartition("session_id")
-    by_frame = met.groupBy(*KEY).agg(F.max("times").alias("t"), F.max("box").alias("b"), F.sort_array(F.collect_list("person")).alias("people"))  # people in a frame
-    return by_frame.where("t is not null").select(*KEY, "t.*", F.col("b.crop").alias("found"), F.flatten("people").alias("people")).select(*FOLDED)
+    # what is used more than once is bound to a lambda's variable, so that it is computed once
+    both = F.transform(F.array(F.arrays_zip("keypoints", "scores")), bounded)
+    person = F.get(F.transform(both, numbers), 0)
+    times = frames.select(*KEY, "loop_started_at", "detector_seconds", "frame_width", "frame_height", error.alias("detector_error"), chosen.alias("config"))
+    boxes = ranked.select(*KEY, "rank", "det_index", found)
+    people = poses.where(F.size("keypoints") > 0).select(*KEY, person.alias("person"))
+    return times.unionByName(boxes, allowMissingColumns=True).unionByName(people, allowMissingColumns=True).select(*FOLDED)
 
 
 def _crop(x1: float, y1: float, x2: float, y2: float, width: int, height: int, margin: float, size: tuple[float, float] | None = None) -> Crop | None:
@@ -229,16 +234,27 @@ NOBODY = (None,) * 4
 
 
 def track_rows(rows: dict[str, list], tracker: Tracker) -> list[tuple]:
-    """Flat tracks of frames of a session, in order."""
-    out, width = [], len(INSTANCE)
-    for session, frame, started, seconds, w, h, error, found, people in zip(*(rows[c] for c in FOLDED if c != "config")):
-        if tracker.failed:
-            break
-        people = [people[k : k + width] for k in range(0, len(people), width)] if people is not None else ()
-        seconds = 0.0 if seconds is None or math.isnan(seconds) else seconds
-        found = None if found is None else tuple(found)
-        reason, sent, before, after, assessed, stage, instance, failure = tracker.step(frame, started, w, h, found, seconds, people, error)
-        out.append((session, frame, reason, sent, *(before or NOBODY), *(after or NOBODY), assessed, stage, instance, failure))
+    """Flat tracks of a session from its ``fold_rows`` in order of frame_index.
+
+    A frame's box is the one with the largest rank, then the smallest det_index; boxes and poses without a row of
+    their frame are left out, and a repeated frame counts once, with its last times.
+    """
+    out: list[tuple] = []
+    frame, times, best, people = None, None, None, []
+    for session, at, started, seconds, w, h, error, _, rank, index, found, person in [*zip(*(rows[c] for c in FOLDED)), (None,) * len(FOLDED)]:
+        if at != frame:
+            if times is not None and not tracker.failed:
+                people.sort()
+                reason, sent, before, after, assessed, stage, instance, failure = tracker.step(frame, *times[:3], best and best[2], times[3], people, times[4])
+                out.append((times[5], frame, reason, sent, *(before or NOBODY), *(after or NOBODY), assessed, stage, instance, failure))
+            frame, times, best, people = at, None, None, []
+        if rank is not None:
+            if best is None or (rank, -index) > best[:2]:
+                best = rank, -index, None if found is None else tuple(found)
+        elif person is not None:
+            people.append([math.nan if x is None else x for x in person])
+        elif started is not None and (times is None or started > times[0]):
+            times = started, w, h, 0.0 if seconds is None or math.isnan(seconds) else seconds, error, session
     return out
 
 
@@ -285,7 +301,10 @@ def folded(df: DataFrame, order: list[str], fold: Callable[[dict[str, list]], li
         if rows:
             yield made(rows)
 
-    return df.repartition("session_id").sortWithinPartitions("session_id", *order).mapInArrow(run, schema)
+    # by a hash of its own: an exchange by session_id is left out where inputs of a union seem to have it already, though
+    # their partitions may be changed while they run
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that small partitions are not put together: the work is in the fold
+    return df.repartition(n, F.xxhash64("session_id")).sortWithinPartitions("session_id", *order).mapInArrow(run, schema)
 
 
 def track_sessions(frames: DataFrame, detections: DataFrame, poses: DataFrame, config: TrackConfig | None = None, sessions: DataFrame | None = None) -> DataFrame:
@@ -297,7 +316,7 @@ def track_sessions(frames: DataFrame, detections: DataFrame, poses: DataFrame, c
     config = config or TrackConfig()
 
     def fold(rows: dict[str, list]) -> list[tuple]:
-        chosen = rows["config"][0]
+        chosen = next((c for c in rows["config"] if c is not None), None)
         return track_rows(rows, Tracker(config if chosen is None else _config(chosen)))
 
     return tracks(folded(fold_rows(frames, detections, poses, config, sessions), ["frame_index"], fold, FLAT))

@@ -38,7 +38,9 @@ def _timeout(idle: int | str | None) -> str:
 
 
 def _plain(column: pd.Series) -> list:
-    """Python values, lists for arrays, None where one is missing."""
+    """Python values, lists for arrays, None where one is missing. Whole numbers come as floats where some are missing."""
+    if column.name in ("frame_width", "frame_height", "det_index"):
+        return [None if math.isnan(v) else int(v) for v in column.astype(float).tolist()]
     values = (v.tolist() if isinstance(v, np.ndarray) else v for v in column.tolist())
     return [None if v is None or isinstance(v, float) and math.isnan(v) else v for v in values]
 
@@ -46,7 +48,7 @@ def _plain(column: pd.Series) -> list:
 def track_stream(rows: DataFrame, config: TrackConfig | None = None, idle: int | str | None = IDLE) -> DataFrame:
     """``track_sessions`` on a stream of ``fold_rows``: the state of a session is one small row.
 
-    Frames of a session must arrive in order of frame_index between micro-batches; inside one they are sorted, so
+    A frame's rows must come in one micro-batch, and frames of a session must arrive in order of frame_index between micro-batches; inside one they are sorted, so
     how a session is cut does not change its tracks. A frame that comes after a later one is not tracked: its row has
     the stage late. A session without a frame for ``idle`` milliseconds is forgotten; None keeps all, for a feed that
     is drained once (with a timeout such a query would wait for ever).
@@ -59,11 +61,11 @@ def track_stream(rows: DataFrame, config: TrackConfig | None = None, idle: int |
             return
         pdf = pd.concat(list(batches)).sort_values("frame_index", kind="stable")
         known = state.get if state.exists else None
-        chosen, last = (known[9], known[8]) if known else (_plain(pdf["config"])[0], -1)
+        chosen, last = (known[9], known[8]) if known else (next((c for c in _plain(pdf["config"]) if c is not None), None), -1)
         own = config if chosen is None else _config(chosen)
         tracker = _unpack(own, known[:8]) if known else Tracker(own)
         late = pdf["frame_index"] <= last
-        out = [(key[0], frame, *[None] * 11, "late", None, None) for frame in pdf.loc[late, "frame_index"].tolist()]
+        out = [(key[0], frame, *[None] * 11, "late", None, None) for frame in pdf.loc[late & pdf["loop_started_at"].notna(), "frame_index"].tolist()]
         pdf = pdf[~late]
         out += track_rows({c: _plain(pdf[c]) for c in FOLDED}, tracker)
         state.update(_pack(tracker, max([int(last), *pdf["frame_index"].tolist()]), chosen))
