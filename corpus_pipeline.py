@@ -14,27 +14,39 @@ from athletrack.llm.registry import tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Null and empty texts get the score of a text without features; repeated rows and null ids are each judged by their
+    own text. An empty table stays empty.
+    """
     return quality.accepted(docs, quality.train(docs, read(spark, sf_dir, "labels"), F.lit(True)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates (five words, 0.8)."""
+    """The document with the smallest doc_id of each group of near duplicates (five words, 0.8).
+
+    Null and empty texts and rows with a null doc_id are in no group and stay. Rows that repeat a doc_id are one
+    document: they stay or go together.
+    """
     return only(docs, neardup.near_duplicates(docs).where("kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item.
+
+    Null and empty texts and null ids match nothing and stay; rows that repeat a doc_id go together if one of them has a
+    passage; null and empty items have none.
+    """
     return only(docs, phrases.contamination(docs, read(spark, sf_dir, "benchmark")).where("not contaminated"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind; n_chars follows the text."""
+    """Personal data and secrets replaced by their kind; n_chars follows the text, null for a null text."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids): the documents as token ids."""
+    """(doc_id, ids): the documents as token ids, none for null and empty texts; each row by itself, null ids too."""
     return pieces.encode(docs, tokenizer_path())
 
 
