@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from athletrack.llm.base import sliced, written
@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, shape: Shape | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row.
 
     Empty and null texts have no shingles and no links: a component of their own, kept. Rows that repeat a doc_id are
-    taken as one document's and each give a row. A null doc_id links nothing, has a null component and is kept.
+    taken as one document's, which is linked by each of its texts; each gives a row. A null doc_id links nothing, has a null component and is kept.
     Other columns are not read.
     """
     shape = shape or Shape()
@@ -179,10 +179,9 @@ def near_duplicates(docs: DataFrame, shape: Shape | None = None) -> DataFrame:
     usable = signed.where("key is not null and doc_id is not null")
     reps = written(usable.groupBy("key").agg(F.min(F.struct("doc_id", "minima", "bands")).alias("r")).select("key", F.col("r.doc_id").alias("rep"), "r.minima", "r.bands"), "near-classes")
 
-    in_bucket = Window.partitionBy("h")
     banded = reps.select("rep", F.posexplode("bands").alias("band", "h"))
-    multi = banded.withColumn("n", F.count(F.lit(1)).over(in_bucket)).where("n > 1")
-    multi = written(multi, "near-buckets")
+    several = banded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # counted and joined, so that a large bucket is no single task
+    multi = written(banded.join(several, "h"), "near-buckets")
     met = multi.groupBy("rep").agg(F.sum("n").alias("met"))
     hubs = multi.join(met, "rep").groupBy("h").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("hub"))
     multi = written(multi.join(hubs, "h"), "near-hubs")
@@ -191,7 +190,7 @@ def near_duplicates(docs: DataFrame, shape: Shape | None = None) -> DataFrame:
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.select("doc_id", F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
-    texts = written(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
+    texts = written(texts.distinct(), "near-texts")  # each text of a doc_id
 
     pairs = multi.where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
     pairs = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v").join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u")

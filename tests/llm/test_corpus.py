@@ -82,6 +82,15 @@ def test_near_duplicates_odd_tables(spark):
     assert neardup.near_duplicates(table(spark, [(1, None), (2, "")])).where("kept").count() == 2
 
 
+def test_near_duplicates_of_each_text_of_an_id(spark):
+    base = [f"w{k}" for k in range(120)]
+    near = lambda k: " ".join([*base[:k], "zz", *base[k + 1 :]])
+    other = " ".join(f"v{k}" for k in range(120))
+    df = table(spark, [(1, "aaa first in order, like nothing else"), (1, near(10)), (2, near(50)), (3, other), (4, other + " more")])
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, neardup.Shape(3, 85)).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 3, True), (4, 3, False)}
+
+
 def test_links_inside_a_bucket():
     """The second round: members that their hub doesn't reach, in one block and between two."""
     shape = neardup.Shape(1, 50)
