@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from athletrack.llm import chat, html, neardup, phrases, pieces, pii, quality, repeats, rules, toxicity
+from athletrack.llm import chat, html, neardup, phrases, pieces, pii, quality, repeats, rules, runs, toxicity
 from athletrack.llm.base import read
 from athletrack.llm.sql import ORACLES
 
@@ -60,8 +60,12 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(read(spark, sf_dir, "documents"), tokenizer_path(), with_text=True))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(read(spark, sf_dir, "documents"), runs.repeated_tail))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neardup, op2_chat, op3_pii, op4_toxicity, op5_repeats, op6_decontamination, op7_quality, op8_rules, op9_html, op10_pieces)}
+    return {f.__name__: f for f in (op1_neardup, op2_chat, op3_pii, op4_toxicity, op5_repeats, op6_decontamination, op7_quality, op8_rules, op9_html, op10_pieces, op13_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
