@@ -59,4 +59,26 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from f join v on f.host is not distinct from v.host
 """
 
-ORACLES = {"op1_neardup": NEARDUP, "op2_chat": CHAT, "op6_decontamination": DECONTAMINATION, "op8_rules": RULES}
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::bigint)), lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+_VALUE = "coalesce(strlen(cast({0} as varchar)) || ':' || cast({0} as varchar), '-')"
+_LEAF = "sha256(" + " || ".join(_VALUE.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+
+MERKLE = f"""
+with recursive l as (select doc_id, lang, {_LEAF.format(n='n_chars')} as leaf, case when {_CRC} % 7 = 0 then {_LEAF.format(n='(n_chars + 1)')} end as claimed from documents),
+g as (select lang, row_number() over (order by encode(lang) nulls first) - 1 as tree from (select distinct lang from l) q),
+p as (select doc_id, leaf, claimed, tree, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by tree) as n from l join g on g.lang is not distinct from l.lang),
+t as (select tree, 0 as level, pos as idx, leaf as h, n from p union all select tree, level + 1, idx // 2, sha256(string_agg(h, '' order by idx)), (n + 1) // 2 from t where n > 1 group by tree, level, idx // 2, n),
+r as (select tree, h as subroot from t where n = 1),
+u as (select 0 as level, tree as idx, subroot as h, count(*) over () as n from r union all select level + 1, idx // 2, sha256(string_agg(h, '' order by idx)), (n + 1) // 2 from u where n > 1 group by level, idx // 2, n),
+a as (select tree, level, idx, h, n, 0 as up from t union all select x.tree, 1000 + u.level, u.idx, u.h, u.n, 1 from u, r x),
+path as (select p.tree, p.pos, a.level, a.h, a.idx & 1 as lft, a.n, a.idx from p join a on a.tree = p.tree and a.idx = xor(case when a.up = 0 then p.pos else p.tree end >> (a.level % 1000), 1)),
+f as (select p.tree, p.pos, coalesce(claimed, leaf) as h, 0 as level, n from p
+ union all select f.tree, f.pos, case when s.h is null then sha256(f.h) when s.lft = 1 then sha256(f.h || s.h) else sha256(s.h || f.h) end, f.level + 1, (f.n + 1) // 2 from f left join path s on s.tree = f.tree and s.pos = f.pos and s.level = f.level where f.n > 1),
+v as (select tree, pos, h, 1000 as level, (select count(*) from r) as n from f where n = 1
+ union all select v.tree, v.pos, case when s.h is null then sha256(v.h) when s.lft = 1 then sha256(v.h || s.h) else sha256(s.h || v.h) end, v.level + 1, (v.n + 1) // 2 from v left join path s on s.tree = v.tree and s.pos = v.pos and s.level = v.level where v.n > 1),
+d as (select p.tree, p.pos, sha256(coalesce(string_agg(path.h, '' order by path.level), '')) as proof_sha256 from p left join path on path.tree = p.tree and path.pos = p.pos group by p.tree, p.pos)
+select p.doc_id, p.leaf, r.subroot, u.h as root, d.proof_sha256, v.h as folded_root, v.h = u.h as verified
+from p join r on r.tree = p.tree join u on u.n = 1 join d on d.tree = p.tree and d.pos = p.pos join v on v.tree = p.tree and v.pos = p.pos and v.n = 1
+"""
+
+ORACLES = {"op1_neardup": NEARDUP, "op2_chat": CHAT, "op6_decontamination": DECONTAMINATION, "op8_rules": RULES, "op12_merkle": MERKLE}
