@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from athletrack.llm import chat, html, merkle, neardup, phrases, pieces, pii, quality, repeats, rules, runs, toxicity
+from athletrack.llm import chat, html, imatch, merkle, neardup, phrases, pieces, pii, quality, repeats, rules, runs, toxicity
 from athletrack.llm.base import read
 from athletrack.llm.sql import ORACLES
 
@@ -60,6 +60,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(read(spark, sf_dir, "documents"), tokenizer_path(), with_text=True))
 
 
+def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return imatch.compare_edited(docs, imatch.lexicon(docs))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle(read(spark, sf_dir, "documents"))
 
@@ -69,7 +74,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neardup, op2_chat, op3_pii, op4_toxicity, op5_repeats, op6_decontamination, op7_quality, op8_rules, op9_html, op10_pieces, op12_merkle, op13_runs)}
+    return {f.__name__: f for f in (op1_neardup, op2_chat, op3_pii, op4_toxicity, op5_repeats, op6_decontamination, op7_quality, op8_rules, op9_html, op10_pieces, op11_imatch, op12_merkle, op13_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
