@@ -2,7 +2,7 @@
 
 The lexicon holds the terms within a band of inverse document frequency, counted over all documents. A fingerprint
 hashes a document's sorted distinct terms of the lexicon, and those of randomised subsets of it: level k of the subsets
-keeps a term with probability 2^-k, in up to 16 disjoint subsets. Equal hashes in the large subsets tell that two texts
+keeps a term with probability 2^-k, in up to 32 disjoint subsets. Equal hashes in the large subsets tell that two texts
 are all but equal, those in the small ones that they share a part.
 
 The lexicon is a bitmap over 2^22 hashed cells: half a megabyte at any size of the corpus, so it is broadcast. A term
@@ -31,9 +31,9 @@ CELLS = 1 << 22
 BLOCK = 1 << 12  # cells that are added up together
 IDF = (2.3, 9.2)  # natural logarithms: in at most one of 10 and at least one of 10,000 documents
 LEVELS = 16  # the smallest subsets keep one term of 65,536
-SUBSETS = 16  # of a level at most
-SPARSE = 10  # subsets of a level that two texts may fill, so that most hold a single term
-NONE = "-"  # no term of the document is in the subset
+SUBSETS = 32  # of a level at most
+SPARSE = 20  # subsets of a level that two texts may fill, so that most hold a single term
+NONE = ""  # no term of the document is in the subset
 PER_PART = 40  # rows of a sample for each partition, to cut the range of ids
 _TERM = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -127,7 +127,7 @@ def likeness(one: str, other: str) -> float:
     """
     if one == other:
         return 1.0
-    if "=" in (one[0], other[0]):
+    if "=" in (one[:1], other[:1]):
         return 0.0
     a, b = one.split(","), other.split(",")
     equal = total = 0
