@@ -233,20 +233,18 @@ def _config(text: str) -> TrackConfig:
 NOBODY = (None,) * 4
 
 
-def track_rows(rows: dict[str, list], tracker: Tracker) -> list[tuple]:
-    """Flat tracks of a session from its ``fold_rows`` in order of frame_index.
+def frames_of(rows: dict[str, list]) -> Iterator[tuple]:
+    """(frame, (time, width, height, seconds, error, session), found, people) of every frame of a session's ``fold_rows``, in their order.
 
     A frame's box is the one with the largest rank, then the smallest det_index; boxes and poses without a row of
     their frame are left out, and a repeated frame counts once, with its last times.
     """
-    out: list[tuple] = []
     frame, times, best, people = None, None, None, []
     for session, at, started, seconds, w, h, error, _, rank, index, found, person in [*zip(*(rows[c] for c in FOLDED)), (None,) * len(FOLDED)]:
         if at != frame:
-            if times is not None and not tracker.failed:
+            if times is not None:
                 people.sort()
-                reason, sent, before, after, assessed, stage, instance, failure = tracker.step(frame, *times[:3], best and best[2], times[3], people, times[4])
-                out.append((times[5], frame, reason, sent, *(before or NOBODY), *(after or NOBODY), assessed, stage, instance, failure))
+                yield frame, times, best and best[2], people
             frame, times, best, people = at, None, None, []
         if rank is not None:
             if best is None or (rank, -index) > best[:2]:
@@ -255,7 +253,17 @@ def track_rows(rows: dict[str, list], tracker: Tracker) -> list[tuple]:
             people.append([math.nan if x is None else x for x in person])
         elif started is not None and (times is None or started > times[0]):
             times = started, w, h, 0.0 if seconds is None or math.isnan(seconds) else seconds, error, session
-    return out
+
+
+def stepped(tracker: Tracker, frame: int, times: tuple, found: Crop | None, people: list) -> tuple:
+    """The flat row of a frame, after which ``tracker`` is in its next state."""
+    reason, sent, before, after, assessed, stage, instance, failure = tracker.step(frame, *times[:3], found, times[3], people, times[4])
+    return times[5], frame, reason, sent, *(before or NOBODY), *(after or NOBODY), assessed, stage, instance, failure
+
+
+def track_rows(rows: dict[str, list], tracker: Tracker) -> list[tuple]:
+    """Flat tracks of a session from its ``fold_rows`` in order of frame_index."""
+    return [stepped(tracker, *frame) for frame in frames_of(rows) if not tracker.failed]
 
 
 def tracks(flat: DataFrame) -> DataFrame:
@@ -264,8 +272,8 @@ def tracks(flat: DataFrame) -> DataFrame:
     return flat.select(*KEY, "detection_reason", "submitted", crop("before"), crop("after"), "assess_reason", "frame_stage", "instance_index", "error")
 
 
-def folded(df: DataFrame, order: list[str], fold: Callable[[dict[str, list]], list[tuple]], schema: str) -> DataFrame:
-    """What ``fold`` makes of each session's rows, given as lists by column in ``order``.
+def folded(df: DataFrame, order: list[str], fold: Callable[[dict[str, list]], list[tuple]], schema: str, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """What ``fold`` makes of the rows of each session (or other group), given as lists by column in ``order``.
 
     One exchange and one sort; a task takes its sessions from the batches one by one, so small sessions cost no call
     and no frame of their own. A session's numbers are in memory together.
@@ -279,16 +287,17 @@ def folded(df: DataFrame, order: list[str], fold: Callable[[dict[str, list]], li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] | None = None
-        rows: list[tuple] = []
+        held_id, rows = None, []
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            ids = columns[names.index("session_id")]
+            ids = columns[names.index(by[0])] if len(by) == 1 else list(zip(*(columns[names.index(b)] for b in by)))
             cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
             for lo, hi in zip(cuts, cuts[1:]):
-                if held is not None and held["session_id"][0] != ids[lo]:
+                if held is not None and held_id != ids[lo]:
                     rows += fold(held)
                     held = None
                 if held is None:
+                    held_id = ids[lo]
                     held = {n: c[lo:hi] for n, c in zip(names, columns)}
                 else:
                     for n, c in zip(names, columns):
@@ -296,7 +305,7 @@ def folded(df: DataFrame, order: list[str], fold: Callable[[dict[str, list]], li
             if len(rows) >= 10_000:
                 yield made(rows)
                 rows = []
-        if held is not None and held["session_id"]:
+        if held is not None and held[by[0]]:
             rows += fold(held)
         if rows:
             yield made(rows)
@@ -304,7 +313,7 @@ def folded(df: DataFrame, order: list[str], fold: Callable[[dict[str, list]], li
     # by a hash of its own: an exchange by session_id is left out where inputs of a union seem to have it already, though
     # their partitions may be changed while they run
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that small partitions are not put together: the work is in the fold
-    return df.repartition(n, F.xxhash64("session_id")).sortWithinPartitions("session_id", *order).mapInArrow(run, schema)
+    return df.repartition(n, F.xxhash64(*by)).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
 def track_sessions(frames: DataFrame, detections: DataFrame, poses: DataFrame, config: TrackConfig | None = None, sessions: DataFrame | None = None) -> DataFrame:
