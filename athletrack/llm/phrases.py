@@ -1,6 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index holds the postings (term, document, position) of the test items' terms in all documents. Items are looked
+The index holds the postings (term, document, position) of the test items' terms in all documents. A document is a
+doc_id and the hash of its text, so that places in two texts of one doc_id never meet. Items are looked
 up from their rarest terms: the lists of the two rarest terms of every window, shifted by their place in the item,
 are intersected to alignments (item, document, shift); only these are compared with the lists of all other terms.
 DataFrame operations only.
@@ -17,6 +18,7 @@ WINDOW = 10
 BROADCAST_ROWS = 500_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+DOC = ["doc_id", "text_id"]
 _LENGTH = -1  # the term number under which a document's number of words is stored
 
 
@@ -58,12 +60,12 @@ def vocabulary(items: DataFrame) -> DataFrame:
 
 
 def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, doc_id, pos): postings of ``terms`` in every whole text, and each document's number of words."""
+    """(term, doc_id, text_id, pos): postings of ``terms`` in every whole text, and each document's number of words."""
     mark = "\x01"  # a separator, so no word
     with_mark = small(written(terms.unionByName(terms.sparkSession.createDataFrame([(mark, _LENGTH)], "word string, term long")), "phrases-terms"))
-    split = docs.select("doc_id", words(F.col("text")).alias("w"))
-    tokens = split.select("doc_id", n_words(F.col("w")).alias("n"), F.posexplode(F.concat(F.coalesce("w", F.array().cast("array<string>")), F.array(F.lit(mark)))).alias("pos", "word"))
-    return tokens.join(with_mark, "word").select("term", "doc_id", F.when(F.col("term") == _LENGTH, F.col("n")).otherwise(F.col("pos")).alias("pos"))
+    split = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_id"), words(F.col("text")).alias("w"))
+    tokens = split.select(*DOC, n_words(F.col("w")).alias("n"), F.posexplode(F.concat(F.coalesce("w", F.array().cast("array<string>")), F.array(F.lit(mark)))).alias("pos", "word"))
+    return tokens.join(with_mark, "word").select("term", *DOC, F.when(F.col("term") == _LENGTH, F.col("n")).otherwise(F.col("pos")).alias("pos"))
 
 
 def rare_terms(placed: DataFrame, frequency: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -81,14 +83,14 @@ def rare_terms(placed: DataFrame, frequency: DataFrame, window: int = WINDOW) ->
 
 
 def alignments(postings: DataFrame, rare: DataFrame) -> DataFrame:
-    """(item_id, doc_id, shift) where rare terms of two places of the item meet at the same shift (one, if it has one word)."""
-    met = postings.join(small(rare), "term").select("item_id", "doc_id", (F.col("pos") - F.col("place")).alias("shift"), "place", "length")
-    both = met.groupBy("item_id", "doc_id", "shift").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.min("length").alias("length"))
-    return both.where("lo < hi or length = 1").select("item_id", "doc_id", "shift")
+    """(item_id, doc_id, text_id, shift) where rare terms of two places of the item meet at the same shift (one, if it has one word)."""
+    met = postings.join(small(rare), "term").select("item_id", *DOC, (F.col("pos") - F.col("place")).alias("shift"), "place", "length")
+    both = met.groupBy("item_id", *DOC, "shift").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.min("length").alias("length"))
+    return both.where("lo < hi or length = 1").select("item_id", *DOC, "shift")
 
 
 def phrase_matches(postings: DataFrame, placed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, doc_id, pos): document words inside an occurrence of a window of the item, exactly.
+    """(item_id, doc_id, text_id, pos): document words inside an occurrence of a window of the item, exactly.
 
     Runs of ``window`` or more consecutive item words at one shift are what windows cover; an item of fewer words
     must occur whole.
@@ -96,18 +98,18 @@ def phrase_matches(postings: DataFrame, placed: DataFrame, window: int = WINDOW)
     frequency = postings.where(F.col("term") >= 0).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     rare = written(rare_terms(placed, frequency, window), "phrases-rare")
     aligned = written(alignments(postings, rare), "phrases-aligned")
-    there = small(written(aligned.select("doc_id").distinct(), "phrases-docs"))
-    lists = postings.where(F.col("term") >= 0).join(there, "doc_id", "left_semi")
-    expected = aligned.join(small(written(placed, "phrases-items")), "item_id").select("item_id", "doc_id", "shift", "place", "term", "length", (F.col("shift") + F.col("place")).alias("pos"))
-    met = expected.join(lists, ["doc_id", "pos", "term"], "left_semi")
-    at = Window.partitionBy("item_id", "doc_id", "shift").orderBy("place")
+    there = small(written(aligned.select(*DOC).distinct(), "phrases-docs"))
+    lists = postings.where(F.col("term") >= 0).join(there, DOC, "left_semi")
+    expected = aligned.join(small(written(placed, "phrases-items")), "item_id").select("item_id", *DOC, "shift", "place", "term", "length", (F.col("shift") + F.col("place")).alias("pos"))
+    met = expected.join(lists, [*DOC, "pos", "term"], "left_semi")
+    at = Window.partitionBy("item_id", *DOC, "shift").orderBy("place")
     runs = met.withColumn("run", F.col("place") - F.row_number().over(at))
-    runs = runs.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("item_id", "doc_id", "shift", "run")))
-    return runs.where(F.col("size") >= F.least(F.lit(window), F.col("length"))).select("item_id", "doc_id", "pos")
+    runs = runs.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("item_id", *DOC, "shift", "run")))
+    return runs.where(F.col("size") >= F.least(F.lit(window), F.col("length"))).select("item_id", *DOC, "pos")
 
 
 def proximity_matches(postings: DataFrame, placed: DataFrame, within: int = 30, terms: int = 3) -> DataFrame:
-    """(item_id, doc_id, pos, span): places where the item's rarest terms all lie within ``within`` words.
+    """(item_id, doc_id, text_id, pos, span): places where the item's rarest terms all lie within ``within`` words.
 
     ``pos`` is the last of them and ``span`` the words from the first to the last.
     """
@@ -115,31 +117,30 @@ def proximity_matches(postings: DataFrame, placed: DataFrame, within: int = 30,
     distinct = placed.select("item_id", "term").distinct().join(frequency, "term")
     ranked = distinct.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("n", "term"))).where(F.col("rank") <= terms)
     ranked = written(ranked.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("item_id"))), "phrases-near")
-    met = postings.join(small(ranked), "term").select("item_id", "doc_id", "pos", "rank", "of")
-    so_far = Window.partitionBy("item_id", "doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    met = postings.join(small(ranked), "term").select("item_id", *DOC, "pos", "rank", "of")
+    so_far = Window.partitionBy("item_id", *DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     last = [F.max(F.when(F.col("rank") == k, F.col("pos"))).over(so_far) for k in range(1, terms + 1)]
     met = met.withColumn("seen", F.array_compact(F.array(*last)))
     span = (F.col("pos") - F.array_min("seen") + 1).alias("span")
-    return met.where(F.size("seen") == F.col("of")).select("item_id", "doc_id", "pos", span).where(F.col("span") <= within)
+    return met.where(F.size("seen") == F.col("of")).select("item_id", *DOC, "pos", span).where(F.col("span") <= within)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, contaminated), items sorted as strings, for every row.
 
     Null and empty texts have no words and no hits, and such items no window. Repeated items count once, and several
-    texts of an item_id are looked for each by itself. Rows that repeat a doc_id are
-    searched as one document's and each give a row; a null doc_id and a null item_id match nothing. Other columns
-    are not read.
+    texts of an item_id are looked for each by itself. Rows that repeat a doc_id are each judged by their own text; a
+    null doc_id and a null item_id match nothing. Other columns are not read.
     """
     items = numbered(items)
     terms = vocabulary(items)
     placed = written(item_terms(items, terms), "phrases-items")
     postings = written(index(docs, terms), "phrases-index")
     hits = phrase_matches(postings.where("doc_id is not null"), placed, window)
-    found = hits.join(small(items.select("item_id", "item")), "item_id").groupBy("doc_id", "pos").agg(F.collect_set("item").alias("items"))
-    found = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    lengths = postings.where(F.col("term") == _LENGTH).select("doc_id", F.col("pos").cast("long").alias("n_words"))
-    out = lengths.join(found, "doc_id", "left")
+    found = hits.join(small(items.select("item_id", "item")), "item_id").groupBy(*DOC, "pos").agg(F.collect_set("item").alias("items"))
+    found = found.groupBy(*DOC).agg(F.count(F.lit(1)).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    lengths = postings.where(F.col("term") == _LENGTH).select(*DOC, F.col("pos").cast("long").alias("n_words"))
+    out = lengths.join(found, DOC, "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
 
