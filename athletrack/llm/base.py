@@ -72,8 +72,8 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, l
     return sorted(rows.collect(), key=lambda r: r["doc_id"])
 
 
-def only(docs: DataFrame, ids: DataFrame, limit: int = 500_000) -> DataFrame:
-    """Rows of ``docs`` whose doc_id (null included) is in ``ids``."""
-    ids = written(ids.select(F.col("doc_id").alias("_only_doc_id")).distinct(), "ids")
+def without(docs: DataFrame, ids: DataFrame, limit: int = 500_000) -> DataFrame:
+    """Rows of ``docs`` whose doc_id (null included) is not in ``ids``: texts are shuffled only where more than ``limit`` ids go."""
+    ids = written(ids.select(F.col("doc_id").alias("_gone_doc_id")).distinct(), "ids")
     ids = F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_only_doc_id")), "left_semi")
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone_doc_id")), "left_anti")

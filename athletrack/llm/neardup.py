@@ -167,11 +167,21 @@ def _linked_buckets(multi: DataFrame, texts: DataFrame, reps: DataFrame, known:
     return rows.groupBy("h", "lo", "hi").applyInPandas(lambda pdf: _across(pdf, shape), f"u {kind}, v {kind}")
 
 
+def _same_ids(usable: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """(u, v) between a doc_id of several texts and the classes of all of them; None if each has one text."""
+    several = written(usable.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("doc_id"), "near-repeated")
+    n = several.count()
+    if not n:
+        return None
+    rows = usable.select("doc_id", "key").join(F.broadcast(several) if n <= BROADCAST_IDS else several, "doc_id").distinct()
+    return rows.join(reps.select("key", "rep"), "key").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, shape: Shape | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row.
 
     Empty and null texts have no shingles and no links: a component of their own, kept. Rows that repeat a doc_id are
-    taken as one document's, which is linked by each of its texts; each gives a row. A null doc_id links nothing, has a null component and is kept.
+    taken as one document's, which is linked by each of its texts and has one component; each gives a row. A null doc_id links nothing, has a null component and is kept.
     Other columns are not read.
     """
     shape = shape or Shape()
@@ -194,7 +204,9 @@ def near_duplicates(docs: DataFrame, shape: Shape | None = None) -> DataFrame:
 
     pairs = multi.where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
     pairs = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v").join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u")
-    first = written(_verified(pairs, shape), "near-links")
+    first = _verified(pairs, shape)
+    same = _same_ids(usable, reps)
+    first = written(first if same is None else first.unionByName(same), "near-links")
     known = written(components(first), "near-components")
     more = written(_linked_buckets(multi, texts, reps, known, shape), "near-links")
     known = components(first.unionByName(more)) if not more.isEmpty() else known

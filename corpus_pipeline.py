@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from athletrack.llm import neardup, phrases, pieces, pii, quality
-from athletrack.llm.base import only, read, written
+from athletrack.llm.base import read, without, written
 from athletrack.llm.registry import tokenizer_path
 
 
@@ -28,7 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null and empty texts and rows with a null doc_id are in no group and stay. Rows that repeat a doc_id are one
     document: they stay or go together.
     """
-    return only(docs, neardup.near_duplicates(docs).where("kept"))
+    return without(docs, neardup.near_duplicates(docs).where("not kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts and null ids match nothing and stay; rows that repeat a doc_id go together if one of them has a
     passage; null and empty items have none.
     """
-    return only(docs, phrases.contamination(docs, read(spark, sf_dir, "benchmark")).where("not contaminated"))
+    return without(docs, phrases.contamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import corpus_pipeline
 from athletrack.llm import bwt, neardup, phrases, pii, quality, registry, repeats
 from athletrack.llm.anchors import sliding_least
-from athletrack.llm.base import read
+from athletrack.llm.base import read, without
 from athletrack.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -91,6 +91,20 @@ def test_near_duplicates_of_each_text_of_an_id(spark):
     assert got == {(1, 1, True), (2, 1, False), (3, 3, True), (4, 3, False)}
 
 
+def test_one_component_for_all_texts_of_an_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(120)), " ".join(f"b{k}" for k in range(120))
+    df = table(spark, [(0, b), (1, a), (1, b), (2, a + " more"), (3, None), (3, "c c c"), (3, "d d d"), (4, "d d d")])
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, neardup.Shape(3, 85)).collect()}
+    assert got == {(0, 0, True), (1, 0, False), (2, 0, False), (3, 3, True), (4, 3, False)}
+
+
+def test_rows_without_some_ids(spark):
+    df = table(spark, [(1, "a"), (2, "b"), (2, "c"), (None, "d"), (3, None)])
+    for limit in (500_000, 0):  # broadcast, and the join beyond the bound
+        assert sorted(r["text"] or "" for r in without(df, df.where("doc_id = 2"), limit).collect()) == ["", "a", "d"]
+        assert sorted(r["text"] or "" for r in without(df, df.where("doc_id is null"), limit).collect()) == ["", "a", "b", "c"]
+
+
 def test_links_inside_a_bucket():
     """The second round: members that their hub doesn't reach, in one block and between two."""
     shape = neardup.Shape(1, 50)
@@ -171,6 +185,20 @@ def test_contamination(spark):
     assert got == brute_contamination(docs, items)
 
 
+def test_contamination_of_each_text_of_an_id(spark):
+    """Places in two texts of one id don't meet."""
+    rows = [(1, "z0 z1 z2 z3 z4 z5 x x x x"), (1, "y y y y y y z6 z7 z8 z9"), (2, "z0 z1 z2 z3 z4 z5 z6 z7 z8 z9 y"), (2, "a b"), (2, "a b")]
+    items = spark.createDataFrame([(7, " ".join(f"z{k}" for k in range(10)))], "item_id long, text string")
+    got = sorted(tuple(r) for r in phrases.contamination(table(spark, rows), items).select("doc_id", "n_words", "n_hit", "contaminated").collect())
+    assert got == [(1, 10, 0, False), (1, 10, 0, False), (2, 2, 0, False), (2, 2, 0, False), (2, 11, 10, True)]
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    rows = [(k % 7, text(rng.randrange(30))) for k in range(60)]
+    items = [(k, text(rng.choice((2, 3, 10, 12)))) for k in range(8)]
+    got = Counter(tuple(r) for r in phrases.contamination(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "n_words", "n_hit", "contaminated").collect())
+    assert got == Counter((i, n, hit, bad) for i, t in rows for n, hit, _, bad in brute_contamination([(i, t)], items).values())
+
+
 def test_contamination_odd_tables(spark):
     docs = table(spark, [(1, "a b"), (1, "a b"), (None, "a b"), (2, None)])
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
