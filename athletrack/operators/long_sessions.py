@@ -11,6 +11,7 @@ piece is right from the start, so each round settles one piece more at least, an
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 import pandas as pd
@@ -49,12 +50,13 @@ def _tracker(config: TrackConfig, text: str) -> Tracker:
     return Tracker(config, (crop and tuple(crop), pending, 0 if frame is None else frame, 0.0 if at is None else at, waiting, False))
 
 
-def _guess(config: TrackConfig, frames: list[tuple]) -> Tracker:
-    """In the middle of a calm session: the piece's first box, last detected where an undisturbed schedule would have."""
+def _guess(config: TrackConfig, frames: list[tuple], began: float) -> Tracker:
+    """In the middle of a calm session that ``began`` then: the piece's first box, last detected where an undisturbed schedule would have."""
     found = next((found for _, _, found, _ in frames if found is not None), None)
     first, times = frames[0][:2]
-    every = config.detector_interval or 1
-    return Tracker(config, (found, None, (first - 1) // every * every, times[0], None, False))
+    every, seconds = config.detector_interval or 1, config.detector_interval_seconds or 1.0
+    last_at = began + max(math.ceil((times[0] - began) / seconds) - 1, 0) * seconds
+    return Tracker(config, (found, None, (first - 1) // every * every, last_at, None, False))
 
 
 def _together(frames: list[tuple], runs: list[tuple[int, Tracker, int | None]]) -> tuple[list[tuple], dict[int, tuple[int, int]]]:
@@ -106,7 +108,7 @@ def _folds(config: TrackConfig, rows: dict[str, list]) -> list[tuple]:
     elif frames:
         known = [add(KNOWS_NOTHING, Tracker(config), [])]
         if rows["first"][-1] is False:
-            add(GUESSED, _guess(config, frames), known)
+            add(GUESSED, _guess(config, frames, rows["began"][-1]), known)
     return out
 
 
@@ -152,7 +154,7 @@ def track_long_sessions(frames: DataFrame, detections: DataFrame, poses: DataFra
     config = config or TrackConfig()
     rows = fold_rows(frames, detections, poses, config, sessions).withColumn("piece", F.floor(F.col("frame_index") / piece))
     rows = stored(rows, "long-rows")
-    firsts = stored(rows.where("loop_started_at is not null").groupBy("session_id").agg(F.min("piece").alias("first_piece")), "long-firsts")
+    firsts = stored(rows.where("loop_started_at is not null").groupBy("session_id").agg(F.min("piece").alias("first_piece"), F.min("loop_started_at").alias("began")), "long-firsts")
     schema = FLAT + ", " + RUNS
     fold = lambda held: _folds(config, held)
 
@@ -160,7 +162,7 @@ def track_long_sessions(frames: DataFrame, detections: DataFrame, poses: DataFra
         return stored(folded(of, ["frame_index"], fold, schema, GROUP), "long-folds")
 
     none = F.lit(None)
-    whole = rows.join(_few(firsts), "session_id").select(*FOLDED, "piece", (F.col("piece") <= F.col("first_piece")).alias("first"), none.cast("string").alias("asked"))
+    whole = rows.join(_few(firsts), "session_id").select(*FOLDED, "piece", (F.col("piece") <= F.col("first_piece")).alias("first"), "began", none.cast("string").alias("asked"))
     folds = made(whole)
     number = HANDED
     while True:
@@ -175,7 +177,7 @@ def track_long_sessions(frames: DataFrame, detections: DataFrame, poses: DataFra
         if todo.isEmpty():
             break
         again = rows.join(_few(todo.select(*GROUP)), list(GROUP), "left_semi")
-        folds = folds.unionByName(made(again.unionByName(todo, allowMissingColumns=True).withColumn("first", none.cast("boolean")).select(*FOLDED, "piece", "first", "asked")))
+        folds = folds.unionByName(made(again.unionByName(todo, allowMissingColumns=True).withColumn("first", none.cast("boolean")).withColumn("began", none.cast("double")).select(*FOLDED, "piece", "first", "began", "asked")))
         number += 1
     runs = stored(folds.where("beginning is not null").select("session_id", *(c.split()[0] for c in RUNS.split(", "))), "long-runs")
     covers = runs.groupBy(*GROUP).applyInPandas(_covers, "session_id bigint, piece bigint, run bigint, lo bigint, hi bigint")

@@ -334,7 +334,9 @@ def track_sessions(frames: DataFrame, detections: DataFrame, poses: DataFrame, c
 def detection_schedule(df: DataFrame, interval: int | None = 30, seconds: float | None = None) -> DataFrame:
     """Adds ``detection_reason`` to inferred frames that have (session_id, frame_index, checked_at, has_crop, pending, accepts).
 
-    A missing crop comes first, then the pending reason, then the schedule, whose clocks restart at each accepted run.
+    A missing crop comes first (a null counts as missing), then the pending reason, then the schedule, whose clocks
+    restart at each accepted run. A frame without the time or index that the schedule goes by is never due by it and
+    leaves its clock.
     """
     if (interval is None) == (seconds is None):
         raise ValueError("exactly one of interval and seconds is needed")
@@ -344,10 +346,11 @@ def detection_schedule(df: DataFrame, interval: int | None = 30, seconds: float
         last_frame, last_at, out = -(interval or 0), -math.inf, []
         for row in zip(*(rows[n] for n in names)):
             _, frame, at, has_crop, pending, accepts = row
-            due = at - last_at >= seconds if seconds is not None else frame - last_frame >= interval
+            timed = seconds is not None
+            due = (at is not None and at - last_at >= seconds) if timed else (frame is not None and frame - last_frame >= interval)
             reason = "missing_crop" if not has_crop else pending if pending is not None else "scheduled_interval" if due else None
             if reason is not None and accepts:
-                last_frame, last_at = frame, at
+                last_frame, last_at = last_frame if frame is None else frame, last_at if at is None else at
             out.append((*row, reason))
         return out
 
@@ -358,7 +361,9 @@ def single_flight(requests: DataFrame, frames: DataFrame) -> DataFrame:
     """(session_id, request_id, requested_at, inference_seconds, accepted, consumed_at) for every request.
 
     One request at a time: the next is admitted once the result of the one before has been taken, on the first
-    frame that starts when it is there. Requests made in between are refused, not queued.
+    frame that starts when it is there. Requests made in between are refused, not queued. A request without a duration
+    never gets a result: it is accepted, stays outstanding, and all later ones are refused. One without a time is
+    refused, and a frame without one takes nothing.
     """
     empty = F.lit(None)
     both = requests.select("session_id", "request_id", F.col("requested_at").alias("at"), "inference_seconds", F.lit(1).alias("kind")).unionByName(
@@ -368,17 +373,20 @@ def single_flight(requests: DataFrame, frames: DataFrame) -> DataFrame:
     def fold(rows: dict[str, list]) -> list[tuple]:
         ask = np.array(rows["kind"], bool)
         at = np.array(rows["at"], float)
-        polls, asked = at[~ask], at[ask]
-        mine = [(i, s) for i, s, k in zip(rows["request_id"], rows["inference_seconds"], rows["kind"]) if k]
+        there = ~np.isnan(at)
+        polls, asked = at[~ask & there], at[ask & there]
+        mine = [(i, t, s) for i, t, s, k in zip(rows["request_id"], rows["at"], rows["inference_seconds"], rows["kind"]) if k]
+        timed = np.flatnonzero(there[ask]).tolist()  # places in mine of the requests that have a time
         took: dict[int, float | None] = {}
         k = 0
         while k < len(asked):  # from one accepted request straight to the next
-            p = np.searchsorted(polls, asked[k] + mine[k][1])
-            took[k] = float(polls[p]) if p < len(polls) else None
-            if took[k] is None:
+            spent = mine[timed[k]][2]
+            p = len(polls) if spent is None or math.isnan(spent) else np.searchsorted(polls, asked[k] + spent)
+            took[timed[k]] = got = float(polls[p]) if p < len(polls) else None
+            if got is None:
                 break
-            k = max(k + 1, int(np.searchsorted(asked, took[k])))
-        return [(rows["session_id"][0], i, t, s, j in took, took.get(j)) for j, ((i, s), t) in enumerate(zip(mine, asked.tolist()))]
+            k = max(k + 1, int(np.searchsorted(asked, got)))
+        return [(rows["session_id"][0], *row, j in took, took.get(j)) for j, row in enumerate(mine)]
 
     return folded(both, ["at", "kind", "request_id"], fold, "session_id bigint, request_id bigint, requested_at double, inference_seconds double, accepted boolean, consumed_at double")
 
@@ -395,7 +403,8 @@ def status_ticks(frame_log: DataFrame, sessions: DataFrame, interval: float = 2.
     The clock restarts at the frame that ticks, so ticks drift; ``sessions`` may have its own ``status_interval``. Poses
     are counted since the last tick, ``processed_fps`` since the start; captured, skipped and drop_pct are running totals;
     ages are percentiles of the last ``ages`` frames and ``pose_mean`` the mean of the last ``poses`` pose times,
-    the frame itself included; ``lag`` is the frame's own. Figures whose columns ``frame_log`` lacks are null.
+    the frame itself included; ``lag`` is the frame's own. Figures whose columns ``frame_log`` lacks are null. A frame
+    without ``completed_at`` is counted and never ticks; a session without ``started_at`` has no clock and no ticks.
     """
     if interval <= 0:
         raise ValueError("interval must be positive")
@@ -407,7 +416,10 @@ def status_ticks(frame_log: DataFrame, sessions: DataFrame, interval: float = 2.
     )
 
     def fold(rows: dict[str, list]) -> list[tuple]:
+        if rows["started_at"][0] is None:
+            return []
         at = np.array(rows["completed_at"], float)
+        at[np.isnan(at)] = -math.inf
         reached, posed = np.maximum.accumulate(at), np.cumsum(np.array(rows["posed"], bool))
         age, dropped = np.array(rows["frame_age"], float), np.cumsum(rows["dropped"])
         spent = np.array(rows["pose_seconds"], float)

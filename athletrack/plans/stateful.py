@@ -8,13 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from athletrack.operators import metrics, tracking
+from athletrack.operators import long_sessions, metrics, tracking
 from athletrack.plans import fixtures as fx
 from athletrack.plans.queries import KEY, KP, SQL, WITH_LOG, WITH_REQ, LOG, query
 from athletrack.schemas import TrackConfig
 from athletrack.sources import io
 from athletrack.sources.shared import new_folder
-from athletrack.streaming import streams
+from athletrack.streaming import streams, waiting
 
 FRAME_INDEX = "session_id bigint, frame_index bigint, sequence bigint, captured_at double, captured_ts timestamp, frame_age double, frame_stage string, has_player boolean, latest_sequence bigint"
 
@@ -126,6 +126,33 @@ def track_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _crops(_drained(streams.track_stream(spark.readStream.schema(rows.schema).parquet(path), config, idle=None), "tracks"))
 
 
+@query()
+def track_long_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each session in pieces of 500 frames; the rows are those of track_sessions."""
+    config = TrackConfig(infer_every=2, async_detector=True, crop_margin=0.35)
+    return _crops(long_sessions.track_long_sessions(*tracked_inputs(spark, sf_dir), config, piece=500).tracks)
+
+
+@query()
+def track_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames, boxes and poses dealt to micro-batches up to 40 seconds away from their time; the rows are those of track_sessions."""
+    config = TrackConfig(infer_every=2, async_detector=True, crop_margin=0.35)
+    frames, detections, poses = tracked_inputs(spark, sf_dir)
+    path, kept = new_folder(spark, "fold-rows"), new_folder(spark, "unordered")
+    times = F.timestamp_millis(F.floor(F.col("frame_index") * F.lit(1000) / 30)).alias("event_ts")
+    rows = tracking.fold_rows(frames, detections, poses, config).select("*", times)
+    dealt = rows.withColumn("part", F.floor(F.unix_seconds("event_ts") / 20) + F.pmod(F.xxhash64("frame_index", "rank", "person"), F.lit(2)))
+    dealt.write.partitionBy("part").parquet(kept)
+    held = spark.read.schema(dealt.schema).parquet(kept)
+    last = held.agg(F.max("part"), (F.max("event_ts") + F.expr("interval 10 minutes")).alias("t")).first()
+    for k in range(last[0] + 1 if last[0] is not None else 0):  # one after the other, as they would arrive
+        held.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
+    end = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != "event_ts"), F.lit(last[1]).cast("timestamp").alias("event_ts"))
+    end.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _crops(_drained(waiting.track_unordered(stream, config, delay="60 seconds", idle=None), "unordered-tracks"))
+
+
 SCHEDULED = "case when not has_crop then 'missing_crop' when pending is not null then pending when {frame} - {last} >= 5 then 'scheduled_interval' end"
 
 
@@ -183,8 +210,12 @@ MS = "cast(floor(captured_at * 1000) as bigint)"
 @query(f"""{WITH_LOG} select session_id, min({MS}) as started, max({MS}) + 30000 as ended, {MEASURES},
  greatest(0, max(latest_sequence) + 1 - count(*)) as skipped, round(100.0::double * greatest(0, max(latest_sequence) + 1 - count(*)) / (max(latest_sequence) + 1), 9) as drop_pct from g group by session_id""")
 def stream_session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.stream_session_summary(io.read_frame_stream(spark, _stored(spark, sf_dir), FRAME_INDEX), "30 seconds")
-    out = _drained(out, "summary", "complete")
+    path = _stored(spark, sf_dir)
+    rows = spark.read.schema(FRAME_INDEX).parquet(path)
+    # what closes the sessions is a later time: a row of no session, two minutes after all others
+    rows.agg((F.max("captured_ts") + F.expr("interval 2 minutes")).alias("captured_ts")).write.mode("append").parquet(path)
+    out = streams.stream_session_summary(io.read_frame_stream(spark, path, FRAME_INDEX), "30 seconds")
+    out = _drained(out, "summary")
     return out.select("session_id", F.unix_millis("started").alias("started"), F.unix_millis("ended").alias("ended"), "processed", "captured", "skipped", F.round("drop_pct", 9).alias("drop_pct"), "inferred", "refreshes", "poses", "max_age", "max_lag")
 
 

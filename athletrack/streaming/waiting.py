@@ -67,7 +67,7 @@ class WaitingTracker(StatefulProcessor):
                 at, held = max(then, at), json.loads(text) + held
             self.frames.updateValue((frame,), (at, json.dumps(held)))
         if due:
-            self._wake(min(at for at, _ in fresh.values()), max(due))
+            self._wake(min(at for at, _ in fresh.values()) + 1, max(due))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
@@ -77,7 +77,7 @@ class WaitingTracker(StatefulProcessor):
         waiting = sorted((k[0], v[0], v[1]) for k, v in self.frames.iterator())
         ready = []
         for frame, due, text in waiting:  # in order of the frames: one whose time is not there yet holds the later ones
-            if due > now:
+            if due >= now:  # a watermark that only reached it may still be the one before all rows, 0
                 break
             ready.append((frame, text))
         if not waiting and self.idle is not None and newest + self.idle <= now:
@@ -89,7 +89,7 @@ class WaitingTracker(StatefulProcessor):
         rest = waiting[len(ready) :]
         self.clock.update((-1, newest))
         if rest:
-            self._wake(max(rest[0][1], now + 1), newest)
+            self._wake(max(rest[0][1], now) + 1, newest)
         elif self.idle is not None:
             self._wake(max(newest + self.idle, now + 1), newest)
 
@@ -144,7 +144,7 @@ def track_unordered(rows: DataFrame, config: TrackConfig | None = None, event_ti
     boxes and poses that are there by then; frames go in order of frame_index, and one whose time has not come holds the
     later ones of its session. What comes after its frame has been tracked, or after a later one, gives a row with the
     stage late, late_box or late_pose; boxes and poses whose frame never came give one with no_frame. Rows without a
-    frame_index only move the watermark: a feed that ends sends one of a later time. A session is forgotten
+    frame_index only move the watermark: a feed that ends sends one of a later time. Times before 1970 are always past. A session is forgotten
     ``idle`` milliseconds of event time after its newest frame; None keeps all.
     """
     config = config or TrackConfig()

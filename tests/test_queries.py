@@ -42,6 +42,11 @@ def test_batch_and_stream_tracks_agree(spark, sf_dir):
     assert sorted(map(str, batch.collect())) == sorted(map(str, stream.collect()))
 
 
+@pytest.mark.parametrize("name", ["track_long_sessions", "track_unordered"])
+def test_other_forms_of_the_fold_agree(spark, sf_dir, name):
+    assert sorted(map(str, QUERIES["track_sessions"](spark, sf_dir).collect())) == sorted(map(str, QUERIES[name](spark, sf_dir).collect()))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
