@@ -38,12 +38,15 @@ PER_PART = 40  # rows of a sample for each partition, to cut the range of ids
 _TERM = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FIRST = np.cumsum([0, *(min(1 << level, SUBSETS) for level in range(LEVELS + 1))])
+_LEVEL = np.arange(LEVELS + 1, dtype=np.uint64)[:, None]
+_LEVEL_MARK, _LEVEL_SHIFT = _LEVEL * _MIX, np.minimum(np.uint64(64) - _LEVEL, np.uint64(63))
 
 
 def terms(text: str) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the terms: lower-cased runs of letters and digits."""
     found = set(_TERM.findall(text.lower()))
-    return np.sort(np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in found), np.uint64, len(found)))
+    digests = b"".join([xxhash.xxh3_64_digest(t.encode("utf-8", "surrogatepass")) for t in found])
+    return np.sort(np.frombuffer(digests, ">u8").astype(np.uint64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -104,19 +107,15 @@ def fingerprint(text: str, bitmap: np.ndarray) -> str:
     cells = _cells(found)
     within = (bitmap[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
     found = found[within] if within.any() else found
-    level = np.arange(LEVELS + 1, dtype=np.uint64)[:, None]
-    place = _mixed(found ^ (level * _MIX)) >> np.minimum(np.uint64(64) - level, np.uint64(63))
+    place = _mixed(found ^ _LEVEL_MARK) >> _LEVEL_SHIFT
     place[0] = 0  # the whole lexicon
     at, term = np.nonzero(place < SUBSETS)
     slot = _FIRST[at] + place[at, term].astype(np.int64)
-    order = np.argsort(slot, kind="stable")
-    slot, value = slot[order], _mixed(found)[term[order]]
-    starts = np.flatnonzero(np.diff(slot, prepend=-1))
-    hashes = _mixed(np.add.reduceat(value, starts)) >> np.uint64(48)  # of the distinct terms, in whatever order
-    out = [NONE] * int(_FIRST[-1])
-    for k, h in zip(slot[starts].tolist(), hashes.tolist()):
-        out[k] = f"{h:04x}"
-    return ",".join(out)
+    sums = np.zeros(_FIRST[-1], np.uint64)
+    np.add.at(sums, slot, _mixed(found)[term])  # of the distinct terms, in whatever order
+    filled = np.bincount(slot, minlength=_FIRST[-1]) > 0
+    hashes = _mixed(sums) >> np.uint64(48)
+    return ",".join([f"{h:04x}" if some else NONE for h, some in zip(hashes.tolist(), filled.tolist())])
 
 
 def likeness(one: str, other: str) -> float:
