@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from athletrack.operators.metrics import keys
 from athletrack.operators.timeline import lag
@@ -47,11 +54,72 @@ def rolling_fps(frame_log: DataFrame, model_k: int = 30, output_k: int = 60, inc
     return out.withColumn("output_fps", fps("loop_seconds", _last(output_k, include_current)))
 
 
+class _Recent:
+    """The last k values of a session and, beside them, the same in order; nulls take a place and no rank, NaN come last."""
+
+    def __init__(self, k: int):
+        self.last: deque[float | None] = deque()
+        self.k, self.sorted, self.nans = k, [], 0
+
+    def add(self, value: float | None) -> None:
+        if len(self.last) == self.k:
+            gone = self.last.popleft()
+            if gone is not None:
+                if gone != gone:
+                    self.nans -= 1
+                else:
+                    del self.sorted[bisect_left(self.sorted, gone)]
+        self.last.append(value)
+        if value is not None:
+            if value != value:
+                self.nans += 1
+            else:
+                insort(self.sorted, value)
+
+    def percentile(self, p: float) -> float | None:
+        n = len(self.sorted) + self.nans
+        if not n:
+            return None
+        place = (n - 1) * p
+        low = int(place)
+        if place == low:
+            return self._at(low)
+        return (low + 1 - place) * self._at(low) + (place - low) * self._at(low + 1)
+
+    def _at(self, i: int) -> float:
+        return self.sorted[i] if i < len(self.sorted) else math.nan
+
+
 def rolling_age_percentiles(frame_log: DataFrame, k: int = 120, include_current: bool = True) -> DataFrame:
-    """Adds the median and the 95th percentile of the last ages, and the latter of the last waits."""
-    w = _last(k, include_current)
-    p = lambda c, q: F.percentile(c, F.lit(q)).over(w)
-    return frame_log.withColumns({"age_p50": p("frame_age", 0.5), "age_p95": p("frame_age", 0.95), "wait_p95": p("inference_wait", 0.95)})
+    """Adds the median and the 95th percentile of the last ages, and the latter of the last waits.
+
+    Rows pass through their session's last k values, which stay sorted as one comes and one goes; other columns pass as
+    they are. A task holds 2 k values at a time, so a session may have any length.
+    """
+    if k < 1:
+        raise ValueError("a window has at least one row")
+    names = ("age_p50", "age_p95", "wait_p95")
+    rows = frame_log.drop(*names)
+    schema = StructType([*rows.schema.fields, *(StructField(n, DoubleType()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ages, waits = object(), _Recent(k), _Recent(k)
+        for batch in batches:
+            out = []
+            for session, age, wait in zip(*(batch.column(c).to_pylist() for c in ("session_id", "frame_age", "inference_wait"))):
+                if session != held:
+                    held, ages, waits = session, _Recent(k), _Recent(k)
+                if include_current:
+                    ages.add(age)
+                    waits.add(wait)
+                out.append((ages.percentile(0.5), ages.percentile(0.95), waits.percentile(0.95)))
+                if not include_current:
+                    ages.add(age)
+                    waits.add(wait)
+            made = [pa.array(c, pa.float64()) for c in (zip(*out) if out else ((), (), ()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
+
+    return rows.repartition("session_id").sortWithinPartitions("session_id", "frame_index").mapInArrow(run, schema)
 
 
 def rolling_max_lag(frame_log: DataFrame, k: int = 120, include_current: bool = True) -> DataFrame:

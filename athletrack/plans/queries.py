@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from athletrack.functions import geometry as g
-from athletrack.operators import geometry, metrics, select, timeline, windows
+from athletrack.operators import geometry, metrics, select, sketches, timeline, windows
 from athletrack.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -471,6 +471,25 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.latency_percentiles(fx.frame_log(spark, sf_dir), ["frame_stage"], "frame_age"), "p50", "p95")
 
 
+@query(f"{WITH_LOG} select frame_stage, count(frame_age) as n, max(frame_age) as max, true as within from g group by frame_stage")
+def fleet_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by session, stage and hour, merged by stage; ``within``: the ranks of p50 and p95, counted over all samples, are off by 1 % at most."""
+    log = fx.frame_log(spark, sf_dir)
+    kept = sketches.sketched(log, ["session_id", "frame_stage"], "frame_age", "captured_at", k=800)
+    found = sketches.percentiles(kept, ["frame_stage"], k=800)
+    return found.join(sketches.measured_error(log, ["frame_stage"], "frame_age", found), "frame_stage").select("frame_stage", "n", "max", (F.col("error") <= 0.01).alias("within"))
+
+
+@query(f"{WITH_LOG} select session_id, count(frame_age) as n, count(case when frame_age <= cast(0.05 as double) then 1 end) as fresh, true as within from g group by session_id")
+def fleet_share_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of fresh frames by session from sketches by hour; ``within``: it is off by 1 % at most from what is counted."""
+    log = fx.frame_log(spark, sf_dir)
+    kept = sketches.sketched(log, ["session_id", "frame_stage"], "frame_age", "captured_at", k=800)
+    counted = log.groupBy("session_id").agg(F.count_if(F.col("frame_age") <= 0.05).alias("fresh"))
+    met = sketches.share_within(kept, ["session_id"], 0.05, k=800).join(counted, "session_id")
+    return met.select("session_id", "n", "fresh", (F.abs(F.col("share") - F.col("fresh") / F.col("n")) <= 0.01).alias("within"))
+
+
 # --- windows
 
 
