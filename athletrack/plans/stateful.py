@@ -14,7 +14,7 @@ from athletrack.plans.queries import KEY, KP, SQL, WITH_LOG, WITH_REQ, LOG, quer
 from athletrack.schemas import TrackConfig
 from athletrack.sources import io
 from athletrack.sources.shared import new_folder
-from athletrack.streaming import streams, waiting
+from athletrack.streaming import reports, streams, waiting
 
 FRAME_INDEX = "session_id bigint, frame_index bigint, sequence bigint, captured_at double, captured_ts timestamp, frame_age double, frame_stage string, has_player boolean, latest_sequence bigint"
 
@@ -223,3 +223,25 @@ def stream_session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _drained(streams.stream_status(io.read_frame_stream(spark, _stored(spark, sf_dir), FRAME_INDEX), "2 seconds"), "status", "complete")
     return out.select("session_id", F.unix_millis("tick").alias("tick"), "processed", "captured", "inferred", "refreshes", "poses", "max_age", "max_lag")
+
+
+REPORTED = "session_id bigint, throughput struct<captured:bigint,processed:bigint,skipped:bigint,drop_pct:double>, freshness map<string,struct<processed:bigint,age_p95:double,max_lag:bigint>>, refreshes struct<refreshes:bigint,per_second:double>"
+
+
+@query(f"""select t.session_id, t.captured, t.processed, t.skipped, t.drop_pct, f.age_p95, f.max_lag, d.refreshes, d.per_second from ({SQL["session_throughput"]}) t
+ join ({SQL["session_freshness"]}) f on f.session_id = t.session_id and f.scope = 'all' join ({SQL["detector_rate"]}) d on d.session_id = t.session_id""")
+def write_reports_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of the sessions that end on a stream of frames; a second start without the checkpoint adds none."""
+    index, path = _stored(spark, sf_dir), new_folder(spark, "live-reports")
+    rows = spark.read.schema(FRAME_INDEX).parquet(index)
+    rows.agg((F.max("captured_ts") + F.expr("interval 2 minutes")).alias("captured_ts")).write.mode("append").parquet(index)
+    assemble = reports.reports_from(fx.taken_log(spark, sf_dir), fx.sessions(spark, sf_dir), fx.requests(spark, sf_dir))
+    for _ in range(2):
+        closed = streams.stream_session_summary(io.read_frame_stream(spark, index, FRAME_INDEX), "30 seconds")
+        run = reports.write_reports_stream(closed, assemble, path, new_folder(spark, "live-reports-checkpoint")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    out = reports.read_reports(spark, path, REPORTED)
+    return out.select(
+        "session_id", "throughput.captured", "throughput.processed", "throughput.skipped", F.round("throughput.drop_pct", 9).alias("drop_pct"),
+        F.round(F.col("freshness")["all"]["age_p95"], 9).alias("age_p95"), F.col("freshness")["all"]["max_lag"].alias("max_lag"), "refreshes.refreshes", F.round("refreshes.per_second", 9).alias("per_second"),
+    )
