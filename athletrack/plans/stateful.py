@@ -12,7 +12,7 @@ from athletrack.operators import long_sessions, metrics, tracking
 from athletrack.plans import fixtures as fx
 from athletrack.plans.queries import KEY, KP, SQL, WITH_LOG, WITH_REQ, LOG, query
 from athletrack.schemas import TrackConfig
-from athletrack.sources import io
+from athletrack.sources import feeds, io
 from athletrack.sources.shared import new_folder
 from athletrack.streaming import reports, streams, waiting
 
@@ -56,6 +56,28 @@ def read_frame_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(io.read_frame_stream(spark, _stored(spark, sf_dir), FRAME_INDEX).select(*KEY, "sequence", "captured_at"), "frames")
 
 
+@query(f"""{WITH_LOG} select session_id, frame_index, sequence, captured_at, false as malformed from g where event_id % 50 <> 7
+ union all select null, null, null, null, true from g where event_id % 50 = 7""")
+def read_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames as JSON lines of a log, every so often one that is cut, read as a stream and decoded."""
+    log, path = fx.frame_log(spark, sf_dir), new_folder(spark, "log")
+    lines = feeds.values(log.select(*KEY, "sequence", "captured_at", "event_id"))
+    cut = F.get_json_object("value", "$.event_id").cast("bigint") % 50 == 7
+    lines.select(F.when(cut, F.substring("value", 1, 20)).otherwise(F.col("value")).alias("value")).write.text(path)
+    rows = feeds.decoded(feeds.read_log_stream(spark, path, 1 << 20), "session_id bigint, frame_index bigint, sequence bigint, captured_at double")
+    return _drained(rows.select(*KEY, "sequence", "captured_at", F.col("malformed").isNotNull().alias("malformed")), "decoded")
+
+
+@query(f"""{WITH_LOG} select session_id, frame_index, sequence, cast(sequence as double) / 30 as captured_at, session_id || '/' || frame_index as content
+ from (select session_id, frame_index, cast(row_number() over (partition by session_id order by frame_index) - 1 as bigint) as sequence from g) t""")
+def read_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames as archives by session, read again by their index."""
+    path = new_folder(spark, "clips")
+    frames = fx.frame_log(spark, sf_dir).select(*KEY, F.encode(F.concat_ws("/", *KEY), "utf-8").alias("content"))
+    feeds.write_clips(frames, path, 30.0)
+    return feeds.read_clips(spark, path).select(*KEY, "sequence", "captured_at", F.decode("content", "utf-8").alias("content"))
+
+
 def steady_model() -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Stands for a model: its score follows from the frame's numbers."""
 
