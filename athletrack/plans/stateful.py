@@ -14,7 +14,7 @@ from athletrack.plans.queries import KEY, KP, SQL, WITH_LOG, WITH_REQ, LOG, quer
 from athletrack.schemas import TrackConfig
 from athletrack.sources import feeds, io
 from athletrack.sources.shared import new_folder
-from athletrack.streaming import reports, streams, waiting
+from athletrack.streaming import reports, results, streams, waiting
 
 FRAME_INDEX = "session_id bigint, frame_index bigint, sequence bigint, captured_at double, captured_ts timestamp, frame_age double, frame_stage string, has_player boolean, latest_sequence bigint"
 
@@ -267,3 +267,17 @@ def write_reports_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         "session_id", "throughput.captured", "throughput.processed", "throughput.skipped", F.round("throughput.drop_pct", 9).alias("drop_pct"),
         F.round(F.col("freshness")["all"]["age_p95"], 9).alias("age_p95"), F.col("freshness")["all"]["max_lag"].alias("max_lag"), "refreshes.refreshes", F.round("refreshes.per_second", 9).alias("per_second"),
     )
+
+
+@query(SQL["apply_detector_results"])
+def apply_results_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results and frames dealt at random to four micro-batches; a row a day later ends the feed."""
+    path = new_folder(spark, "result-rows")
+    rows = results.result_rows(fx.requests(spark, sf_dir), fx.frame_log(spark, sf_dir))
+    rows.repartition(4, F.pmod(F.xxhash64("session_id", "at", "kind"), F.lit(4))).write.parquet(path)
+    last = spark.read.schema(rows.schema).parquet(path).agg((F.max("event_ts") + F.expr("interval 1 day")).alias("t")).first()["t"]
+    end = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != "event_ts"), F.lit(last).cast("timestamp").alias("event_ts"))
+    end.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = _drained(results.apply_results_stream(stream, "1 hour"), "applied")
+    return out.select("session_id", "request_id", "completed_at", "applied_frame", "applied_sequence")
