@@ -92,6 +92,24 @@ def score_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.score_frames(fx.frame_log(spark, sf_dir).select(*KEY, "sequence"), steady_model, "session_id bigint, frame_index bigint, score double", infer_every=2)
 
 
+def crop_model() -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Stands for a model that takes crops of one size at a time."""
+
+    def model(batch: pd.DataFrame) -> pd.DataFrame:
+        width, height = batch["crop_width"].iloc[0], batch["crop_height"].iloc[0]
+        return pd.DataFrame({"session_id": batch["session_id"], "frame_index": batch["frame_index"], "score": (batch["frame_index"] * 7 + width * 3 + height) % 100 / 100})
+
+    return model
+
+
+@query(f"with kp as ({KP}) select session_id, frame_index, cast((frame_index * 7 + (cx2 - cx1) * 3 + cy2 - cy1) % 100 as double) / 100 as score, true as timed from kp where kp_index = 0")
+def score_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poses' crops, scored in batches of one size each, with the seconds of the calls."""
+    rows = io.crop_size(fx.poses(spark, sf_dir)).select(*KEY, "crop_width", "crop_height")
+    scored = io.score_frames(rows, crop_model, "session_id bigint, frame_index bigint, score double", batch_size=32, same=["crop_width", "crop_height"], seconds="model_seconds")
+    return scored.select(*KEY, "score", (F.col("model_seconds") >= 0).alias("timed"))
+
+
 @query(f"with kp as ({KP}) select session_id, frame_index, cast(kp_index as int) as kp_index, x, y, score from kp")
 def write_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "poses")

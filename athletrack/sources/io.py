@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -43,21 +44,65 @@ def read_frame_stream(spark: SparkSession, path: str, schema: str = FRAMES, fmt:
     return reader.load(path) if path else reader.load()
 
 
-def score_frames(df: DataFrame, model_factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], out_schema: str, infer_every: int = 1) -> DataFrame:
+WAITING_SIZES = 64
+
+
+def crop_size(df: DataFrame, crop: str = "crop") -> DataFrame:
+    """Adds ``crop_width`` and ``crop_height``, null without a crop."""
+    return df.withColumns({"crop_width": F.col(f"{crop}.x2") - F.col(f"{crop}.x1"), "crop_height": F.col(f"{crop}.y2") - F.col(f"{crop}.y1")})
+
+
+def score_frames(
+    df: DataFrame, model_factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], out_schema: str, infer_every: int = 1,
+    batch_size: int | None = None, same: list[str] | None = None, seconds: str | None = None,
+) -> DataFrame:
     """Predictions for every ``infer_every``-th frame. The model is built once for each task and takes batches.
 
-    Its result has the columns of ``out_schema``. Frames are scored where they are read, without a shuffle.
+    Its result has the columns of ``out_schema``. Frames are scored where they are read, without a shuffle. With
+    ``batch_size`` a call gets so many rows, carried over from one Arrow batch to the next, and fewer only at the end of
+    a partition; with ``same`` (such as the columns of ``crop_size``) its rows are equal in these columns, nulls among
+    themselves. A task holds fewer than ``batch_size`` rows for each of at most 64 groups; beyond that the group that has waited longest is
+    scored as it is. ``seconds`` names a column, added to the result: the time of a call, dealt evenly to its rows.
     """
     if infer_every < 1:
         raise ValueError("infer_every must be at least 1")
+    if batch_size is not None and batch_size < 1:
+        raise ValueError("batch_size must be at least 1")
+    if same and batch_size is None:
+        raise ValueError("same needs a batch_size")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
-        for batch in batches:
-            model = model or model_factory()
-            yield model(batch)
 
-    return df.where(F.col("frame_index") % infer_every == 0).mapInPandas(run, out_schema)
+        def call(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal model
+            model = model or model_factory()
+            began = time.perf_counter()
+            out = model(rows.reset_index(drop=True))
+            return out if seconds is None else out.assign(**{seconds: (time.perf_counter() - began) / max(len(rows), 1)})
+
+        if batch_size is None:
+            yield from map(call, batches)
+            return
+        waiting: dict[tuple, list[pd.DataFrame]] = {}  # what has waited longest comes first
+        for batch in batches:
+            for key, part in batch.groupby(same, dropna=False, sort=False) if same else [((), batch)]:
+                held = [*waiting.pop(key := tuple(None if pd.isna(v) else v for v in key), []), part]
+                n = sum(map(len, held))
+                if n >= batch_size:
+                    rows, whole = pd.concat(held), n - n % batch_size
+                    for at in range(0, whole, batch_size):
+                        yield call(rows.iloc[at : at + batch_size])
+                    held = [rows.iloc[whole:]]
+                if n % batch_size:
+                    waiting[key] = held
+            while len(waiting) > WAITING_SIZES:
+                yield call(pd.concat(waiting.pop(next(iter(waiting)))))
+        for held in waiting.values():
+            yield call(pd.concat(held))
+
+    schema = out_schema if seconds is None else f"{out_schema}, {seconds} double"
+    return df.where(F.col("frame_index") % infer_every == 0).mapInPandas(run, schema)
 
 
 def bucketed(df: DataFrame) -> DataFrame:
