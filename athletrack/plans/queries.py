@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from athletrack.functions import geometry as g
-from athletrack.operators import geometry, metrics, select, sketches, timeline, windows
+from athletrack.operators import frequent, geometry, metrics, select, sketches, timeline, windows
 from athletrack.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,6 +156,15 @@ def top_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.top_counts(counts, ["session_id"], "reason", k=3)
 
 
+@query("""select lane, part, n, cast(place as int) as place from (select *, row_number() over (partition by lane order by n desc, part) as place from
+ (select l_orderkey % 7 as lane, case when l_linenumber > 2 then l_suppkey % 9 else l_partkey end as part, count(*) as n from lineitem group by 1, 2) t) u where place <= 5""")
+def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent values among many rare ones, in seven groups."""
+    part = F.when(F.col("l_linenumber") > 2, F.col("l_suppkey") % 9).otherwise(F.col("l_partkey")).alias("part")
+    rows = fx.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 7).alias("lane"), part)
+    return frequent.top_values(rows, ["lane"], "part", k=5, tracked=512)
+
+
 # --- keypoints and crops
 
 
