@@ -22,6 +22,7 @@ from pyspark.sql.types import StructType
 
 _TAIL = 1 << 16
 _ROWS = 10_000
+_BYTES = 16 << 20
 
 
 def decoded(feed: DataFrame, schema: str, value: str = "value") -> DataFrame:
@@ -167,23 +168,20 @@ def read_log_stream(spark: SparkSession, path: str, span_bytes: int = 64 << 20)
 # --- clips of frames
 
 CLIPS = "session_id bigint, clip string, first_sequence bigint, started_at double, fps double"
+FRAMES_OF_CLIPS = "session_id bigint, frame_index bigint, sequence bigint, captured_at double, decode_seconds double, content binary"
 _FRAME = re.compile(r"(\d+)\.\w+$")
 
 
 @dataclass
-class Clip(InputPartition):
-    session_id: int | None
-    clip: str
-    first_sequence: int
-    started_at: float | None
-    fps: float | None
+class Clips(InputPartition):
+    rows: list[tuple]  # of the index, as in CLIPS
 
 
 class ClipReader(DataSourceReader):
-    """A partition for each clip of the index; sessions that a filter leaves out are not planned."""
+    """The clips of the index, dealt evenly to ``tasks`` partitions at most; sessions that a filter leaves out are not planned."""
 
-    def __init__(self, path: str):
-        self.path, self.sessions = path, None
+    def __init__(self, path: str, tasks: int):
+        self.path, self.tasks, self.sessions = path, tasks, None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -193,28 +191,41 @@ class ClipReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Clip]:
+    def partitions(self) -> list[Clips]:
         files, root = _opened(self.path)
         keep = None if self.sessions is None else ds.field("session_id").isin([s for s in self.sessions if s is not None])
         names = [c.split()[0] for c in CLIPS.split(", ")]
-        rows = ds.dataset(f"{root}/index", filesystem=files, format="parquet").to_table(columns=names, filter=keep).to_pylist()
-        return [Clip(*(r[n] for n in names)) for r in rows if r["clip"]] or [Clip(None, "", 0, None, None)]
+        table = ds.dataset(f"{root}/index", filesystem=files, format="parquet").to_table(columns=names, filter=keep)
+        rows = [r for r in zip(*(c.to_pylist() for c in table.columns)) if r[1]]
+        n = min(self.tasks, len(rows))
+        return [Clips(rows[k * len(rows) // n : (k + 1) * len(rows) // n]) for k in range(n)] or [Clips([])]  # an index without clips
 
-    def read(self, partition: Clip) -> Iterator[tuple]:
-        if not partition.clip:  # an index without clips
-            return
+    def read(self, partition: Clips) -> Iterator[pa.RecordBatch]:
         files, root = _opened(self.path)
-        with files.open_input_stream(f"{root}/{partition.clip}") as f, tarfile.open(fileobj=f, mode="r|*") as tar:
-            began, n = time.perf_counter(), 0
-            for member in tar:
-                number = _FRAME.search(member.name)
-                if not member.isfile() or not number:
-                    continue
-                content = tar.extractfile(member).read()
-                seconds = time.perf_counter() - began
-                at = partition.started_at + n / partition.fps if partition.started_at is not None and partition.fps else None
-                yield partition.session_id, int(number[1]), (partition.first_sequence or 0) + n, at, seconds, content
-                began, n = time.perf_counter(), n + 1
+        held, size = [], 0
+        for session, clip, first, started_at, fps in partition.rows:
+            with files.open_input_stream(f"{root}/{clip}") as f, tarfile.open(fileobj=f, mode="r|*") as tar:
+                began, n = time.perf_counter(), 0
+                for member in tar:
+                    tar.members = []  # it would keep all that it has passed
+                    number = _FRAME.search(member.name)
+                    if not member.isfile() or not number:
+                        continue
+                    content = tar.extractfile(member).read()
+                    seconds = time.perf_counter() - began
+                    at = started_at + n / fps if started_at is not None and fps else None
+                    held.append((session, int(number[1]), (first or 0) + n, at, seconds, content))
+                    size += len(content)
+                    if len(held) == _ROWS or size >= _BYTES:
+                        yield self._batch(held)
+                        held, size = [], 0
+                    began, n = time.perf_counter(), n + 1
+        if held:
+            yield self._batch(held)
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [c.split()[0] for c in FRAMES_OF_CLIPS.split(", ")])
 
 
 class ClipFolder(DataSource):
@@ -225,14 +236,19 @@ class ClipFolder(DataSource):
         return "clip_folder"
 
     def schema(self) -> str:
-        return "session_id bigint, frame_index bigint, sequence bigint, captured_at double, decode_seconds double, content binary"
+        return FRAMES_OF_CLIPS
 
     def reader(self, schema: StructType) -> ClipReader:
-        return ClipReader(self.options["path"])
+        tasks = int(self.options.get("tasks", 200))
+        if tasks < 1:
+            raise ValueError("tasks must be at least 1")
+        return ClipReader(self.options["path"], tasks)
 
 
-def read_clips(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of all clips, each with its bytes and the seconds it took to read it; a task reads a clip as a stream, a frame at a time.
+def read_clips(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+    """Frames of all clips, each with its bytes and the seconds it took to read it; a task reads its clips one after the other as streams, a frame at a time.
+
+    Clips are dealt to ``tasks`` tasks at most (None: as many as a shuffle has partitions), so that many short clips cost no task each.
 
     ``sequence`` counts on from the clip's ``first_sequence`` (null: 0), captured_at from ``started_at`` by ``fps``, null where either is
     missing. A filter by session_id (``=`` or ``in``) reaches the index: clips of other sessions are never opened. Members that
@@ -241,7 +257,8 @@ def read_clips(spark: SparkSession, path: str) -> DataFrame:
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ClipFolder)
-    return spark.read.format("clip_folder").option("path", path).load()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) if tasks is None else tasks
+    return spark.read.format("clip_folder").option("path", path).option("tasks", str(tasks)).load()
 
 
 def write_clips(frames: DataFrame, path: str, fps: float) -> None:
@@ -270,6 +287,7 @@ def write_clips(frames: DataFrame, path: str, fps: float) -> None:
                 info = tarfile.TarInfo(f"{frame}.bin")
                 info.size = len(content)
                 tar.addfile(info, io.BytesIO(content))
+                tar.members = []  # it would keep all of them
         if tar is not None:
             tar.close()
             out.close()
@@ -277,7 +295,8 @@ def write_clips(frames: DataFrame, path: str, fps: float) -> None:
         columns = zip(*made) if made else [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in CLIPS.split(", ")])
 
-    dealt = rows.repartition("session_id").sortWithinPartitions("session_id", "frame_index")
+    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that small partitions are not put together: the work is in the archives
+    dealt = rows.repartition(n, "session_id").sortWithinPartitions("session_id", "frame_index")
     dealt.mapInArrow(put, CLIPS).write.mode("overwrite").parquet(f"{path}/index")
 
 

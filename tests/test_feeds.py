@@ -117,3 +117,14 @@ def test_an_empty_index_has_no_frames(spark, tmp_path):
     frames = spark.createDataFrame([], "session_id long, frame_index long, content binary")
     feeds.write_clips(frames, str(tmp_path), 10.0)
     assert feeds.read_clips(spark, str(tmp_path)).count() == 0
+
+
+def test_many_short_clips_share_their_tasks(spark, tmp_path):
+    frames = spark.range(300).selectExpr("id div 2 as session_id", "id % 2 as frame_index", "encode(cast(id as string), 'utf-8') as content")
+    feeds.write_clips(frames, str(tmp_path), 10.0)
+    for tasks, want in ((None, int(spark.conf.get("spark.sql.shuffle.partitions"))), (7, 7), (1000, 150)):
+        rows = feeds.read_clips(spark, str(tmp_path), tasks)
+        assert rows.rdd.getNumPartitions() == want
+        assert sorted((r["session_id"], r["sequence"], int(bytes(r["content"]))) for r in rows.collect()) == [(k // 2, k % 2, k) for k in range(300)]
+    with pytest.raises(Exception, match="at least 1"):
+        feeds.read_clips(spark, str(tmp_path), 0).count()
