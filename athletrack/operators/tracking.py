@@ -3,15 +3,17 @@
 What happens next depends on what was accepted before, so these are folds: one narrow row for each frame, one small
 loop for each session. Everything that needs keypoints or boxes is reduced to a few numbers by columns first, and
 reports join the keypoints back afterwards. Sessions are dealt to partitions and sorted once; a task folds its
-sessions one after the other as Arrow batches come in.
+sessions one after the other as Arrow batches come in. The tracker's fold holds a frame and the state of its session,
+however long it is.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -234,13 +236,18 @@ NOBODY = (None,) * 4
 
 
 def frames_of(rows: dict[str, list]) -> Iterator[tuple]:
-    """(frame, (time, width, height, seconds, error, session), found, people) of every frame of a session's ``fold_rows``, in their order.
+    """``frames_in`` of rows given as lists by column."""
+    return frames_in(zip(*(rows[c] for c in FOLDED)))
+
+
+def frames_in(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """(frame, (time, width, height, seconds, error, session), found, people) of every frame of a session's ``fold_rows`` (tuples of FOLDED), in their order.
 
     A frame's box is the one with the largest rank, then the smallest det_index; boxes and poses without a row of
     their frame are left out, and a repeated frame counts once, with its last times.
     """
     frame, times, best, people = None, None, None, []
-    for session, at, started, seconds, w, h, error, _, rank, index, found, person in [*zip(*(rows[c] for c in FOLDED)), (None,) * len(FOLDED)]:
+    for session, at, started, seconds, w, h, error, _, rank, index, found, person in chain(rows, [(None,) * len(FOLDED)]):
         if at != frame:
             if times is not None:
                 people.sort()
@@ -276,37 +283,48 @@ def folded(df: DataFrame, order: list[str], fold: Callable[[dict[str, list]], li
     """What ``fold`` makes of the rows of each session (or other group), given as lists by column in ``order``.
 
     One exchange and one sort; a task takes its sessions from the batches one by one, so small sessions cost no call
-    and no frame of their own. A session's numbers are in memory together.
+    and no frame of their own. A session's numbers are in memory together; ``flowing`` has a fold that needs only its state.
+    """
+
+    def whole(parts: Iterator[dict[str, list]]) -> list[tuple]:
+        held = next(parts)
+        for part in parts:
+            for n, c in part.items():
+                held[n] += c
+        return fold(held) if held[by[0]] else []
+
+    return flowing(df, order, whole, schema, by)
+
+
+def flowing(df: DataFrame, order: list[str], fold: Callable[[Iterator[dict[str, list]]], Iterable[tuple]], schema: str, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """``folded`` for a fold that takes the rows of a group part by part, as Arrow batches come in, and gives its own one by one.
+
+    A task holds a batch, the rows given since the last batch it made, and what the fold keeps.
     """
     names, fields = df.columns, StructType.fromDDL(schema).fields
     out_schema = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in fields])
+    places = [names.index(b) for b in by]
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) if rows else [()] * len(fields)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out_schema.types)], schema=out_schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out_schema.types)], schema=out_schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] | None = None
-        held_id, rows = None, []
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            ids = columns[names.index(by[0])] if len(by) == 1 else list(zip(*(columns[names.index(b)] for b in by)))
+            ids = list(zip(*(columns[k] for k in places)))
             cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
             for lo, hi in zip(cuts, cuts[1:]):
-                if held is not None and held_id != ids[lo]:
-                    rows += fold(held)
-                    held = None
-                if held is None:
-                    held_id = ids[lo]
-                    held = {n: c[lo:hi] for n, c in zip(names, columns)}
-                else:
-                    for n, c in zip(names, columns):
-                        held[n] += c[lo:hi]
-            if len(rows) >= 10_000:
-                yield made(rows)
-                rows = []
-        if held is not None and held[by[0]]:
-            rows += fold(held)
+                if hi > lo:
+                    yield ids[lo], {n: c[lo:hi] for n, c in zip(names, columns)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for _, group in groupby(parts(batches), key=lambda part: part[0]):
+            for row in fold(rows_of for _, rows_of in group):
+                rows.append(row)
+                if len(rows) >= 10_000:
+                    yield made(rows)
+                    rows = []
         if rows:
             yield made(rows)
 
@@ -317,18 +335,30 @@ def folded(df: DataFrame, order: list[str], fold: Callable[[dict[str, list]], li
 
 
 def track_sessions(frames: DataFrame, detections: DataFrame, poses: DataFrame, config: TrackConfig | None = None, sessions: DataFrame | None = None) -> DataFrame:
-    """Replay of every session; a session's frames are folded in one task, sessions are independent.
+    """Replay of every session; a session's frames are folded in one task, as they come in, and sessions are independent.
 
     ``sessions`` may give each its own configuration. The row of a frame whose detection failed has the stage failed
     and its error; no row of the session follows it.
     """
     config = config or TrackConfig()
 
-    def fold(rows: dict[str, list]) -> list[tuple]:
-        chosen = next((c for c in rows["config"] if c is not None), None)
-        return track_rows(rows, Tracker(config if chosen is None else _config(chosen)))
+    def fold(parts: Iterator[dict[str, list]]) -> Iterator[tuple]:
+        chosen = tracker = None
+
+        def rows() -> Iterator[tuple]:
+            nonlocal chosen
+            for part in parts:
+                if chosen is None:  # every row of a frame has it, so it is there before the first frame is whole
+                    chosen = next((c for c in part["config"] if c is not None), None)
+                yield from zip(*(part[c] for c in FOLDED))
+
+        for frame in frames_in(rows()):
+            tracker = tracker or Tracker(config if chosen is None else _config(chosen))
+            if tracker.failed:
+                return
+            yield stepped(tracker, *frame)
 
-    return tracks(folded(fold_rows(frames, detections, poses, config, sessions), ["frame_index"], fold, FLAT))
+    return tracks(flowing(fold_rows(frames, detections, poses, config, sessions), ["frame_index"], fold, FLAT))
 
 
 def detection_schedule(df: DataFrame, interval: int | None = 30, seconds: float | None = None) -> DataFrame:

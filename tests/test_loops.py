@@ -328,3 +328,22 @@ def test_paced_capture_times(spark):
     df = spark.createDataFrame(rows, "session_id bigint, frame_index bigint, decode_seconds double")
     for r in timeline.paced_capture_times(df, 10.0).collect():
         assert abs(r["released_at"] - expected[r["session_id"], r["frame_index"]]) < 1e-9
+
+
+def test_a_long_session_flows_through_its_fold(spark):
+    rows = spark.range(2_000).selectExpr("id % 2 as session_id", "id div 2 as frame_index")
+
+    def fold(parts):
+        taken = 0
+        for part in parts:
+            taken += 1
+            yield from ((s, f, len(part["frame_index"]), taken) for s, f in zip(part["session_id"], part["frame_index"]))
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = tracking.flowing(rows, ["frame_index"], fold, "session_id bigint, frame_index bigint, held bigint, taken bigint").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r["session_id"], r["frame_index"]) for r in got) == [(s, f) for s in (0, 1) for f in range(1_000)]
+    assert max(r["held"] for r in got) <= 100 and max(r["taken"] for r in got) >= 10
