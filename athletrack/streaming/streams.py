@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from athletrack.operators.timeline import lag
-from athletrack.operators.tracking import FLAT, FOLDED, Tracker, _config, track_rows, tracks
+from athletrack.operators.tracking import FLAT, FOLDED, Tracker, _config, frames_in, stepped, tracks
 from athletrack.schemas import TrackConfig
 
 _STATE = (
     "crop array<int>, pending string, last_frame double, last_at double, waiting_at double, waiting_crop array<int>, waiting_error string, failed boolean, frame bigint, config string"
 )
 IDLE = 3_600_000  # milliseconds after which a silent session is forgotten
+PART = 5_000  # rows that are Python values at once
 _NAMES = [c.split()[0] for c in FLAT.split(", ")]
 
 
@@ -48,7 +49,8 @@ def _plain(column: pd.Series) -> list:
 def track_stream(rows: DataFrame, config: TrackConfig | None = None, idle: int | str | None = IDLE) -> DataFrame:
     """``track_sessions`` on a stream of ``fold_rows``: the state of a session is one small row.
 
-    A frame's rows must come in one micro-batch, and frames of a session must arrive in order of frame_index between micro-batches; inside one they are sorted, so
+    A session's rows of a micro-batch are in memory together, so a backlog is best read in several (``maxFilesPerTrigger``
+    or the like). A frame's rows must come in one micro-batch, and frames of a session must arrive in order of frame_index between micro-batches; inside one they are sorted, so
     how a session is cut does not change its tracks. A frame that comes after a later one is not tracked: its row has
     the stage late. A session without a frame for ``idle`` milliseconds is forgotten; None keeps all, for a feed that
     is drained once (with a timeout such a query would wait for ever).
@@ -67,8 +69,15 @@ def track_stream(rows: DataFrame, config: TrackConfig | None = None, idle: int |
         late = pdf["frame_index"] <= last
         out = [(key[0], frame, *[None] * 11, "late", None, None) for frame in pdf.loc[late & pdf["loop_started_at"].notna(), "frame_index"].tolist()]
         pdf = pdf[~late]
-        out += track_rows({c: _plain(pdf[c]) for c in FOLDED}, tracker)
-        state.update(_pack(tracker, max([int(last), *pdf["frame_index"].tolist()]), chosen))
+        # numbers stay in their arrays until their turn comes, and rows are handed over part by part
+        for frame in frames_in(row for at in range(0, len(pdf), PART) for row in zip(*(_plain(pdf[c].iloc[at : at + PART]) for c in FOLDED))):
+            if tracker.failed:
+                break
+            out.append(stepped(tracker, *frame))
+            if len(out) >= PART:
+                yield pd.DataFrame(out, columns=_NAMES, dtype=object)
+                out = []
+        state.update(_pack(tracker, max(int(last), int(pdf["frame_index"].max())) if len(pdf) else int(last), chosen))
         if idle is not None:
             state.setTimeoutDuration(int(idle))
         yield pd.DataFrame(out, columns=_NAMES, dtype=object)

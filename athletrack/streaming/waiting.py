@@ -1,31 +1,61 @@
 """The tracker on a feed whose frames, boxes and poses come in any order.
 
-What arrives waits in the session's state, by frame, until the watermark has passed the frame's time; then frames are
-tracked in order. One timer by session stands at the first frame that waits.
+What arrives waits in the session's state, as it came, until the watermark has passed the frame's time; then frames are
+tracked in order and what still waits is written back. One timer by session stands at the first frame that waits.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from athletrack.operators.tracking import FLAT, FOLDED, Tracker, _config, track_rows, tracks
+from athletrack.operators.tracking import FLAT, FOLDED, Tracker, _config, frames_in, stepped, tracks
 from athletrack.schemas import TrackConfig
-from athletrack.streaming.streams import _NAMES, _STATE, IDLE, _pack, _plain, _unpack
+from athletrack.streaming.streams import _NAMES, _STATE, IDLE, PART, _pack, _plain, _unpack
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_KEPT = [c for c in FOLDED if c not in ("session_id", "frame_index", "config")]
+_WAITING = pa.schema([
+    ("frame_index", pa.int64()), ("loop_started_at", pa.float64()), ("detector_seconds", pa.float64()), ("frame_width", pa.int32()), ("frame_height", pa.int32()),
+    ("detector_error", pa.string()), ("rank", pa.float64()), ("det_index", pa.int64()), ("found", pa.list_(pa.int32())), ("person", pa.list_(pa.float64())), ("event_ms", pa.int64()),
+])
 FOREVER = 1 << 62
 
 
+class Chunks:
+    """Rows that wait in a list state, a chunk for each time that some came: one call to the state, however many rows."""
+
+    def __init__(self, handle: StatefulProcessorHandle, schema: pa.Schema):
+        self.schema, self.held = schema, handle.getListState("waiting", "rows binary")
+
+    def add(self, pdf: pd.DataFrame) -> None:
+        self.held.appendValue((self._bytes(pa.table([pa.array(pdf[f.name], f.type, from_pandas=True) for f in self.schema], schema=self.schema)),))
+
+    def all(self) -> pa.Table:
+        chunks = [pa.ipc.open_stream(bytes(c[0])).read_all() for c in self.held.get()] if self.held.exists() else []
+        return pa.concat_tables([self.schema.empty_table(), *chunks])
+
+    def keep(self, rows: pa.Table) -> None:
+        """Only ``rows`` from now on."""
+        self.held.clear()
+        for at in range(0, len(rows), 10_000):
+            self.held.appendValue((self._bytes(rows.slice(at, 10_000)),))
+
+    def _bytes(self, rows: pa.Table) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.schema) as out:
+            out.write_table(rows)
+        return sink.getvalue().to_pybytes()
+
+
 class WaitingTracker(StatefulProcessor):
-    """State of a session: the tracker (with the last frame tracked), the rows that wait by frame, and the time of its timer."""
+    """State of a session: the tracker (with the last frame tracked), the rows that wait, and the time of its timer."""
 
     def __init__(self, config: TrackConfig, idle: int | None):
         self.config, self.idle = config, idle
@@ -33,7 +63,7 @@ class WaitingTracker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.tracker = handle.getValueState("tracker", _STATE)
-        self.frames = handle.getMapState("waiting", "frame bigint", "due bigint, rows string")
+        self.frames = Chunks(handle, _WAITING)
         self.clock = handle.getValueState("clock", "timer bigint, newest bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
@@ -53,43 +83,34 @@ class WaitingTracker(StatefulProcessor):
         if missed.any():
             yield _said(key[0], ((int(f), "late" if t else "late_box" if r else "late_pose") for f, t, r in zip(pdf.loc[missed, "frame_index"], pdf.loc[missed, "loop_started_at"].notna(), pdf.loc[missed, "rank"].notna())))
         pdf = pdf[~missed]
-        columns = {c: _plain(pdf[c]) for c in _KEPT}
-        parts = list(zip(*columns.values()))
-        due, frames = pdf["event_ms"].astype("int64").tolist(), pdf["frame_index"].astype("int64").tolist()
-        fresh: dict[int, tuple[int, list]] = {}
-        for frame, at, row in zip(frames, due, parts):
-            then, held = fresh.get(frame, (at, []))
-            held.append(row)
-            fresh[frame] = max(then, at), held
-        for frame, (at, held) in fresh.items():
-            if self.frames.containsKey((frame,)):
-                then, text = self.frames.getValue((frame,))
-                at, held = max(then, at), json.loads(text) + held
-            self.frames.updateValue((frame,), (at, json.dumps(held)))
-        if due:
-            self._wake(min(at for at, _ in fresh.values()) + 1, max(due))
+        if len(pdf):
+            self.frames.add(pdf)
+            # a frame is due when the last of its rows is
+            self._wake(int(pdf.groupby("frame_index")["event_ms"].max().min()) + 1, int(pdf["event_ms"].max()))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         timer, newest = self.clock.get()
         if expiredTimerInfo.getExpiryTimeInMs() != timer:
             return  # replaced by an earlier one
-        waiting = sorted((k[0], v[0], v[1]) for k, v in self.frames.iterator())
-        ready = []
-        for frame, due, text in waiting:  # in order of the frames: one whose time is not there yet holds the later ones
-            if due >= now:  # a watermark that only reached it may still be the one before all rows, 0
-                break
-            ready.append((frame, text))
-        if not waiting and self.idle is not None and newest + self.idle <= now:
+        waiting = self.frames.all()
+        frames = waiting["frame_index"].to_numpy()
+        order = np.argsort(frames, kind="stable")
+        starts = np.flatnonzero(np.diff(frames[order], prepend=-1 << 62))
+        due = np.maximum.reduceat(waiting["event_ms"].to_numpy()[order], starts) if len(starts) else starts
+        # in order of the frames: one whose time is not there yet holds the later ones; a watermark that only reached it may still be the one before all rows, 0
+        held = np.flatnonzero(due >= now)
+        cut = int(starts[held[0]]) if len(held) else len(order)
+        if not len(order) and self.idle is not None and newest + self.idle <= now:
             self.tracker.clear()
             self.clock.clear()
             return
-        if ready:
-            yield self._track(key[0], ready)
-        rest = waiting[len(ready) :]
+        if cut:
+            yield from self._track(key[0], waiting, order[:cut])
+            self.frames.keep(waiting.take(order[cut:]))
         self.clock.update((-1, newest))
-        if rest:
-            self._wake(max(rest[0][1], now) + 1, newest)
+        if len(held):
+            self._wake(max(int(due[held[0]]), now) + 1, newest)
         elif self.idle is not None:
             self._wake(max(newest + self.idle, now + 1), newest)
 
@@ -106,26 +127,38 @@ class WaitingTracker(StatefulProcessor):
             timer = at
         self.clock.update((timer, max(known, newest)))
 
-    def _track(self, session: int, ready: list[tuple[int, str]]) -> pd.DataFrame:
+    def _track(self, session: int, waiting: pa.Table, ready: np.ndarray) -> Iterator[pd.DataFrame]:
         known = self.tracker.get()
         tracker = _unpack(self.config if known[9] is None else _config(known[9]), known[:8])
-        rows: dict[str, list] = {c: [] for c in FOLDED}
-        lost = []
-        for frame, text in ready:
-            self.frames.removeKey((frame,))
-            held = json.loads(text)
-            if all(row[_KEPT.index("loop_started_at")] is None for row in held):
-                lost.append((frame, "no_frame"))
-                continue
-            for row in held:
-                for c, v in zip(_KEPT, row):
-                    rows[c].append(v)
-            rows["session_id"] += [session] * len(held)
-            rows["frame_index"] += [frame] * len(held)
-            rows["config"] += [None] * len(held)
-        out = pd.DataFrame(track_rows(rows, tracker), columns=_NAMES, dtype=object)
-        self.tracker.update(_pack(tracker, ready[-1][0], known[9]))
-        return pd.concat([out, _said(session, lost)]) if lost else out
+        lost: list[tuple[int, str]] = []
+
+        def rows() -> Iterator[tuple]:
+            at, timed = None, True
+            for lo in range(0, len(ready), PART):
+                part = waiting.take(ready[lo : lo + PART])
+                columns = {c: part[c].to_pylist() for c in part.column_names} | {"session_id": [session] * len(part), "config": [None] * len(part)}
+                for row in zip(*(columns[c] for c in FOLDED)):
+                    if row[1] != at:
+                        if not timed:
+                            lost.append((at, "no_frame"))
+                        at, timed = row[1], False
+                    timed = timed or row[2] is not None
+                    yield row
+            if not timed:
+                lost.append((at, "no_frame"))
+
+        out = []
+        for frame in frames_in(rows()):  # to the end even after a failure, as lost rows are told
+            if not tracker.failed:
+                out.append(stepped(tracker, *frame))
+            if len(out) >= PART:
+                yield pd.DataFrame(out, columns=_NAMES, dtype=object)
+                out = []
+        self.tracker.update(_pack(tracker, int(waiting["frame_index"][int(ready[-1])].as_py()), known[9]))
+        if out:
+            yield pd.DataFrame(out, columns=_NAMES, dtype=object)
+        if lost:
+            yield _said(session, lost)
 
 
 def _said(session: int, what) -> pd.DataFrame:

@@ -56,3 +56,16 @@ def test_what_misses_the_watermark_says_so(spark, tmp_path):
     assert said == {1: (1, 20, "applied"), 2: (1, None, "no_time"), 3: (1, None, "no_time"), 4: (-1, None, "no_frame"), 5: (1, None, "late"), 6: (1, 99, "applied")}
     with pytest.raises(ValueError):
         results.apply_results_stream(rows, wait=-1)
+
+
+def test_many_short_sessions_share_their_state(spark, tmp_path):
+    frames = spark.range(3_000).selectExpr("id div 2 as session_id", "id % 2 as frame_index", "id as sequence", "cast(id % 2 as double) as loop_started_at")
+    found = spark.range(1_500).selectExpr("id as session_id", "id as request_id", "0.25 + id % 2 as completed_at")
+    rows = results.result_rows(found, frames)
+    got, run = _drain(spark, tmp_path, [rows, _end(spark, rows.schema, 1e5)], buckets=3)
+    want = apply_detector_results(found, frames).collect()
+    assert sorted((x["session_id"], x["request_id"], x["applied_sequence"] or -1) for x in got) == sorted((x["session_id"], x["request_id"], x["applied_sequence"] or -1) for x in want)
+    most = max(s["numRowsTotal"] for p in run.recentProgress for s in p["stateOperators"])
+    assert 0 < most < 100  # not one for each of 4,500 rows
+    with pytest.raises(ValueError):
+        results.apply_results_stream(rows, buckets=0)
