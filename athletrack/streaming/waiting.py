@@ -67,7 +67,10 @@ class WaitingTracker(StatefulProcessor):
         self.clock = handle.getValueState("clock", "timer bigint, newest bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows))
+        for pdf in rows:
+            yield from self._taken(key, pdf)
+
+    def _taken(self, key: Any, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         pdf = pdf[pdf["frame_index"].notna() & pdf["event_ms"].notna()]  # a row without either only moves the watermark
         if not len(pdf):
             return

@@ -95,3 +95,13 @@ def test_poses_of_a_stream_are_written_in_buckets(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert "session_bucket" in back.columns
     assert sorted(map(str, back.select(*p.columns).collect())) == sorted(map(str, p.collect()))
+
+
+def test_what_waits_is_few_values_of_the_state(spark, tmp_path):
+    f = spark.range(3_000).selectExpr("1L as session_id", "id as frame_index", "id as sequence", "id / 30 as loop_started_at", "0D as detector_seconds", f"{W} as frame_width", f"{H} as frame_height")
+    d, p = spark.createDataFrame([], DETECTIONS), spark.createDataFrame([], POSES)
+    rows = tracking.fold_rows(f, d, p, TrackConfig()).withColumn("event_ts", F.timestamp_seconds(F.expr(TIMED)))
+    early = F.col("frame_index") % 2 == 0
+    out, progress = _drain(spark, tmp_path, [rows.where(early), rows.where(~early), _closing(spark, rows.schema, 1e6)], TrackConfig(), delay="1 hour", idle=None)
+    assert out.count() == 3_000 and out.where("frame_stage like 'late%'").isEmpty()
+    assert sum(s["numRowsTotal"] for s in progress["stateOperators"]) < 10
