@@ -4,8 +4,9 @@ A session is cut into pieces of frames. Each piece is folded at once from assume
 nothing, and one with the crop of the piece's first detection whose schedule has run undisturbed since the session
 began. Then the real state is handed over: a piece whose predecessor ends in another state than was assumed is folded
 again from that state, next to the runs that it has, and only up to the frame where it is in the state of one of
-them; from there on that run's rows and its end hold. This is repeated until no piece has a new beginning. The first
-piece is right from the start, so each round settles one piece more at least, and usually all.
+them; from there on that run's rows and its end hold. As most meet soon, the first eighth of a piece is tried first, and
+only pieces that meet none in it are folded again as a whole. This is repeated until no piece has a new beginning. The
+first piece is right from the start, so each round settles one piece more at least, and usually all.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ import json
 import math
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,7 +82,10 @@ def _together(frames: list[tuple], runs: list[tuple[int, Tracker, int | None]])
 
 
 def _folds(config: TrackConfig, rows: dict[str, list]) -> list[tuple]:
-    """Rows of tracks and of runs of one piece: (FLAT..., piece, run, beginning, ending, parent, met, frames)."""
+    """Rows of tracks and of runs of one piece: (FLAT..., piece, run, beginning, ending, parent, met, frames).
+
+    Of a part of a piece there are none unless what was asked for meets another run in it.
+    """
     session, piece = rows["session_id"][-1], rows["piece"][-1]
     asked = next((t for t in rows["asked"] if t is not None), None)
     own = next((c for c in rows["config"] if c is not None), None)
@@ -91,11 +94,13 @@ def _folds(config: TrackConfig, rows: dict[str, list]) -> list[tuple]:
     none = (None,) * 13
     out: list[tuple] = []
 
-    def add(number: int, tracker: Tracker, known: list[dict]) -> dict:
+    def add(number: int, tracker: Tracker, known: list[dict], part: bool = False) -> dict | None:
         beginning = _text(tracker)
         beside = [(k["run"], _tracker(config, k["beginning"]), k.get("met")) for k in known]
         made, met = _together(frames, [*beside, (number, tracker, None)])
         parent, at = met.get(number, (None, None))
+        if part and parent is None:
+            return None
         ending = next(k["ending"] for k in known if k["run"] == parent) if parent is not None else _text(tracker)
         out.extend((*row, piece, run, None, None, None, None, None) for run, row in made)
         run = {"run": number, "beginning": beginning, "ending": ending, "parent": parent, "met": at}
@@ -104,7 +109,7 @@ def _folds(config: TrackConfig, rows: dict[str, list]) -> list[tuple]:
 
     if asked is not None:
         todo = json.loads(asked)
-        add(todo["run"], _tracker(config, todo["beginning"]), todo["known"])
+        add(todo["run"], _tracker(config, todo["beginning"]), todo["known"], todo["part"])
     elif frames:
         known = [add(KNOWS_NOTHING, Tracker(config), [])]
         if rows["first"][-1] is False:
@@ -126,17 +131,16 @@ class LongFold:
         return self.runs.groupBy("session_id").agg(F.countDistinct("piece").alias("pieces"), part(run == KNOWS_NOTHING).alias("frames"), part(run == GUESSED).alias("guessed"), part(run >= HANDED).alias("refolded"), F.greatest(F.max("run") - 1, F.lit(0)).alias("rounds"))
 
 
-def _covers(pdf: pd.DataFrame) -> pd.DataFrame:
+def _covers(rows: dict[str, list]) -> list[tuple]:
     """The frames [lo, hi) that each run of a piece gives to its tracks."""
-    runs = {r.run: r for r in pdf.itertuples()}
+    runs = {run: (parent, met) for run, parent, met in zip(rows["run"], rows["parent"], rows["met"])}
     at, lo, out = max(runs), -(1 << 62), []
     while True:
-        r = runs[at]
-        met = None if pd.isna(r.met) else int(r.met)
-        out.append((r.session_id, r.piece, at, lo, 1 << 62 if met is None else met + 1))
+        parent, met = runs[at]
+        out.append((rows["session_id"][0], rows["piece"][0], at, lo, 1 << 62 if met is None else met + 1))
         if met is None:
-            return pd.DataFrame(out, columns=["session_id", "piece", "run", "lo", "hi"])
-        at, lo = int(r.parent), max(lo, met + 1)
+            return out
+        at, lo = parent, max(lo, met + 1)
 
 
 def _few(few: DataFrame) -> DataFrame:
@@ -147,12 +151,13 @@ def track_long_sessions(frames: DataFrame, detections: DataFrame, poses: DataFra
     """``track_sessions`` where a session of any length is folded in pieces of ``piece`` frames, each in a task of its own.
 
     The tracks are those of ``track_sessions``, row by row. A session shorter than a piece is folded once. The rows of
-    the fold are written once; each round reads those of the pieces that get a new beginning.
+    the fold are written once; each round reads those of the first frames of the pieces that get a new beginning, and all
+    of the few that need them.
     """
     if piece < 1:
         raise ValueError("piece must be at least 1")
     config = config or TrackConfig()
-    rows = fold_rows(frames, detections, poses, config, sessions).withColumn("piece", F.floor(F.col("frame_index") / piece))
+    rows = fold_rows(frames, detections, poses, config, sessions, inferred=True).withColumn("piece", F.floor(F.col("frame_index") / piece))
     rows = stored(rows, "long-rows")
     firsts = stored(rows.where("loop_started_at is not null").groupBy("session_id").agg(F.min("piece").alias("first_piece"), F.min("loop_started_at").alias("began")), "long-firsts")
     schema = FLAT + ", " + RUNS
@@ -163,6 +168,12 @@ def track_long_sessions(frames: DataFrame, detections: DataFrame, poses: DataFra
 
     none = F.lit(None)
     whole = rows.join(_few(firsts), "session_id").select(*FOLDED, "piece", (F.col("piece") <= F.col("first_piece")).alias("first"), "began", none.cast("string").alias("asked"))
+
+    def again(todo: DataFrame, of: DataFrame, number: int, part: bool) -> DataFrame:
+        asked = F.to_json(F.struct(F.lit(number).alias("run"), "beginning", "known", F.lit(part).alias("part"))).alias("asked")
+        held = of.join(_few(todo.select(*GROUP)), list(GROUP), "left_semi").unionByName(todo.select(*GROUP, asked), allowMissingColumns=True)
+        return made(held.withColumn("first", none.cast("boolean")).withColumn("began", none.cast("double")).select(*FOLDED, "piece", "first", "began", "asked"))
+
     folds = made(whole)
     number = HANDED
     while True:
@@ -172,15 +183,17 @@ def track_long_sessions(frames: DataFrame, detections: DataFrame, poses: DataFra
         # a piece that knows the real beginning has it as its last run's
         order = F.lag(F.col("now.ending")).over(Window.partitionBy("session_id").orderBy("piece"))
         todo = pieces.withColumn("real", order).where("real is not null and real <> now.beginning")
-        asked = F.to_json(F.struct(F.lit(number).alias("run"), F.col("real").alias("beginning"), "known"))
-        todo = stored(todo.select(*GROUP, asked.alias("asked")), "long-todo")
+        todo = stored(todo.select(*GROUP, F.col("real").alias("beginning"), "known"), "long-todo")
         if todo.isEmpty():
             break
-        again = rows.join(_few(todo.select(*GROUP)), list(GROUP), "left_semi")
-        folds = folds.unionByName(made(again.unionByName(todo, allowMissingColumns=True).withColumn("first", none.cast("boolean")).withColumn("began", none.cast("double")).select(*FOLDED, "piece", "first", "began", "asked")))
+        tried = again(todo, rows.where(F.col("frame_index") < F.col("piece") * piece + max(piece // 8, 1)), number, True)
+        folds = folds.unionByName(tried)
+        rest = stored(todo.join(tried.where("beginning is not null").select(*GROUP), list(GROUP), "left_anti"), "long-todo")
+        if not rest.isEmpty():
+            folds = folds.unionByName(again(rest, rows, number, False))
         number += 1
     runs = stored(folds.where("beginning is not null").select("session_id", *(c.split()[0] for c in RUNS.split(", "))), "long-runs")
-    covers = runs.groupBy(*GROUP).applyInPandas(_covers, "session_id bigint, piece bigint, run bigint, lo bigint, hi bigint")
+    covers = folded(runs.select(*GROUP, "run", "parent", "met"), ["run"], _covers, "session_id bigint, piece bigint, run bigint, lo bigint, hi bigint", GROUP)
     covers = stored(covers, "long-covers")
     flat = folds.where("beginning is null").join(_few(covers), [*GROUP, "run"]).where("frame_index >= lo and frame_index < hi")
     return LongFold(tracks(flat), runs)

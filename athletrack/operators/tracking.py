@@ -13,7 +13,7 @@ import json
 import math
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, groupby
+from itertools import accumulate, chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -49,12 +49,13 @@ def config_columns(config: TrackConfig, sessions: DataFrame) -> DataFrame:
     return sessions.select("session_id", F.struct(*(c.alias(f) for f, c in values.items())).alias("config"))
 
 
-def fold_rows(frames: DataFrame, detections: DataFrame, poses: DataFrame, config: TrackConfig | None = None, sessions: DataFrame | None = None) -> DataFrame:
+def fold_rows(frames: DataFrame, detections: DataFrame, poses: DataFrame, config: TrackConfig | None = None, sessions: DataFrame | None = None, inferred: bool = False) -> DataFrame:
     """What the fold needs: a row for each frame with its times, for each person's box with its rank and the crop around it, and for each pose with a few numbers.
 
     ``frames``: session_id, frame_index, loop_started_at, detector_seconds, frame_width, frame_height, and
     detector_error (optional): what a detection of this frame fails with. ``sessions`` may give a session its own
     configuration (``config_columns``). Nothing is shuffled here: the three inputs meet in the fold's one exchange.
+    With ``inferred`` the boxes and poses of frames that ``infer_every`` passes over are not prepared: no fold looks at them.
     """
     config = config or TrackConfig()
     if sessions is None:
@@ -64,6 +65,8 @@ def fold_rows(frames: DataFrame, detections: DataFrame, poses: DataFrame, config
         none = F.struct(*(F.lit(getattr(config, f)).cast(kind).alias(f) for f, kind in CONFIG.items()))
         frames, detections, poses = (df.join(of_session, "session_id", "left").withColumn("config", F.coalesce("config", none)) for df in (frames, detections, poses))
         setting = lambda f: F.col(f"config.{f}")
+    if inferred:
+        detections, poses = (df.where(F.col("frame_index") % setting("infer_every") == 0) for df in (detections, poses))
     error = F.col("detector_error") if "detector_error" in frames.columns else F.lit(None).cast("string")
     chosen = F.to_json("config") if sessions is not None else F.lit(None).cast("string")
     ranked = detection_rank(person_filter(detections, setting("detector_score_threshold"))).where(~F.isnan("rank"))
@@ -73,11 +76,12 @@ def fold_rows(frames: DataFrame, detections: DataFrame, poses: DataFrame, config
     has = F.col("bbox").isNotNull()
 
     def numbers(m: Column) -> Column:
-        a = {k: F.when(has, F.col(f"bbox.{k}")).otherwise(m["all"][k].cast("double")) for k in SIDES}
+        every, seen = F.get(m, 0), F.get(m, 1)
+        a = {k: F.when(has, F.col(f"bbox.{k}")).otherwise(every[k].cast("double")) for k in SIDES}
         w, h = a["x2"] - a["x1"], a["y2"] - a["y1"]
         area = F.when(has, F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))).otherwise(w * h)
-        row = (F.col("instance_index"), area, (a["x1"] + a["x2"]) / 2, (a["y1"] + a["y2"]) / 2, m["seen"]["n"], *(m["seen"][k] for k in SIDES))
-        return F.when(has | (m["all"]["n"] > 0), F.array(*(c.cast("double") for c in row)))
+        row = (F.col("instance_index"), area, (a["x1"] + a["x2"]) / 2, (a["y1"] + a["y2"]) / 2, seen["n"], *(seen[k] for k in SIDES))
+        return F.when(has | (every["n"] > 0), F.array(*(c.cast("double") for c in row)))
 
     def bounded(pairs: Column) -> Column:
         def shown(least: Callable[[Column], Column]) -> Column:
@@ -85,14 +89,16 @@ def fold_rows(frames: DataFrame, detections: DataFrame, poses: DataFrame, config
 
         prominent = F.when(F.size("scores") == 0, pairs.getField("keypoints")).otherwise(shown(lambda s: s.cast("double") > g.POSE_VISIBLE))
         seen = shown(lambda s: s >= g.as_float(setting("score_threshold")))
-        return F.struct(g.bounds(prominent).alias("all"), g.bounds(seen).alias("seen"))
+        return F.transform(F.array(prominent, seen), g.bounds)
 
     # what is used more than once is bound to a lambda's variable, so that it is computed once
     both = F.transform(F.array(F.arrays_zip("keypoints", "scores")), bounded)
-    person = F.get(F.transform(both, numbers), 0)
+    person = F.when(F.size("keypoints") > 0, F.get(F.transform(both, numbers), 0))
     times = frames.select(*KEY, "loop_started_at", "detector_seconds", "frame_width", "frame_height", error.alias("detector_error"), chosen.alias("config"))
     boxes = ranked.select(*KEY, "rank", "det_index", found)
-    people = poses.where(F.size("keypoints") > 0).select(*KEY, person.alias("person"))
+    if not inferred:  # a filter makes the keypoints once more where they are an expression; the batch folds pass over rows of nobody
+        poses = poses.where(F.size("keypoints") > 0)
+    people = poses.select(*KEY, person.alias("person"))
     return times.unionByName(boxes, allowMissingColumns=True).unionByName(people, allowMissingColumns=True).select(*FOLDED)
 
 
@@ -296,6 +302,24 @@ def folded(df: DataFrame, order: list[str], fold: Callable[[dict[str, list]], li
     return flowing(df, order, whole, schema, by)
 
 
+def listed(column: pa.Array) -> list:
+    """``to_pylist`` of numbers and of lists of numbers, without an object of Arrow for each value."""
+    kind, n = column.type, len(column)
+    if column.null_count == n:
+        return [None] * n
+    if pa.types.is_list(kind):
+        values, sizes = listed(column.flatten()), column.value_lengths().fill_null(0).to_numpy().tolist()
+        ends = accumulate(sizes)
+        out = [values[end - size : end] for size, end in zip(sizes, ends)]
+    elif pa.types.is_integer(kind) or pa.types.is_floating(kind):
+        out = column.fill_null(0).to_numpy().tolist()
+    else:
+        return column.to_pylist()
+    if column.null_count:
+        out = [v if there else None for v, there in zip(out, column.is_valid().to_numpy(zero_copy_only=False).tolist())]
+    return out
+
+
 def flowing(df: DataFrame, order: list[str], fold: Callable[[Iterator[dict[str, list]]], Iterable[tuple]], schema: str, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
     """``folded`` for a fold that takes the rows of a group part by part, as Arrow batches come in, and gives its own one by one.
 
@@ -310,7 +334,7 @@ def flowing(df: DataFrame, order: list[str], fold: Callable[[Iterator[dict[str,
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
+            columns = [listed(c) for c in batch.columns]
             ids = list(zip(*(columns[k] for k in places)))
             cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
             for lo, hi in zip(cuts, cuts[1:]):
@@ -358,7 +382,7 @@ def track_sessions(frames: DataFrame, detections: DataFrame, poses: DataFrame, c
                 return
             yield stepped(tracker, *frame)
 
-    return tracks(flowing(fold_rows(frames, detections, poses, config, sessions), ["frame_index"], fold, FLAT))
+    return tracks(flowing(fold_rows(frames, detections, poses, config, sessions, inferred=True), ["frame_index"], fold, FLAT))
 
 
 def detection_schedule(df: DataFrame, interval: int | None = 30, seconds: float | None = None) -> DataFrame:

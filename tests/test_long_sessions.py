@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from test_loops import CONFIGS, FRAMES, H, W, _tables
 
@@ -71,3 +72,40 @@ def test_sessions_have_their_configuration(spark):
     sessions = spark.createDataFrame([(s, 5 + s, s % 2 == 0, ("hybrid", "hybrid", "whole_image", "detector")[s % 4]) for s in list(plain)[:10]], "session_id bigint, detector_interval bigint, async_detector boolean, mode string")
     fold = long_sessions.track_long_sessions(f, d, p, TrackConfig(detector_interval=7), sessions, piece=13)
     assert _rows(fold.tracks) == _rows(tracking.track_sessions(f, d, p, TrackConfig(detector_interval=7), sessions))
+
+
+def test_a_hand_over_reads_the_first_frames_only(spark, monkeypatch):
+    config, read = TrackConfig(detector_interval=10, infer_every=2), []
+
+    def counted(df, *args, made=long_sessions.folded):
+        read.append(df.count())
+        return made(df, *args)
+
+    monkeypatch.setattr(long_sessions, "folded", counted)
+    tables = _calm(spark, 4_000)
+    fold = long_sessions.track_long_sessions(*tables, config, piece=400)
+    assert _rows(fold.tracks) == _rows(tracking.track_sessions(*tables, config))
+    assert read[0] < 4_000 * 2.2 and read[1] < read[0] / 4, read  # boxes and poses of every second frame; an eighth of a piece
+
+
+def test_a_pose_without_keypoints_is_nobody(spark):
+    frames = spark.createDataFrame([(1, k, k, k / 30, 0.0, W, H) for k in range(4)], FRAMES)
+    boxes = spark.createDataFrame([(1, k, 0, 100.0, 100.0, 200.0, 300.0, 0.9, 0, W, H) for k in range(4)], DETECTIONS)
+    there = ([(100.0 + 5 * i, 120.0 + 8 * i) for i in range(17)], [0.9] * 17)
+    poses = spark.createDataFrame([(1, k, i, *p, box) for k in range(4) for i, p, box in ((0, ([], []), (0.0, 0.0, 500.0, 500.0)), (1, there, None), (2, ([], [0.9]), (0.0, 0.0, 500.0, 500.0)))], POSES)
+    config = TrackConfig(infer_every=2)
+    got = [r["instance_index"] for r in tracking.track_sessions(frames, boxes, poses, config).orderBy("frame_index").collect()]
+    assert got == [1, None, 1, None]
+    assert got == [r["instance_index"] for r in long_sessions.track_long_sessions(frames, boxes, poses, config, piece=2).tracks.orderBy("frame_index").collect()]
+    assert tracking.fold_rows(frames, boxes, poses, config, inferred=True).where("person is not null").count() == 2
+
+
+def test_lists_of_numbers_as_arrow_gives_them():
+    for values, kind in (
+        ([1, None, 3], pa.int64()), ([None, None], pa.float64()), ([], pa.int32()), ([1.5, -0.0, None], pa.float64()), ([True, None], pa.bool_()), (["a", None], pa.string()),
+        ([[1, 2], None, [], [None, 4]], pa.list_(pa.int32())), ([None, [0.5]], pa.list_(pa.float64())), ([[[1], []], None, [None]], pa.list_(pa.list_(pa.int64()))),
+    ):
+        for column in (pa.array(values, kind), pa.array([*values, *values], kind).slice(1, len(values))):
+            got = tracking.listed(column)
+            assert got == column.to_pylist() and list(map(type, got)) == list(map(type, column.to_pylist()))
+    assert str(tracking.listed(pa.array([float("nan"), None]))) == "[nan, None]"
