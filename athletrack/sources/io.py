@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from athletrack.schemas import FRAMES
+from athletrack.sources.shared import stored
 
 BUCKETS = 256
 
@@ -45,6 +46,7 @@ def read_frame_stream(spark: SparkSession, path: str, schema: str = FRAMES, fmt:
 
 
 WAITING_SIZES = 64
+HANDED_BACK = 512  # rows of short calls that go back to Spark together
 
 
 def crop_size(df: DataFrame, crop: str = "crop") -> DataFrame:
@@ -52,16 +54,35 @@ def crop_size(df: DataFrame, crop: str = "crop") -> DataFrame:
     return df.withColumns({"crop_width": F.col(f"{crop}.x2") - F.col(f"{crop}.x1"), "crop_height": F.col(f"{crop}.y2") - F.col(f"{crop}.y1")})
 
 
+def dealt(df: DataFrame, same: list[str], least: int = 1) -> DataFrame:
+    """Rows that are equal in ``same`` next to each other in one task; where they are more than two tasks' share (and twice ``least``), in several.
+
+    The rows are counted by ``same`` before; fewer than half as many values as there are tasks have so many, and only these
+    reach the driver. The counts decide where a row goes, nothing else.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = stored(df.groupBy(*same).agg(F.count("*").alias("rows")), "sizes")
+    share = max((counts.agg(F.sum("rows")).first()[0] or 0) / n, least)
+    parts = F.ceil(F.least(F.col("rows") * 16 / share, F.col("rows") / (4 * least)))  # more than one for each share, as a hash deals few parts unevenly
+    many = dict(map(tuple, counts.where(F.col("rows") > 2 * share).select(F.xxhash64(*same), parts).collect()))
+    salt = F.lit(0).cast("bigint")
+    if many:
+        part = F.coalesce(F.element_at(F.create_map(*(F.lit(v) for pair in many.items() for v in pair)), F.xxhash64(*same)), F.lit(1))
+        salt = F.pmod(F.xxhash64(*(c for c in ("session_id", "frame_index") if c in df.columns)), part)
+    return df.repartition(n, F.xxhash64(*same), salt).sortWithinPartitions(*same)
+
+
 def score_frames(
     df: DataFrame, model_factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], out_schema: str, infer_every: int = 1,
     batch_size: int | None = None, same: list[str] | None = None, seconds: str | None = None,
 ) -> DataFrame:
     """Predictions for every ``infer_every``-th frame. The model is built once for each task and takes batches.
 
-    Its result has the columns of ``out_schema``. Frames are scored where they are read, without a shuffle. With
-    ``batch_size`` a call gets so many rows, carried over from one Arrow batch to the next, and fewer only at the end of
-    a partition; with ``same`` (such as the columns of ``crop_size``) its rows are equal in these columns, nulls among
-    themselves. A task holds fewer than ``batch_size`` rows for each of at most 64 groups; beyond that the group that has waited longest is
+    Its result has the columns of ``out_schema``. Frames are scored where they are read, without a shuffle, unless there
+    is ``same``. With ``batch_size`` a call gets so many rows, carried over from one Arrow batch to the next, and fewer
+    only at the end of a partition; with ``same`` (such as the columns of ``crop_size``) its rows are equal in these
+    columns, nulls among themselves, and rows are dealt to tasks by them (``dealt``; not on a stream), so that there is
+    about one short call for each value. A task holds fewer than ``batch_size`` rows for each of at most 64 groups; beyond that the group that has waited longest is
     scored as it is. ``seconds`` names a column, added to the result: the time of a call, dealt evenly to its rows.
     """
     if infer_every < 1:
@@ -90,7 +111,7 @@ def score_frames(
                 held = [*waiting.pop(key := tuple(None if pd.isna(v) else v for v in key), []), part]
                 n = sum(map(len, held))
                 if n >= batch_size:
-                    rows, whole = pd.concat(held), n - n % batch_size
+                    rows, whole = pd.concat(held) if len(held) > 1 else part, n - n % batch_size
                     for at in range(0, whole, batch_size):
                         yield call(rows.iloc[at : at + batch_size])
                     held = [rows.iloc[whole:]]
@@ -101,8 +122,24 @@ def score_frames(
         for held in waiting.values():
             yield call(pd.concat(held))
 
+    def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Results in frames of some hundred rows; those of other types, such as a column of nulls, stay apart."""
+        held, rows, kind = [], 0, None
+        for out in run(batches):
+            now = *out.columns, *out.dtypes
+            if held and (rows >= HANDED_BACK or now != kind):
+                yield pd.concat(held, ignore_index=True)
+                held, rows = [], 0
+            held.append(out)
+            rows, kind = rows + len(out), now
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
     schema = out_schema if seconds is None else f"{out_schema}, {seconds} double"
-    return df.where(F.col("frame_index") % infer_every == 0).mapInPandas(run, schema)
+    rows = df.where(F.col("frame_index") % infer_every == 0)
+    if same and not df.isStreaming:
+        rows = dealt(rows, same, batch_size)
+    return rows.mapInPandas(together if same else run, schema)
 
 
 def bucketed(df: DataFrame) -> DataFrame:

@@ -60,3 +60,20 @@ def test_without_groups_and_empty_tables(spark, frames):
     for wrong in ({"batch_size": 0}, {"same": ["crop_width"]}, {"infer_every": 0}):
         with pytest.raises(ValueError):
             io.score_frames(frames, _model, OUT, **wrong)
+
+
+def test_equal_sizes_meet_from_all_partitions(spark):
+    rows = spark.createDataFrame([(k, k % 500, 1) for k in range(6000)], "frame_index long, crop_width long, crop_height long").repartition(8)
+    got = io.score_frames(rows, _model, OUT, batch_size=4, same=["crop_width"]).collect()
+    assert sorted(r["frame_index"] for r in got) == list(range(6000))
+    assert all(r["rows"] == 4 and r["sizes"] == 1 for r in got)  # 12 of each size
+
+
+def test_a_size_that_most_crops_have_is_scored_by_all_tasks(spark):
+    width = lambda k: None if k % 9 == 0 else k if k % 10 == 0 else 7
+    rows = spark.createDataFrame([(k, width(k), None if width(k) else 7) for k in range(4000)], "frame_index long, crop_width long, crop_height long").repartition(8)
+    parts = [p for p in io.dealt(rows, ["crop_width", "crop_height"], 16).select("crop_width").rdd.map(lambda r: r[0]).glom().collect()]
+    assert sum(p.count(7) > 400 for p in parts) >= 3
+    got = io.score_frames(rows, _model, OUT, batch_size=16, same=["crop_width", "crop_height"]).collect()
+    assert sorted(r["frame_index"] for r in got) == list(range(4000)) and all(r["sizes"] == 1 for r in got)
+    assert io.dealt(rows.limit(0), ["crop_width"]).count() == 0
