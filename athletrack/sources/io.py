@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,6 +73,22 @@ def dealt(df: DataFrame, same: list[str], least: int = 1) -> DataFrame:
     return df.repartition(n, F.xxhash64(*same), salt).sortWithinPartitions(*same)
 
 
+def joined(parts: list[pd.DataFrame], **options: bool) -> pd.DataFrame:
+    return pd.concat(parts, **options) if len(parts) > 1 else parts[0]
+
+
+def alike(batch: pd.DataFrame, same: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """The values of ``same``, None for null, each with its rows. Rows are moved only where equal ones are not next to each other."""
+    code = batch.groupby(same, dropna=False, sort=False).ngroup().to_numpy()
+    if (code[1:] < code[:-1]).any():
+        order = np.argsort(code, kind="stable")
+        batch, code = batch.iloc[order], code[order]
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+    keys = batch[same].iloc[starts].itertuples(index=False, name=None)
+    for key, lo, hi in zip(keys, starts, [*starts[1:], len(batch)]):
+        yield tuple(None if pd.isna(v) else v for v in key), batch.iloc[lo:hi]
+
+
 def score_frames(
     df: DataFrame, model_factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], out_schema: str, infer_every: int = 1,
     batch_size: int | None = None, same: list[str] | None = None, seconds: str | None = None,
@@ -92,54 +109,68 @@ def score_frames(
     if same and batch_size is None:
         raise ValueError("same needs a batch_size")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, float]]:
+        """Results of the calls, each with the seconds of one of its rows."""
         model = None
 
-        def call(rows: pd.DataFrame) -> pd.DataFrame:
+        def call(rows: pd.DataFrame) -> tuple[pd.DataFrame, float]:
             nonlocal model
             model = model or model_factory()
             began = time.perf_counter()
             out = model(rows.reset_index(drop=True))
-            return out if seconds is None else out.assign(**{seconds: (time.perf_counter() - began) / max(len(rows), 1)})
+            return out, (time.perf_counter() - began) / max(len(rows), 1)
 
         if batch_size is None:
             yield from map(call, batches)
             return
         waiting: dict[tuple, list[pd.DataFrame]] = {}  # what has waited longest comes first
         for batch in batches:
-            for key, part in batch.groupby(same, dropna=False, sort=False) if same else [((), batch)]:
-                held = [*waiting.pop(key := tuple(None if pd.isna(v) else v for v in key), []), part]
+            fresh = []
+            for key, part in alike(batch, same) if same else [((), batch)]:
+                held = [*waiting.pop(key, []), part]
                 n = sum(map(len, held))
                 if n >= batch_size:
-                    rows, whole = pd.concat(held) if len(held) > 1 else part, n - n % batch_size
+                    rows, whole = joined(held), n - n % batch_size
                     for at in range(0, whole, batch_size):
                         yield call(rows.iloc[at : at + batch_size])
                     held = [rows.iloc[whole:]]
                 if n % batch_size:
                     waiting[key] = held
+                    fresh.append(key)
             while len(waiting) > WAITING_SIZES:
-                yield call(pd.concat(waiting.pop(next(iter(waiting)))))
+                yield call(joined(waiting.pop(next(iter(waiting)))))
+            for held in (waiting[key] for key in fresh if key in waiting):
+                held[-1] = held[-1].copy()  # a slice would keep the rest of its batch in memory
         for held in waiting.values():
-            yield call(pd.concat(held))
-
-    def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Results in frames of some hundred rows; those of other types, such as a column of nulls, stay apart."""
-        held, rows, kind = [], 0, None
-        for out in run(batches):
-            now = *out.columns, *out.dtypes
-            if held and (rows >= HANDED_BACK or now != kind):
-                yield pd.concat(held, ignore_index=True)
-                held, rows = [], 0
-            held.append(out)
+            yield call(joined(held))
+
+    def handed_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Results of short calls in frames of some hundred rows; those of other types, such as a column of nulls, stay apart."""
+        outs, spent, rows, kind = [], [], 0, None
+
+        def together() -> pd.DataFrame:
+            out = joined(outs, ignore_index=True)
+            return out if seconds is None else out.assign(**{seconds: np.repeat(spent, [len(o) for o in outs])})
+
+        for out, by_row in run(batches):
+            now = (out.columns.tolist(), out.dtypes.tolist()) if same else None
+            if outs and now != kind:
+                yield together()
+                outs, spent, rows = [], [], 0
+            outs.append(out)
+            spent.append(by_row)
             rows, kind = rows + len(out), now
-        if held:
-            yield pd.concat(held, ignore_index=True)
+            if rows >= HANDED_BACK or not same:
+                yield together()
+                outs, spent, rows = [], [], 0
+        if outs:
+            yield together()
 
     schema = out_schema if seconds is None else f"{out_schema}, {seconds} double"
     rows = df.where(F.col("frame_index") % infer_every == 0)
     if same and not df.isStreaming:
         rows = dealt(rows, same, batch_size)
-    return rows.mapInPandas(together if same else run, schema)
+    return rows.mapInPandas(handed_back, schema)
 
 
 def bucketed(df: DataFrame) -> DataFrame:
