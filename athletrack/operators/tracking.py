@@ -71,34 +71,31 @@ def fold_rows(frames: DataFrame, detections: DataFrame, poses: DataFrame, config
     chosen = F.to_json("config") if sessions is not None else F.lit(None).cast("string")
     ranked = detection_rank(person_filter(detections, setting("detector_score_threshold"))).where(~F.isnan("rank"))
     crop = g.crop(*map(F.col, SIDES), F.col("frame_width"), F.col("frame_height"), setting("crop_margin"))
-    found = F.when(crop.isNotNull(), F.array(*(crop[k] for k in SIDES))).alias("found")
+    found = F.when(F.col("crop").isNotNull(), F.array(*(F.col(f"crop.{k}") for k in SIDES))).alias("found")
 
-    has = F.col("bbox").isNotNull()
+    has, every, seen = F.col("bbox").isNotNull(), F.col("every"), F.col("seen")
+    a = {k: F.when(has, F.col(f"bbox.{k}")).otherwise(every[k].cast("double")) for k in SIDES}
+    w, h = a["x2"] - a["x1"], a["y2"] - a["y1"]
+    area = F.when(has, F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))).otherwise(w * h)
+    numbers = (F.col("instance_index"), area, (a["x1"] + a["x2"]) / 2, (a["y1"] + a["y2"]) / 2, seen["n"], *(seen[k] for k in SIDES))
+    person = F.when((F.col("points") > 0) & (has | (every["n"] > 0)), F.array(*(c.cast("double") for c in numbers))).alias("person")
 
-    def numbers(m: Column) -> Column:
-        every, seen = F.get(m, 0), F.get(m, 1)
-        a = {k: F.when(has, F.col(f"bbox.{k}")).otherwise(every[k].cast("double")) for k in SIDES}
-        w, h = a["x2"] - a["x1"], a["y2"] - a["y1"]
-        area = F.when(has, F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))).otherwise(w * h)
-        row = (F.col("instance_index"), area, (a["x1"] + a["x2"]) / 2, (a["y1"] + a["y2"]) / 2, seen["n"], *(seen[k] for k in SIDES))
-        return F.when(has | (every["n"] > 0), F.array(*(c.cast("double") for c in row)))
+    def shown(least: Callable[[Column], Column]) -> Column:
+        return F.filter("pairs", lambda p: least(p["scores"])).getField("keypoints")
 
-    def bounded(pairs: Column) -> Column:
-        def shown(least: Callable[[Column], Column]) -> Column:
-            return F.filter(pairs, lambda p: least(p["scores"])).getField("keypoints")
+    def measured(poses: DataFrame) -> DataFrame:
+        kept = (*KEY, "instance_index", "bbox")
+        paired = poses.select(*kept, F.size("keypoints").alias("points"), F.size("scores").alias("scored"), g.as_float(setting("score_threshold")).alias("least"), F.arrays_zip("keypoints", "scores").alias("pairs"))
+        prominent = F.when(F.col("scored") == 0, F.col("pairs.keypoints")).otherwise(shown(lambda s: s.cast("double") > g.POSE_VISIBLE))
+        parts = paired.select(*kept, "points", prominent.alias("prominent"), shown(lambda s: s >= F.col("least")).alias("seen"))
+        return parts.select(*kept, "points", g.bounds(F.col("prominent")).alias("every"), g.bounds(F.col("seen")).alias("seen"))
 
-        prominent = F.when(F.size("scores") == 0, pairs.getField("keypoints")).otherwise(shown(lambda s: s.cast("double") > g.POSE_VISIBLE))
-        seen = shown(lambda s: s >= g.as_float(setting("score_threshold")))
-        return F.transform(F.array(prominent, seen), g.bounds)
-
-    # what is used more than once is bound to a lambda's variable, so that it is computed once
-    both = F.transform(F.array(F.arrays_zip("keypoints", "scores")), bounded)
-    person = F.when(F.size("keypoints") > 0, F.get(F.transform(both, numbers), 0))
     times = frames.select(*KEY, "loop_started_at", "detector_seconds", "frame_width", "frame_height", error.alias("detector_error"), chosen.alias("config"))
-    boxes = ranked.select(*KEY, "rank", "det_index", found)
+    # step by step, here and for poses: one expression with all uses of its parts makes code too large to be compiled
+    boxes = ranked.select(*KEY, "rank", "det_index", crop.alias("crop")).select(*KEY, "rank", "det_index", found)
     if not inferred:  # a filter makes the keypoints once more where they are an expression; the batch folds pass over rows of nobody
         poses = poses.where(F.size("keypoints") > 0)
-    people = poses.select(*KEY, person.alias("person"))
+    people = measured(poses).select(*KEY, person)
     return times.unionByName(boxes, allowMissingColumns=True).unionByName(people, allowMissingColumns=True).select(*FOLDED)
 
 
@@ -268,6 +265,63 @@ def frames_in(rows: Iterable[tuple]) -> Iterator[tuple]:
             times = started, w, h, 0.0 if seconds is None or math.isnan(seconds) else seconds, error, session
 
 
+FRAME, BOX, POSE, NOTHING = range(4)  # kinds of rows
+NUMBERS = tuple(f"n{i}" for i in range(len(INSTANCE)))
+FLOWING = ("session_id", "frame_index", "kind", "detector_error", "config", *NUMBERS)
+
+
+def flat_rows(rows: DataFrame, *others: Column | str) -> DataFrame:
+    """``fold_rows`` as FLOWING (and ``others``): their kind and the numbers of that kind as nine doubles, as few plain columns cross to Python fastest.
+
+    Of a frame loop_started_at, detector_seconds, frame_width and frame_height, of a box rank, det_index and the four sides of ``found``, of a pose the nine of ``person``.
+    """
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    kind = F.when(known("rank"), BOX).when(F.col("person").isNotNull(), POSE).when(known("loop_started_at"), FRAME).otherwise(NOTHING).cast("tinyint")
+    of_frame = [F.col(c) for c in ("loop_started_at", "detector_seconds", "frame_width", "frame_height")]
+    of_box = [F.col("rank"), F.col("det_index"), *(F.get("found", i) for i in range(4))]
+    numbers = []
+    for i, name in enumerate(NUMBERS):
+        number = F.when(F.col("kind") == POSE, F.get("person", i))
+        for which, columns in ((FRAME, of_frame), (BOX, of_box)):
+            number = number.when(F.col("kind") == which, columns[i].cast("double")) if i < len(columns) else number
+        numbers.append(number.alias(name))
+    return rows.withColumn("kind", kind).select(*FLOWING[:5], *numbers, *others)
+
+
+def frames_from(rows: dict[str, np.ndarray], session: int | None, part: int = 5_000) -> Iterator[tuple]:
+    """``frames_in`` of a session's ``flat_rows`` in any order, given as arrays by column, with NaN for null; ``part`` frames are Python values at once."""
+    at, kind, numbers = rows["frame_index"], rows["kind"], [rows[c] for c in NUMBERS]
+
+    def sorted_by(which: int, *columns: np.ndarray) -> np.ndarray:
+        """Places of a kind's rows by frame and ``columns``; equal ones as they came."""
+        places = np.flatnonzero(kind == which)
+        return places[np.lexsort((*(c[places] for c in reversed(columns)), at[places]))]
+
+    def first(places: np.ndarray) -> np.ndarray:
+        return places[np.flatnonzero(np.r_[True, np.diff(at[places]) != 0][: len(places)])]
+
+    def whole(values: np.ndarray) -> list:
+        return values.astype(np.int64).tolist() if not np.isnan(values).any() else [None if math.isnan(v) else int(v) for v in values.tolist()]
+
+    timed = first(sorted_by(FRAME, -numbers[0]))
+    boxes = first(sorted_by(BOX, -numbers[0], numbers[1]))
+    people = sorted_by(POSE)
+    boxes_at, people_at = at[boxes], at[people]
+    for lo in range(0, len(timed), part):
+        places = timed[lo : lo + part]
+        frames = at[places]
+        low, high = np.searchsorted(boxes_at, (frames[0], frames[-1] + 1))
+        some = boxes[low:high]
+        some = some[~np.isnan(numbers[2][some])]
+        found = dict(zip(at[some].tolist(), zip(*(whole(n[some]) for n in numbers[2:6]))))
+        starts, ends = (np.searchsorted(people_at, frames, side) for side in ("left", "right"))
+        persons = np.stack([n[people[starts[0] : ends[-1]]] for n in numbers], 1).tolist()
+        seconds = numbers[1][places]
+        times = zip(numbers[0][places].tolist(), whole(numbers[2][places]), whole(numbers[3][places]), np.where(np.isnan(seconds), 0.0, seconds).tolist(), rows["detector_error"][places].tolist())
+        for frame, (started, width, height, delay, error), start, end in zip(frames.tolist(), times, (starts - starts[0]).tolist(), (ends - starts[0]).tolist()):
+            yield frame, (started, width, height, delay, error if isinstance(error, str) else None, session), found.get(frame), sorted(persons[start:end]) if end > start else []
+
+
 def stepped(tracker: Tracker, frame: int, times: tuple, found: Crop | None, people: list) -> tuple:
     """The flat row of a frame, after which ``tracker`` is in its next state."""
     reason, sent, before, after, assessed, stage, instance, failure = tracker.step(frame, *times[:3], found, times[3], people, times[4])

@@ -71,8 +71,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(DETECTIONS, lineitem=table(spark, sf_dir, "lineitem"))
+def detections(spark: SparkSession, sf_dir: str, ranged: bool = False) -> DataFrame:
+    """``ranged``: a task has the orders of a range, in place of those of a hash, so that its boxes are of frames next to each other."""
+    lines = table(spark, sf_dir, "lineitem")
+    return spark.sql(DETECTIONS, lineitem=lines.repartitionByRange("l_orderkey") if ranged else lines)
 
 
 def frame_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from athletrack.operators.timeline import lag
-from athletrack.operators.tracking import FLAT, FOLDED, Tracker, _config, frames_in, stepped, tracks
+from athletrack.operators.tracking import FLAT, FLOWING, FRAME, Tracker, _config, flat_rows, frames_from, stepped, tracks
 from athletrack.schemas import TrackConfig
 
 _STATE = (
@@ -46,6 +46,19 @@ def _plain(column: pd.Series) -> list:
     return [None if v is None or isinstance(v, float) and math.isnan(v) else v for v in values]
 
 
+def _number(key: tuple) -> int | None:
+    return None if key[0] is None or key[0] != key[0] else int(key[0])
+
+
+def _own(config: pd.Series) -> str | None:
+    """The session's configuration, where a row has one."""
+    return next(iter(config.dropna()), None)
+
+
+def _arrays(parts: list[pd.DataFrame], columns: tuple[str, ...]) -> dict[str, np.ndarray]:
+    return {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in columns}
+
+
 def track_stream(rows: DataFrame, config: TrackConfig | None = None, idle: int | str | None = IDLE) -> DataFrame:
     """``track_sessions`` on a stream of ``fold_rows``: the state of a session is one small row.
 
@@ -61,28 +74,30 @@ def track_stream(rows: DataFrame, config: TrackConfig | None = None, idle: int |
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(batches)).sort_values("frame_index", kind="stable")
+        parts = [pdf[pdf["frame_index"].notna()] for pdf in batches]
         known = state.get if state.exists else None
-        chosen, last = (known[9], known[8]) if known else (next((c for c in _plain(pdf["config"]) if c is not None), None), -1)
+        chosen, last = (known[9], known[8]) if known else (next((c for c in map(_own, (p["config"] for p in parts)) if c is not None), None), -1)
         own = config if chosen is None else _config(chosen)
         tracker = _unpack(own, known[:8]) if known else Tracker(own)
-        late = pdf["frame_index"] <= last
-        out = [(key[0], frame, *[None] * 11, "late", None, None) for frame in pdf.loc[late & pdf["loop_started_at"].notna(), "frame_index"].tolist()]
-        pdf = pdf[~late]
-        # numbers stay in their arrays until their turn comes, and rows are handed over part by part
-        for frame in frames_in(row for at in range(0, len(pdf), PART) for row in zip(*(_plain(pdf[c].iloc[at : at + PART]) for c in FOLDED))):
+        held = _arrays(parts, FLOWING[1:])  # arrays of numbers, which become Python values part by part
+        held["frame_index"] = held["frame_index"].astype(np.int64)
+        late, session = held["frame_index"] <= last, _number(key)
+        out = [(session, frame, *[None] * 11, "late", None, None) for frame in np.sort(held["frame_index"][late & (held["kind"] == FRAME)]).tolist()]
+        if late.any():
+            held = {c: v[~late] for c, v in held.items()}
+        for frame in frames_from(held, session, PART):
             if tracker.failed:
                 break
             out.append(stepped(tracker, *frame))
             if len(out) >= PART:
                 yield pd.DataFrame(out, columns=_NAMES, dtype=object)
                 out = []
-        state.update(_pack(tracker, max(int(last), int(pdf["frame_index"].max())) if len(pdf) else int(last), chosen))
+        state.update(_pack(tracker, int(held["frame_index"].max(initial=last)), chosen))
         if idle is not None:
             state.setTimeoutDuration(int(idle))
         yield pd.DataFrame(out, columns=_NAMES, dtype=object)
 
-    return tracks(rows.groupBy("session_id").applyInPandasWithState(run, FLAT, _STATE, "append", _timeout(idle)))
+    return tracks(flat_rows(rows).groupBy("session_id").applyInPandasWithState(run, FLAT, _STATE, "append", _timeout(idle)))
 
 
 def latest_only_stream(stream: DataFrame, idle: int | str | None = IDLE) -> DataFrame:
