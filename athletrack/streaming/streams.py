@@ -38,14 +38,6 @@ def _timeout(idle: int | str | None) -> str:
     return GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
 
 
-def _plain(column: pd.Series) -> list:
-    """Python values, lists for arrays, None where one is missing. Whole numbers come as floats where some are missing."""
-    if column.name in ("frame_width", "frame_height", "det_index"):
-        return [None if math.isnan(v) else int(v) for v in column.astype(float).tolist()]
-    values = (v.tolist() if isinstance(v, np.ndarray) else v for v in column.tolist())
-    return [None if v is None or isinstance(v, float) and math.isnan(v) else v for v in values]
-
-
 def _number(key: tuple) -> int | None:
     return None if key[0] is None or key[0] != key[0] else int(key[0])
 

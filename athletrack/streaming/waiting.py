@@ -16,15 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from athletrack.operators.tracking import FLAT, FOLDED, Tracker, _config, frames_in, stepped, tracks
+from athletrack.operators.tracking import BOX, FLAT, FRAME, NUMBERS, Tracker, _config, flat_rows, frames_from, stepped, tracks
 from athletrack.schemas import TrackConfig
-from athletrack.streaming.streams import _NAMES, _STATE, IDLE, PART, _pack, _plain, _unpack
+from athletrack.streaming.streams import _NAMES, _STATE, IDLE, PART, _number, _own, _pack, _unpack
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_WAITING = pa.schema([
-    ("frame_index", pa.int64()), ("loop_started_at", pa.float64()), ("detector_seconds", pa.float64()), ("frame_width", pa.int32()), ("frame_height", pa.int32()),
-    ("detector_error", pa.string()), ("rank", pa.float64()), ("det_index", pa.int64()), ("found", pa.list_(pa.int32())), ("person", pa.list_(pa.float64())), ("event_ms", pa.int64()),
-])
+_WAITING = pa.schema([("frame_index", pa.int64()), ("kind", pa.int8()), ("detector_error", pa.string()), *((c, pa.float64()) for c in NUMBERS), ("event_ms", pa.int64())])
 FOREVER = 1 << 62
 
 
@@ -49,7 +46,7 @@ class Chunks:
 
     def _bytes(self, rows: pa.Table) -> bytes:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, self.schema) as out:
+        with pa.ipc.new_stream(sink, self.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:  # not all numbers of a row are there
             out.write_table(rows)
         return sink.getvalue().to_pybytes()
 
@@ -67,29 +64,25 @@ class WaitingTracker(StatefulProcessor):
         self.clock = handle.getValueState("clock", "timer bigint, newest bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            yield from self._taken(key, pdf)
-
-    def _taken(self, key: Any, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        pdf = pdf[pdf["frame_index"].notna() & pdf["event_ms"].notna()]  # a row without either only moves the watermark
-        if not len(pdf):
-            return
         known = self.tracker.get() if self.tracker.exists() else None
-        last = known[8] if known else -1
-        if known is None:
-            chosen = next((c for c in _plain(pdf["config"]) if c is not None), None)
-            own = self.config if chosen is None else _config(chosen)
-            self.tracker.update(_pack(Tracker(own), -1, chosen))
-        elif known[9] is None and known[8] == -1 and (chosen := next((c for c in _plain(pdf["config"]) if c is not None), None)) is not None:
-            self.tracker.update(_pack(Tracker(_config(chosen)), -1, chosen))  # boxes came before the frame that has the configuration
-        missed = pdf["frame_index"] <= last
-        if missed.any():
-            yield _said(key[0], ((int(f), "late" if t else "late_box" if r else "late_pose") for f, t, r in zip(pdf.loc[missed, "frame_index"], pdf.loc[missed, "loop_started_at"].notna(), pdf.loc[missed, "rank"].notna())))
-        pdf = pdf[~missed]
-        if len(pdf):
-            self.frames.add(pdf)
-            # a frame is due when the last of its rows is
-            self._wake(int(pdf.groupby("frame_index")["event_ms"].max().min()) + 1, int(pdf["event_ms"].max()))
+        last, chosen, new, due, newest = known[8] if known else -1, known[9] if known else None, known is None, [], []
+        for pdf in rows:
+            pdf = pdf[pdf["frame_index"].notna() & pdf["event_ms"].notna()]  # a row without either only moves the watermark
+            if not len(pdf):
+                continue
+            if new or chosen is None and last == -1 and _own(pdf["config"]) is not None:  # boxes may come before the frame that has the configuration
+                chosen, new = chosen or _own(pdf["config"]), False
+                self.tracker.update(_pack(Tracker(self.config if chosen is None else _config(chosen)), -1, chosen))
+            missed = pdf["frame_index"] <= last
+            if missed.any():
+                yield _said(_number(key), ((int(f), "late" if k == FRAME else "late_box" if k == BOX else "late_pose") for f, k in zip(pdf.loc[missed, "frame_index"], pdf.loc[missed, "kind"])))
+                pdf = pdf[~missed]
+            if len(pdf):
+                self.frames.add(pdf)
+                due.append(int(_due(*(pdf[c].to_numpy().astype(np.int64) for c in ("frame_index", "event_ms")))[2].min()))
+                newest.append(int(pdf["event_ms"].max()))
+        if due:
+            self._wake(min(due) + 1, max(newest))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
@@ -97,10 +90,7 @@ class WaitingTracker(StatefulProcessor):
         if expiredTimerInfo.getExpiryTimeInMs() != timer:
             return  # replaced by an earlier one
         waiting = self.frames.all()
-        frames = waiting["frame_index"].to_numpy()
-        order = np.argsort(frames, kind="stable")
-        starts = np.flatnonzero(np.diff(frames[order], prepend=-1 << 62))
-        due = np.maximum.reduceat(waiting["event_ms"].to_numpy()[order], starts) if len(starts) else starts
+        order, starts, due = _due(waiting["frame_index"].to_numpy(), waiting["event_ms"].to_numpy())
         # in order of the frames: one whose time is not there yet holds the later ones; a watermark that only reached it may still be the one before all rows, 0
         held = np.flatnonzero(due >= now)
         cut = int(starts[held[0]]) if len(held) else len(order)
@@ -109,7 +99,8 @@ class WaitingTracker(StatefulProcessor):
             self.clock.clear()
             return
         if cut:
-            yield from self._track(key[0], waiting, order[:cut])
+            ready = waiting.take(order[:cut])
+            yield from self._track(_number(key), {c: ready[c].to_numpy() for c in ready.column_names})
             self.frames.keep(waiting.take(order[cut:]))
         self.clock.update((-1, newest))
         if len(held):
@@ -130,38 +121,30 @@ class WaitingTracker(StatefulProcessor):
             timer = at
         self.clock.update((timer, max(known, newest)))
 
-    def _track(self, session: int, waiting: pa.Table, ready: np.ndarray) -> Iterator[pd.DataFrame]:
+    def _track(self, session: int | None, rows: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
         known = self.tracker.get()
         tracker = _unpack(self.config if known[9] is None else _config(known[9]), known[:8])
-        lost: list[tuple[int, str]] = []
-
-        def rows() -> Iterator[tuple]:
-            at, timed = None, True
-            for lo in range(0, len(ready), PART):
-                part = waiting.take(ready[lo : lo + PART])
-                columns = {c: part[c].to_pylist() for c in part.column_names} | {"session_id": [session] * len(part), "config": [None] * len(part)}
-                for row in zip(*(columns[c] for c in FOLDED)):
-                    if row[1] != at:
-                        if not timed:
-                            lost.append((at, "no_frame"))
-                        at, timed = row[1], False
-                    timed = timed or row[2] is not None
-                    yield row
-            if not timed:
-                lost.append((at, "no_frame"))
-
         out = []
-        for frame in frames_in(rows()):  # to the end even after a failure, as lost rows are told
-            if not tracker.failed:
-                out.append(stepped(tracker, *frame))
+        for frame in frames_from(rows, session, PART):
+            if tracker.failed:
+                break
+            out.append(stepped(tracker, *frame))
             if len(out) >= PART:
                 yield pd.DataFrame(out, columns=_NAMES, dtype=object)
                 out = []
-        self.tracker.update(_pack(tracker, int(waiting["frame_index"][int(ready[-1])].as_py()), known[9]))
+        self.tracker.update(_pack(tracker, int(rows["frame_index"].max()), known[9]))
         if out:
             yield pd.DataFrame(out, columns=_NAMES, dtype=object)
-        if lost:
-            yield _said(session, lost)
+        lost = np.setdiff1d(rows["frame_index"], rows["frame_index"][rows["kind"] == FRAME])  # told even after a failure
+        if len(lost):
+            yield _said(session, ((f, "no_frame") for f in lost.tolist()))
+
+
+def _due(frames: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places by frame, where each frame starts in them, when it is due): a frame is due when the last of its rows is."""
+    order = np.argsort(frames, kind="stable")
+    starts = np.flatnonzero(np.diff(frames[order], prepend=-1 << 62))
+    return order, starts, np.maximum.reduceat(times[order], starts) if len(starts) else starts
 
 
 def _said(session: int, what) -> pd.DataFrame:
@@ -187,5 +170,5 @@ def track_unordered(rows: DataFrame, config: TrackConfig | None = None, event_ti
     use_rocksdb(rows.sparkSession)
     watched = rows.withWatermark(event_time, delay)
     # as a number: Spark leaves out late rows of the watermark's own column, and here they are shown
-    plain = watched.select(F.coalesce("session_id", F.lit(-1)).alias("session_id"), *(c for c in FOLDED if c != "session_id"), F.unix_millis(event_time).alias("event_ms"))
+    plain = flat_rows(watched, F.unix_millis(event_time).alias("event_ms")).withColumn("session_id", F.coalesce("session_id", F.lit(-1)))
     return tracks(plain.groupBy("session_id").transformWithStateInPandas(WaitingTracker(config, idle), FLAT, "append", "eventTime"))
